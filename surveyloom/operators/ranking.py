@@ -35,12 +35,11 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str = "ran
     return df.join(ranked, [*keys, value])
 
 
-def average_rank_grouped(grouped: DataFrame, keys: Sequence[str], order: Column, out: str = "rank") -> DataFrame:
-    """The same rank on a frame whose groups are dictionary-sized."""
-    base = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+def average_rank_grouped(grouped: DataFrame, keys: Sequence[str], score: Column, out: str = "rank") -> DataFrame:
+    """Mean rank by descending score on a frame whose groups are dictionary-sized."""
     # A tie shares one rank() value, so its size is a count over that value.
-    first = F.rank().over(base.orderBy(order))
-    with_first = grouped.where(order.isNotNull()).withColumn("_first", first)
+    first = F.rank().over(Window.partitionBy(*keys).orderBy(score.desc()))
+    with_first = grouped.where(score.isNotNull()).withColumn("_first", first)
     ties = Window.partitionBy(*keys, "_first")
     return with_first.withColumn(out, F.col("_first") + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)).drop("_first")
 

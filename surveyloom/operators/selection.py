@@ -50,8 +50,9 @@ def hash_index(df: DataFrame, keys: Sequence[str], unit: Column, ident: str, out
     keys = list(keys)
     marked = df.withColumn("_u", unit).withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
     sizes = marked.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    # At most ``buckets`` rows per key reach these windows.
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *keys,
         "_b",
@@ -128,12 +129,13 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, buckets: int =
         placed = counts.withColumn("_cuts", cuts.scalar())
     placed = placed.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     sizes = placed.groupBy(*keys, "_b").agg(F.sum("n").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *keys,
         "_b",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("n_total"),
+        F.sum("_n").over(whole).alias("n_total"),
     )
     inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
