@@ -10,7 +10,7 @@ from math import lgamma
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 def _inc_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
@@ -69,14 +69,14 @@ def quantile(prob: np.ndarray, df: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-value; NULL in gives NULL out."""
     p = two_sided(t.to_numpy(float), df.to_numpy(float))
     return pd.Series(p).astype(object).where(~np.isnan(p), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_quantile(prob: pd.Series, df: pd.Series) -> pd.Series:
     q = quantile(prob.to_numpy(float), df.to_numpy(float))
     return pd.Series(q).astype(object).where(~np.isnan(q), None)

@@ -14,7 +14,7 @@ from surveyloom.functions.draws import uniform
 from surveyloom.functions.scores import sign_label, signed_score
 from surveyloom.operators.crossproducts import cor_pairwise
 from surveyloom.operators.ranking import average_rank_grouped
-from surveyloom.session import attach
+from surveyloom.session import attach, cut_lineage
 
 MAX_ITEMS = 1000  # an items-by-items matrix of this size fits anywhere
 
@@ -102,7 +102,7 @@ def factor_loadings(responses: DataFrame, items: Sequence[str], m: int, value: s
     return responses.sparkSession.createDataFrame(table, "item string, scale string, loading double")
 
 
-def parallel_analysis(wide: DataFrame, items: Sequence[str], reps: int, seed: int, ident: str = "id", blocks: int = 8) -> DataFrame:
+def parallel_analysis(wide: DataFrame, items: Sequence[str], reps: int, seed: int, ident: str = "id", block_rows: int = 50_000) -> DataFrame:
     """(component, observed, resampled): eigenvalues against column-permuted data.
 
     Respondents are dealt into hashed blocks; within its block every column is
@@ -112,7 +112,9 @@ def parallel_analysis(wide: DataFrame, items: Sequence[str], reps: int, seed: in
     """
     items = list(items)
     p = len(items)
-    dealt = wide.select(ident, *items).withColumn("_block", F.floor(uniform(seed, ident) * blocks).cast("int"))
+    wide = cut_lineage(wide.select(ident, *items))
+    blocks = max(1, -(-wide.count() // block_rows))
+    dealt = wide.withColumn("_block", F.floor(uniform(seed, ident) * blocks).cast("int"))
     schema = "rep int, a int, b int, n double, sa double, sb double, saa double, sbb double, sab double"
 
     def products(key, block: pd.DataFrame) -> pd.DataFrame:

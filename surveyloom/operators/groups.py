@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from surveyloom.functions.numeric import safe_divide
 from surveyloom.functions.tdist import t_quantile
 from surveyloom.operators.selection import quantiles
+from surveyloom.session import attach_measured, spread
 
 
 def group_count(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
@@ -129,9 +130,7 @@ def five_number(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
     inside = (F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi"))
     return (
-        df.where(F.col(value).isNotNull())
-        .select(*keys, value)
-        .join(fence, list(keys))
+        attach_measured(df.where(F.col(value).isNotNull()).select(*keys, value), fence, list(keys), "inner")
         .groupBy(*keys, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(value))).alias("whisker_low"),
@@ -145,7 +144,7 @@ def outlier_rows(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The rows beyond the whiskers."""
     hinge = quantiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75})
     reach = 1.5 * (F.col("_q3") - F.col("_q1"))
-    joined = df.join(hinge, list(keys))
+    joined = attach_measured(df, hinge, list(keys), "inner")
     return joined.where((F.col(value) < F.col("_q1") - reach) | (F.col(value) > F.col("_q3") + reach)).drop("_q1", "_q3")
 
 
@@ -164,9 +163,7 @@ def density(df: DataFrame, value: str, by: str, points: int = 32) -> DataFrame:
     bands = moments.join(spread, by).select(by, "_n", "group_mean", width.alias("_h"))
     ends = value_range(df, value)
     rows = (
-        df.where(F.col(value).isNotNull())
-        .select(by, value)
-        .join(bands, by)
+        attach_measured(spread(df.where(F.col(value).isNotNull()).select(by, value)), bands, [by], "inner")
         .withColumn("_low", ends.select("lowest").scalar())
         .withColumn("_step", ends.select("range").scalar() / F.lit(float(points - 1)))
         .withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
@@ -186,6 +183,6 @@ def impute_median(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     long = df.select(group, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot([group], list(cols), "_col", "_value")
     mids = quantiles(long, [group, "_col"], "_value", {"_mid": 0.5})
     wide = mids.groupBy(group).agg(*[F.max(F.when(F.col("_col") == c, F.col("_mid"))).alias(f"_mid_{c}") for c in cols])
-    joined = df.join(wide, group, "left")
+    joined = attach_measured(df, wide, [group])
     filled = joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_mid_{c}")) for c in cols})
     return filled.drop(*[f"_mid_{c}" for c in cols])

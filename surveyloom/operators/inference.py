@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from surveyloom.functions.draws import poisson_one, uniform
 from surveyloom.functions.numeric import safe_divide
 from surveyloom.functions.tdist import t_two_sided
-from surveyloom.operators.selection import hash_cutoffs, hash_index, is_taken
-from surveyloom.session import attach, cut_lineage
+from surveyloom.operators.selection import cut_bin, hash_index
+from surveyloom.session import attach, cut_lineage, spread
 
 
 def _welch(pairs: DataFrame, with_p: bool) -> DataFrame:
@@ -95,14 +95,15 @@ def _resample(df: DataFrame, keys: list[str], ident: str, reps: int, seed: int,
     every row an independent Poisson(1) count in place, so nothing but the
     sums per replicate is shuffled; use it beyond study-sized data.
     """
-    spread = F.explode(F.sequence(F.lit(1), F.lit(reps)))
+    copies = F.explode(F.sequence(F.lit(1), F.lit(reps)))
     if method == "poisson":
-        rows = df.withColumn("rep", spread)
+        rows = spread(df, ident).withColumn("rep", copies)
         return rows.withColumn("weight", poisson_one(uniform(seed, "rep", ident)))
     if method != "rows":
         raise ValueError(f"unknown resampling method {method}")
     placed = hash_index(df, keys, uniform(seed, F.lit("row"), ident), ident, "_idx")
-    draws = placed.select(*keys, F.col("_idx").alias("_k"), "_idx_of").withColumn("rep", spread)
+    placed = cut_lineage(placed)
+    draws = spread(placed.select(*keys, F.col("_idx").alias("_k"), "_idx_of"), "_k").withColumn("rep", copies)
     hit = F.floor(uniform(seed, "rep", "_k") * F.col("_idx_of"))
     counts = draws.groupBy(*keys, "rep", hit.alias("_idx")).agg(F.count(F.lit(1)).alias("weight"))
     return placed.join(counts, [*keys, "_idx"])
@@ -133,7 +134,7 @@ def permute_null(df: DataFrame, ident: str, group: str, value: str, a: str, b: s
 
     A shuffled label goes to the ``n_a`` rows with the smallest hash.  Where that cut
     lies is found from bin counts, so neither labels nor rows are shuffled:
-    only bin counts, the rows of one narrow bin, and two sums per replicate.
+    only counts and sums per bin, and the rows of one narrow bin per replicate.
     ``key_rows`` bounds the number of keys (traits).
     """
     rows, keys = _settled(df, ident, group, value, a, b, keys)
@@ -150,14 +151,36 @@ def _settled(df: DataFrame, ident: str, group: str, value: str, a: str, b: str,
 
 
 def _null(usable: DataFrame, ident: str, group: str, value: str, a: str, reps: int, seed: int, keys: list[str], key_rows: int | None) -> DataFrame:
-    bound = reps * key_rows if key_rows else None
-    sizes = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("_of"), F.count_if(F.col(group) == a).alias("_take"))
-    rows = attach(usable.select(*keys, ident, value), sizes, keys, key_rows)
+    by = [*keys, "rep"]
+    sizes = usable.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_of"), F.count_if(F.col(group) == a).alias("_take"), F.sum(value).alias("_sum")
+    )
+    rows = attach(spread(usable.select(*keys, ident, value), ident), sizes, keys, key_rows)
     rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_u", uniform(seed, "rep", ident))
-    cuts = hash_cutoffs(rows, [*keys, "rep"], ident, bound)
-    taken = attach(rows, cuts, [*keys, "rep"], bound)
-    mean = lambda flag: F.avg(F.when(flag, F.col(value)))
-    return taken.groupBy(*keys, "rep").agg((mean(is_taken(ident)) - mean(~is_taken(ident))).alias("stat"))
+    rows = rows.withColumn("_b", cut_bin())
+    upto = Window.partitionBy(*by).orderBy("_b")
+    bins = rows.groupBy(*by, "_b").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(value).alias("_s"),
+        *[F.first(c).alias(c) for c in ("_take", "_of", "_sum")],
+    )
+    found = (
+        bins.withColumn("_upto", F.sum("_n").over(upto))
+        .withColumn("_below", F.sum("_s").over(upto) - F.col("_s"))
+        .where((F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_n") < F.col("_take")))
+        .withColumn("_nth", F.col("_take") - F.col("_upto") + F.col("_n"))
+    )
+    edge = attach(rows.select(*by, "_b", "_u", ident, value), found, [*by, "_b"], reps * key_rows if key_rows else None, "inner")
+    order = Window.partitionBy(*by).orderBy("_u", ident)
+    taken = (
+        edge.withColumn("_r", F.row_number().over(order))
+        .where(F.col("_r") <= F.col("_nth"))
+        .groupBy(*by, "_take", "_of", "_sum", "_below")
+        .agg(F.sum(value).alias("_edge"))
+        .withColumn("_got", F.col("_below") + F.col("_edge"))
+    )
+    rest = safe_divide(F.col("_sum") - F.col("_got"), F.col("_of") - F.col("_take"))
+    return taken.select(*by, (F.col("_got") / F.col("_take") - rest).alias("stat"))
 
 
 def p_value(df: DataFrame, ident: str, group: str, value: str, a: str, b: str, reps: int, seed: int, keys: Sequence[str] = (), key_rows: int | None = None) -> DataFrame:

@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from surveyloom.functions.draws import uniform
-from surveyloom.session import cut_lineage
+from surveyloom.session import cut_lineage, spread
 
 BLOCK_ROWS = 4096  # donors per block, grown when there would be too many blocks
 MAX_BLOCKS = 16384  # keeps the box table small enough to send to every task
-QUERY_ROWS = 16384  # queries of one block per task
+QUERY_ROWS = 2048  # queries of one block per task
 _ROUND = 8  # squared distances are compared to this many decimals
 
 
@@ -129,8 +129,8 @@ def _visit(pairs: DataFrame, donors: DataFrame, by: list[str], ident: str, k: in
     demand = F.broadcast(demand)
     salt = F.floor(uniform("salt", ident) * F.col("_salts")).cast("int")
     asked = pairs.join(demand, [*by, "_block"]).withColumn("_salt", salt).drop("_salts")
-    spread = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
-    offered = donors.join(demand, [*by, "_block"]).withColumn("_salt", spread).drop("_salts")
+    copies = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
+    offered = donors.join(demand, [*by, "_block"]).withColumn("_salt", copies).drop("_salts")
     keys = [*by, "_block", "_salt"]
 
     def nearest_here(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -141,7 +141,8 @@ def _visit(pairs: DataFrame, donors: DataFrame, by: list[str], ident: str, k: in
             out[name] = value
         return out[schema.names]
 
-    return asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(nearest_here, schema)
+    left, right = spread(asked, *keys).groupBy(*keys), spread(offered, *keys).groupBy(*keys)
+    return left.cogroup(right).applyInPandas(nearest_here, schema)
 
 
 def nearest(queries: DataFrame, donors: DataFrame, k: int, dims: int, ident: str = "id", vector: str = "v", by: Sequence[str] = (), keep_self: bool = True, carry: Sequence[str] = ()) -> DataFrame:
@@ -258,7 +259,6 @@ def repeated_cv(rows: DataFrame, dims: int, ks: Sequence[int], folds: int, repea
     train = spread.withColumn("fold", F.explode(F.array_remove(others, F.col("own"))))
     test = spread.withColumn("fold", F.col("own"))
     by = ["repeat", "fold"]
-    train = cut_lineage(train)
     hits = nearest(
         standardise(test, dims, by, fit=train), standardise(train, dims, by), ks[-1], dims, ident, by=by, carry=["label"]
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from surveyloom.functions.draws import normal_pair, uniform
 from surveyloom.operators.neighbors import nearest
 from surveyloom.operators.selection import hash_cutoffs, hash_index, is_taken
-from surveyloom.session import attach, cut_lineage
+from surveyloom.session import attach, attach_measured, cut_lineage
 
 
 def split_random(df: DataFrame, ident: str, share: float, seed: int, by: Sequence[str] = (), out: str = "train") -> DataFrame:
@@ -20,8 +20,8 @@ def split_random(df: DataFrame, ident: str, share: float, seed: int, by: Sequenc
         rows = rows.withColumn("_one", F.lit(0))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_of"))
     sizes = sizes.withColumn("_take", F.floor(F.col("_of") * F.lit(share)))
-    cuts = hash_cutoffs(attach(rows.select(*keys, ident, "_u"), sizes, keys), keys, ident)
-    marked = attach(rows, cuts, keys).withColumn(out, is_taken(ident))
+    cuts = hash_cutoffs(attach_measured(rows.select(*keys, ident, "_u"), sizes, keys), keys, ident)
+    marked = attach_measured(rows, cuts, keys).withColumn(out, is_taken(ident))
     return marked.drop("_u", "_cut_u", "_cut_id", "_one")
 
 
@@ -47,6 +47,8 @@ def smote(rows: DataFrame, label: str, minority, dims: int, seed: int, k: int =
     under/100 times the synthetic rows.  Distances are scaled by the
     minority's ranges.
     """
+    if over < 100:
+        raise ValueError("over must be at least 100: every minority row yields a synthetic one")
     each = over // 100
     rows = cut_lineage(rows.select(ident, F.col(label).alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v")))
     minor = rows.where(F.col("label") == minority)

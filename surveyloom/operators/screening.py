@@ -43,8 +43,7 @@ def missing_by_item(responses: DataFrame, n_respondents: DataFrame, items: Seque
 def item_stats(responses: DataFrame, value: str = "score") -> DataFrame:
     """Mean and sd per item to one decimal, with a difficulty rank.
 
-    The reference breaks ties at random; here the item name decides.  Only
-    the grouped items are ranked.
+    The item name decides ties.  Only the grouped items are ranked.
     """
     from surveyloom.operators.ranking import unique_rank
 

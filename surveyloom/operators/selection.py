@@ -41,7 +41,7 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     )
 
 
-def hash_index(df: DataFrame, keys: Sequence[str], unit: Column, ident: str, out: str, buckets: int = 256) -> DataFrame:
+def hash_index(df: DataFrame, keys: Sequence[str], unit: Column, ident: str, out: str, buckets: int = 4096) -> DataFrame:
     """0-based position of each row by ascending hash within its keys.
 
     Buckets of the uniform hash spread any key over ``buckets`` groups; the
@@ -69,29 +69,36 @@ def hash_index(df: DataFrame, keys: Sequence[str], unit: Column, ident: str, out
     )
 
 
-def hash_cutoffs(rows: DataFrame, keys: Sequence[str], ident: str, key_rows: int | None = None, bins: int = 64) -> DataFrame:
+def cut_bin(bins: int = 64) -> Column:
+    """Bin of the hash ``_u``: fine around the ``_take`` / ``_of`` quantile, coarse elsewhere.
+
+    The cut of n uniforms lies within a few standard errors of take/n, so the
+    bin that holds it has about sqrt(n) rows.
+    """
+    p = F.col("_take") / F.col("_of")
+    half = F.lit(8.0) * F.sqrt(p * (F.lit(1.0) - p) / F.col("_of")) + F.lit(1e-9)
+    fine = F.floor((F.col("_u") - (p - half)) / (half * 2 / bins))
+    return F.least(F.greatest(fine, F.lit(-1)), F.lit(bins)).cast("int")
+
+
+def hash_cutoffs(rows: DataFrame, keys: Sequence[str], ident: str, key_rows: int | None = None) -> DataFrame:
     """The (hash, id) pair that closes the ``_take`` smallest of each key.
 
     ``rows`` carries keys, ``ident``, the hash ``_u``, and per key the wanted
-    ``_take`` and the size ``_of``.  The cut of n uniforms lies within a few
-    standard errors of take/n, so fine bins cover that band and only the
-    one bin holding the cut, about sqrt(n) rows, is sorted.  Should the cut fall
-    outside the band, its coarse bin is sorted instead: slower, same answer.
+    ``_take`` and the size ``_of``.  Only the one bin holding the cut is sorted.
+    Should the cut fall outside the fine bins, its coarse bin is sorted
+    instead: slower, same answer.
     """
     keys = list(keys)
-    p = F.col("_take") / F.col("_of")
-    half = F.lit(8.0) * F.sqrt(p * (F.lit(1.0) - p) / F.col("_of")) + F.lit(1e-9)
-    step = half * 2 / bins
-    fine = F.floor((F.col("_u") - (p - half)) / step)
-    binned = rows.withColumn("_b", F.least(F.greatest(fine, F.lit(-1)), F.lit(bins)).cast("int"))
+    binned = rows.withColumn("_b", cut_bin())
     sizes = binned.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"), F.first("_take").alias("_want"))
     upto = Window.partitionBy(*keys).orderBy("_b")
-    cut_bin = (
+    closing = (
         sizes.withColumn("_upto", F.sum("_n").over(upto))
         .where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
         .select(*keys, F.col("_b"), (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_nth"))
     )
-    edge = attach(binned, cut_bin, [*keys, "_b"], key_rows, "inner")
+    edge = attach(binned, closing, [*keys, "_b"], key_rows, "inner")
     order = Window.partitionBy(*keys).orderBy("_u", ident)
     return (
         edge.select(*keys, "_u", ident, "_nth")

@@ -9,6 +9,7 @@ from surveyloom.functions.numeric import tidy
 from surveyloom.operators import groups, rasch, reliability, screening
 from surveyloom.plans import tables as t
 from surveyloom.plans.registry import query
+from surveyloom.session import cut_lineage
 
 
 def _rounded(df, *cols):
@@ -25,7 +26,7 @@ _SCALED = f"WITH {t.SCORED}, s AS (SELECT id, scale, item, score::DOUBLE AS scor
         SELECT id, scale, round(avg(coalesce(s.score, g.mid)), 6) AS score FROM grid g LEFT JOIN s USING (id, scale, item) GROUP BY id, scale""",
 )
 def score_items(spark, d):
-    out = reliability.score_items(t.respondents(spark, d), t.responses(spark, d), t.SCALE_ROWS)
+    out = reliability.score_items(t.respondents(spark, d), cut_lineage(t.responses(spark, d)), t.SCALE_ROWS)
     return _rounded(out, "score")
 
 
@@ -43,7 +44,7 @@ _ALPHA = """pr AS (SELECT a.scale, a.item AS item_a, b.item AS item_b, covar_sam
     f"""{_SCALED}, {_ALPHA} SELECT scale, k, round(raw_alpha, 6) AS raw_alpha, round(std_alpha, 6) AS std_alpha, round(mean_r, 6) AS mean_r FROM alpha""",
 )
 def cronbach_alpha(spark, d):
-    return _rounded(reliability.cronbach_alpha(t.responses(spark, d), t.SCALE_ROWS), "raw_alpha", "std_alpha", "mean_r")
+    return _rounded(reliability.cronbach_alpha(cut_lineage(t.responses(spark, d)), t.SCALE_ROWS), "raw_alpha", "std_alpha", "mean_r")
 
 
 @query(
@@ -66,13 +67,13 @@ def item_total_correlation(spark, d):
         FROM c JOIN alpha x ON x.scale = scale_a JOIN alpha y ON y.scale = scale_b""",
 )
 def scale_intercorrelation(spark, d):
-    return _rounded(reliability.scale_intercorrelation(t.responses(spark, d), t.SCALE_ROWS), "r", "r_corrected")
+    return _rounded(reliability.scale_intercorrelation(cut_lineage(t.responses(spark, d)), t.SCALE_ROWS), "r", "r_corrected")
 
 
 def rasch_sample(spark, d):
     """Keyed answers of respondents within the Rasch limits."""
     kept = screening.screen(t.screening_stats(spark, d), model.RASCH_SAMPLE).select("id")
-    return t.cognitive(spark, d).join(kept, "id", "left_semi")
+    return cut_lineage(t.cognitive(spark, d).join(kept, "id", "left_semi"))
 
 
 _SAMPLE = (
@@ -118,7 +119,7 @@ def item_difficulty(spark, d):
 
 def _fitted(spark, d):
     sample = rasch_sample(spark, d)
-    difficulty = rasch.item_difficulty(sample, t.COG_NAMES)
+    difficulty = cut_lineage(rasch.item_difficulty(sample, t.COG_NAMES))
     return sample, difficulty, rasch.person_theta(sample, difficulty)
 
 

@@ -148,7 +148,7 @@ def scale_composition(spark, d):
         FROM built b LEFT JOIN tests t ON b.scale = t.scale LEFT JOIN item_stats s ON b.item = s.item""",
 )
 def questionnaire_table(spark, d):
-    scored = t.scored(spark, d)
+    scored = cut_lineage(t.scored(spark, d))
     table = factors.questionnaire_table(_built(spark, d, scored), _tests(spark, d), screening.item_stats(scored))
     return table.withColumn("loading", F.col("loading") + F.lit(0.0))
 

@@ -8,6 +8,7 @@ from surveyloom.functions.numeric import tidy
 from surveyloom.operators import groups, ranking, reshape, screening
 from surveyloom.plans import tables as t
 from surveyloom.plans.registry import query
+from surveyloom.session import cut_lineage
 from surveyloom.sources.readers import read_table
 
 
@@ -106,5 +107,5 @@ _WIDE = ", ".join(f"max(score) FILTER (WHERE item = '{i}') AS {i}" for i in t.IT
 )
 def impute_median(spark, d):
     wide = reshape.to_wide(t.responses(spark, d), ["id"], "item", "score", t.ITEM_NAMES)
-    people = t.respondents(spark, d).select("id", "role").join(wide, "id", "left")
+    people = cut_lineage(t.respondents(spark, d).select("id", "role").join(wide, "id", "left"))
     return groups.impute_median(people, "role", t.ITEM_NAMES).select("id", "role", *t.ITEM_NAMES)

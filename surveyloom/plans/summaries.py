@@ -11,6 +11,7 @@ from surveyloom.operators import groups, screening
 from surveyloom.plans import tables as t
 from surveyloom.plans.registry import query
 from surveyloom.plans.screens import RULES, RULES_SQL
+from surveyloom.session import cut_lineage
 from surveyloom.sources.readers import read_table
 
 
@@ -21,6 +22,11 @@ def role_scale_scores(spark, d):
     return scores.join(kept, "id")
 
 
+def settled_scores(spark, d):
+    """The same rows written once, for queries that read them several times."""
+    return cut_lineage(role_scale_scores(spark, d))
+
+
 ROLE_SCALE = (
     t.SCREEN + ", " + t.SCALE_SCORES + f", rs AS (SELECT id, role, scale, score FROM scale_scores JOIN screened USING (id) WHERE {RULES_SQL})"
 )
@@ -189,7 +195,7 @@ def histogram(spark, d):
                round(max(score) FILTER (WHERE inside), 6) AS whisker_high, count(*) FILTER (WHERE NOT inside) AS outliers FROM j GROUP BY ALL""",
 )
 def five_number(spark, d):
-    out = groups.five_number(role_scale_scores(spark, d), ["scale"], "score")
+    out = groups.five_number(settled_scores(spark, d), ["scale"], "score")
     numbers = ("q1", "median", "q3", "whisker_low", "whisker_high")
     return out.select("scale", *[tidy(F.col(c)).alias(c) for c in numbers], "outliers")
 

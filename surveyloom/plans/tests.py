@@ -9,7 +9,7 @@ from surveyloom.functions.numeric import tidy
 from surveyloom.operators import crossproducts, inference, reshape, screening
 from surveyloom.plans import tables as t
 from surveyloom.plans.registry import query
-from surveyloom.plans.summaries import ROLE_SCALE, role_scale_scores
+from surveyloom.plans.summaries import ROLE_SCALE, role_scale_scores, settled_scores
 
 REPS = 200
 
@@ -59,7 +59,7 @@ _PAIRS = f"""WITH {ROLE_SCALE}, m AS (SELECT scale, role, count(score) AS n, avg
     round(max(step) OVER (PARTITION BY scale ORDER BY p, group_a, group_b), 6) AS p_holm FROM h""",
 )
 def welch_t_by(spark, d):
-    out = inference.welch_t_by(role_scale_scores(spark, d), ["scale"], "role", "score")
+    out = inference.welch_t_by(settled_scores(spark, d), ["scale"], "role", "score")
     out = out.select("scale", "group_a", "group_b", "n_a", "n_b", "t", "df", "p", "p_holm")
     return _rounded(out, "t", "df", "p", "p_holm")
 
@@ -70,7 +70,7 @@ def welch_t_by(spark, d):
     count(*) FILTER (WHERE p < .2) OVER () AS n_significant FROM p""",
 )
 def significant_scales(spark, d):
-    tests = inference.welch_t_by(role_scale_scores(spark, d), ["scale"], "role", "score")
+    tests = inference.welch_t_by(settled_scores(spark, d), ["scale"], "role", "score")
     out = inference.significant_scales(tests, 0.2)
     return _rounded(out.select("scale", "group_a", "group_b", "p", "significant", "n_significant"), "p")
 
@@ -170,7 +170,7 @@ def p_value(spark, d):
 )
 def confidence_interval(spark, d):
     out = inference.confidence_interval(
-        role_scale_scores(spark, d), "id", "role", "score", "BUILDING", "MACHINERY", REPS, 42, 0.95, ["scale"], "poisson"
+        settled_scores(spark, d), "id", "role", "score", "BUILDING", "MACHINERY", REPS, 42, 0.95, ["scale"], "poisson"
     )
     return _rounded(out, "lower_ci", "upper_ci")
 

@@ -48,6 +48,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Even partitions ahead of work that grows rows or runs in Python.
+
+    Small frames come out of a shuffle in few partitions, sized by bytes; a
+    thousand replicates of each row deserve every core.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *cols)
+
+
 # Largest frame, in rows, that an operator may mark for broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -64,3 +75,14 @@ def attach(df: DataFrame, stats: DataFrame, on: list[str], rows: int | None = No
     if rows is not None and rows <= BROADCAST_ROWS:
         stats = F.broadcast(stats)
     return df.join(stats, on, how)
+
+
+def attach_measured(df: DataFrame, stats: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join per-group statistics whose number of groups is not known beforehand.
+
+    The statistics are settled and counted first: a small table is broadcast, so
+    a group holding much of ``df`` is never gathered; a large one is joined
+    by shuffle, where run-time skew handling splits such groups.
+    """
+    settled = cut_lineage(stats)
+    return attach(df, settled, on, settled.count(), how)
