@@ -79,7 +79,7 @@ def kmedoids_sampled(rows: DataFrame, ks: Sequence[int], samples: int = 5, size:
         pick = rows.withColumn("_u", uniform(seed, F.lit(s), ident)).orderBy("_u", ident).limit(size).withColumn("sample", F.lit(s))
         picks = pick if picks is None else picks.unionByName(pick)
 
-    def solve(key, part: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(ident).reset_index(drop=True)
         x = np.array(part["v"].tolist(), dtype=float)
         found = [(key[0], k, x[i].tolist()) for k in ks for i in _medoids(x, min(k, len(x)))]
@@ -138,13 +138,14 @@ def cluster_validity(rows: DataFrame, labels: DataFrame, dims: int, neighbours:
     a = centres.select("k", F.col("cluster").alias("_a"), F.col("_c").alias("_ca"))
     b = centres.select("k", F.col("cluster").alias("_b"), F.col("_c").alias("_cb"))
     apart_most = a.join(b, "k").where(F.col("_a") < F.col("_b")).groupBy("k").agg(F.min(gap(F.col("_ca"), F.col("_cb"))).alias("_near"))
-    dunn = radius.join(apart_most, "k").select("k", (F.col("_near") / F.col("_wide")).alias("dunn"))
+    dunn = radius.join(apart_most, "k", "left").select("k", (F.col("_near") / F.col("_wide")).alias("dunn"))
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="_prediction")
     ready = joined.select("k", array_to_vector("v").alias("features"), F.col("cluster").cast("double").alias("_prediction"))
-    ks = [r["k"] for r in labels.select("k").distinct().orderBy("k").collect()]
-    scores = [(k, float(judge.evaluate(ready.where(F.col("k") == k)))) for k in ks]
+    # One row per k; a single cluster has no silhouette.
+    found = labels.groupBy("k").agg(F.countDistinct("cluster").alias("n")).orderBy("k").collect()
+    scores = [(r["k"], float(judge.evaluate(ready.where(F.col("k") == r["k"]))) if r["n"] > 1 else None) for r in found]
     silhouette = rows.sparkSession.createDataFrame(scores, "k int, silhouette double")
-    return silhouette.join(dunn, "k").join(connectivity, "k")
+    return silhouette.join(dunn, "k", "left").join(connectivity, "k", "left")
 
 
 def cluster_stability(rows: DataFrame, ks: Sequence[int], dims: int, seed: int = 1, ident: str = "id", vector: str = "v") -> DataFrame:

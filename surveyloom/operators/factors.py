@@ -117,7 +117,7 @@ def parallel_analysis(wide: DataFrame, items: Sequence[str], reps: int, seed: in
     dealt = wide.withColumn("_block", F.floor(uniform(seed, ident) * blocks).cast("int"))
     schema = "rep int, a int, b int, n double, sa double, sb double, saa double, sbb double, sab double"
 
-    def products(key, block: pd.DataFrame) -> pd.DataFrame:
+    def products(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(ident)
         x = block[items].to_numpy(dtype=float, na_value=np.nan)
         rng = np.random.default_rng([seed, int(key[0])])
@@ -136,7 +136,7 @@ def parallel_analysis(wide: DataFrame, items: Sequence[str], reps: int, seed: in
     sums = dealt.groupBy("_block").applyInPandas(products, schema)
     sums = sums.groupBy("rep", "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
 
-    def eigen(key, cells: pd.DataFrame) -> pd.DataFrame:
+    def eigen(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         r = np.eye(p)
         va = cells["saa"] - cells["sa"] ** 2 / cells["n"]
         vb = cells["sbb"] - cells["sb"] ** 2 / cells["n"]

@@ -118,7 +118,9 @@ def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ())
         .withColumn("_width", ends.select("range").scalar() / F.lit(float(bins)))
     )
     spot = F.floor(safe_divide(F.col(value) - F.col("_low"), F.col("_width")))
-    placed = placed.withColumn("bin", F.coalesce(F.least(spot, F.lit(bins - 1)), F.lit(0)).cast("int"))
+    # No width, one bin; least() alone would pass over the NULL.
+    last = F.when(spot.isNull(), 0).when(spot >= bins, bins - 1).otherwise(spot)
+    placed = placed.withColumn("bin", last.cast("int"))
     return placed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -151,15 +153,23 @@ def outlier_rows(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def density(df: DataFrame, value: str, by: str, points: int = 32) -> DataFrame:
     """Gaussian kernel density of each group on an even grid over all values.
 
-    The bandwidth is the usual rule of thumb, 0.9 min(sd, IQR/1.34) n^(-1/5).
+    The bandwidth is the usual rule of thumb, 0.9 min(sd, IQR/1.34) n^(-1/5),
+    with the sd, a value, or 1 standing in for a zero spread.
     Every row meets every grid point inside its own task and is summed there,
     so only ``points`` sums per group and task are shuffled.
     """
     spread = quantiles(df, [by], value, {"_q1": 0.25, "_q3": 0.75})
     moments = df.where(F.col(value).isNotNull()).groupBy(by).agg(
-        F.count(value).alias("_n"), F.avg(value).alias("group_mean"), F.stddev_samp(value).alias("_sd")
+        F.count(value).alias("_n"), F.avg(value).alias("group_mean"), F.stddev_samp(value).alias("_sd"), F.min(value).alias("_any")
     )
-    width = F.lit(0.9) * F.least("_sd", (F.col("_q3") - F.col("_q1")) / 1.34) * F.pow("_n", F.lit(-0.2))
+    zero = F.lit(0.0)
+    scale = F.coalesce(
+        F.nullif(F.least("_sd", (F.col("_q3") - F.col("_q1")) / 1.34), zero),
+        F.nullif(F.col("_sd"), zero),
+        F.nullif(F.abs("_any").cast("double"), zero),
+        F.lit(1.0),
+    )
+    width = F.lit(0.9) * scale * F.pow("_n", F.lit(-0.2))
     bands = moments.join(spread, by).select(by, "_n", "group_mean", width.alias("_h"))
     ends = value_range(df, value)
     rows = (

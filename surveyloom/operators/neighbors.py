@@ -133,7 +133,7 @@ def _visit(pairs: DataFrame, donors: DataFrame, by: list[str], ident: str, k: in
     offered = donors.join(demand, [*by, "_block"]).withColumn("_salt", copies).drop("_salts")
     keys = [*by, "_block", "_salt"]
 
-    def nearest_here(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def nearest_here(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame(columns=schema.names)
         out = _block_nearest(left, right, ident, k, keep_self, carry)

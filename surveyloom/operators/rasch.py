@@ -43,8 +43,10 @@ def item_difficulty(responses: DataFrame, items: Sequence[str], value: str = "sc
     wins = crossproducts.win_counts(responses, items, value)
     back = wins.select(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"), F.col("n").alias("n_back"))
     gaps = wins.join(back, ["item_a", "item_b"]).groupBy(F.col("item_a").alias("item")).agg(
-        F.avg(F.log(F.col("n_back") / F.col("n"))).alias("_d"), F.count(F.lit(1)).alias("partners")
+        F.sum(F.log(F.col("n_back") / F.col("n"))).alias("_sum"), F.count(F.lit(1)).alias("partners")
     )
+    # The item is its own partner at distance zero.
+    gaps = gaps.withColumn("_d", F.col("_sum") / (F.col("partners") + 1))
     centre = gaps.agg(F.avg("_d")).scalar()
     return gaps.withColumn("_centre", centre).select("item", (F.col("_d") - F.col("_centre")).alias("difficulty"), "partners")
 

@@ -82,7 +82,7 @@ _SAMPLE = (
 )
 _DIFFICULTY = """, wins AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS n FROM sample a JOIN sample b ON a.id = b.id
       AND a.score = 1 AND b.score = 0 GROUP BY ALL),
-    gaps AS (SELECT w.item_a AS item, avg(ln(v.n / w.n::DOUBLE)) AS g, count(*) AS partners FROM wins w JOIN wins v ON w.item_a = v.item_b AND w.item_b = v.item_a GROUP BY 1),
+    gaps AS (SELECT w.item_a AS item, sum(ln(v.n / w.n::DOUBLE)) / (count(*) + 1) AS g, count(*) AS partners FROM wins w JOIN wins v ON w.item_a = v.item_b AND w.item_b = v.item_a GROUP BY 1),
     difficulty AS (SELECT item, g - avg(g) OVER () AS difficulty, partners FROM gaps)"""
 _THETA = """, persons AS (SELECT id, list(item ORDER BY item) AS answered, sum(score)::BIGINT AS raw FROM sample GROUP BY id),
     keys AS (SELECT DISTINCT answered, raw FROM persons WHERE raw > 0 AND raw < len(answered)),
