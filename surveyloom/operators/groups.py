@@ -158,7 +158,7 @@ def density(df: DataFrame, value: str, by: str, points: int = 32) -> DataFrame:
     Every row meets every grid point inside its own task and is summed there,
     so only ``points`` sums per group and task are shuffled.
     """
-    spread = quantiles(df, [by], value, {"_q1": 0.25, "_q3": 0.75})
+    hinges = quantiles(df, [by], value, {"_q1": 0.25, "_q3": 0.75})
     moments = df.where(F.col(value).isNotNull()).groupBy(by).agg(
         F.count(value).alias("_n"), F.avg(value).alias("group_mean"), F.stddev_samp(value).alias("_sd"), F.min(value).alias("_any")
     )
@@ -170,7 +170,7 @@ def density(df: DataFrame, value: str, by: str, points: int = 32) -> DataFrame:
         F.lit(1.0),
     )
     width = F.lit(0.9) * scale * F.pow("_n", F.lit(-0.2))
-    bands = moments.join(spread, by).select(by, "_n", "group_mean", width.alias("_h"))
+    bands = moments.join(hinges, by).select(by, "_n", "group_mean", width.alias("_h"))
     ends = value_range(df, value)
     rows = (
         attach_measured(spread(df.where(F.col(value).isNotNull()).select(by, value)), bands, [by], "inner")

@@ -67,31 +67,38 @@ def infrequency(responses: DataFrame, stats: DataFrame, k: int = 10, value: str
     )
 
 
-def screening_stats(respondents: DataFrame, likert: DataFrame, keyed: DataFrame, items: Sequence[str], keyed_items: Sequence[str], id_col: str = "id", k: int = 10) -> DataFrame:
-    """Respondents with miss_p, miss_c, sincere and infreq.
+def screening_stats(respondents: DataFrame, likert: DataFrame, items: Sequence[str], keyed: DataFrame | None = None, keyed_items: Sequence[str] = (), id_col: str = "id", k: int = 10) -> DataFrame:
+    """Respondents with miss_p and infreq, and with miss_c and sincere where
+    keyed answers are given.
 
     ``likert`` holds numeric ``answer`` values (reversed items turned),
     ``keyed`` raw options.  Each source is grouped by respondent once.
     """
     scores = likert.withColumnRenamed("answer", "score")
     stats = item_stats(scores)
+    # At most k of the declared items.
     easiest = F.broadcast(stats.where(F.col("rank") <= k).select("item", F.lit(True).alias("_easy")))
     own = (
         scores.join(easiest, "item", "left")
         .groupBy(id_col)
         .agg(F.count("score").alias("_p"), F.avg(F.when(F.col("_easy"), F.col("score"))).alias("_own"))
     )
-    gave_up = F.count_if(F.col("answer") == DONT_KNOW)
-    other = keyed.groupBy(id_col).agg(F.count("answer").alias("_c"), gave_up.alias("sincere"))
     share = lambda n, of: F.lit(1.0) - F.coalesce(F.col(n), F.lit(0)) / F.lit(float(of))
-    return (
+    out = (
         respondents.join(own, id_col, "left")
-        .join(other, id_col, "left")
         .withColumn("miss_p", share("_p", len(items)))
+        .withColumn("infreq", F.abs(easy_mean(stats, k).scalar() - F.col("_own")))
+        .drop("_p", "_own")
+    )
+    if keyed is None:
+        return out
+    gave_up = F.count_if(F.col("answer") == DONT_KNOW)
+    other = keyed.groupBy(id_col).agg(F.count("answer").alias("_c"), gave_up.alias("sincere"))
+    return (
+        out.join(other, id_col, "left")
         .withColumn("miss_c", share("_c", len(keyed_items)))
         .withColumn("sincere", F.coalesce("sincere", F.lit(0)))
-        .withColumn("infreq", F.abs(easy_mean(stats, k).scalar() - F.col("_own")))
-        .drop("_p", "_c", "_own")
+        .drop("_c")
     )
 
 

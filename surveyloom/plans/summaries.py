@@ -10,14 +10,13 @@ from surveyloom.functions.numeric import tidy
 from surveyloom.operators import groups, screening
 from surveyloom.plans import tables as t
 from surveyloom.plans.registry import query
-from surveyloom.plans.screens import RULES, RULES_SQL
 from surveyloom.session import cut_lineage
 from surveyloom.sources.readers import read_table
 
 
 def role_scale_scores(spark, d):
     """(id, role, scale, score) over screened respondents."""
-    kept = screening.screen(t.screening_stats(spark, d), RULES).select("id", "role")
+    kept = screening.screen(t.profile_stats(spark, d), model.PROFILE_SAMPLE).select("id", "role")
     scores = screening.scale_scores(t.responses(spark, d), t.key_frame(spark), 24)
     return scores.join(kept, "id")
 
@@ -28,7 +27,7 @@ def settled_scores(spark, d):
 
 
 ROLE_SCALE = (
-    t.SCREEN + ", " + t.SCALE_SCORES + f", rs AS (SELECT id, role, scale, score FROM scale_scores JOIN screened USING (id) WHERE {RULES_SQL})"
+    t.SCREEN + ", " + t.SCALE_SCORES + ", rs AS (SELECT id, role, scale, score FROM scale_scores JOIN screened USING (id) WHERE miss_p < 0.33 AND infreq < 1)"
 )
 
 

@@ -100,12 +100,18 @@ def screening_stats(spark: SparkSession, folder: str) -> DataFrame:
     return screening.screening_stats(
         respondents(spark, folder),
         scored(spark, folder).withColumnRenamed("score", "answer"),
-        answers(spark, folder).withColumnRenamed("option", "answer"),
         ITEM_NAMES,
+        answers(spark, folder).withColumnRenamed("option", "answer"),
         COG_NAMES,
     )
 
 
+def profile_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """respondents + miss_p and infreq: what screening Likert scales needs."""
+    likert = scored(spark, folder).withColumnRenamed("score", "answer")
+    return screening.screening_stats(respondents(spark, folder), likert, ITEM_NAMES)
+
+
 def key_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SCALE_ROWS, "scale string, item string, sign int")
 
