@@ -87,6 +87,21 @@ def observed_diff(df: DataFrame, group: str, value: str, a: str, b: str, keys: S
     return df.groupBy(*keys).agg(_gap(group, value, a, b).alias("diff"))
 
 
+def _replicated(df: DataFrame, ident: str, reps: int, seed: int, keyed: bool) -> DataFrame:
+    """Every row in every replicate with its hash ``_u`` of (rep, id).
+
+    The hash is the costly part and does not depend on the trait, so a
+    respondent's traits, a declared handful, share one hash per replicate.
+    """
+    copies = F.explode(F.sequence(F.lit(1), F.lit(reps)))
+    rows = spread(df, ident)
+    if not keyed:
+        return rows.withColumn("rep", copies).withColumn("_u", uniform(seed, "rep", ident))
+    cells = F.collect_list(F.struct(*[c for c in df.columns if c != ident])).alias("_cells")
+    packed = rows.groupBy(ident).agg(cells).withColumn("rep", copies)
+    return packed.withColumn("_u", uniform(seed, "rep", ident)).select(ident, "rep", "_u", F.inline("_cells"))
+
+
 def _resample(df: DataFrame, keys: list[str], ident: str, reps: int, seed: int, method: str) -> DataFrame:
     """Rows with ``rep`` and ``weight``: how often the row is drawn in the replicate.
 
@@ -97,8 +112,7 @@ def _resample(df: DataFrame, keys: list[str], ident: str, reps: int, seed: int,
     """
     copies = F.explode(F.sequence(F.lit(1), F.lit(reps)))
     if method == "poisson":
-        rows = spread(df, ident).withColumn("rep", copies)
-        return rows.withColumn("weight", poisson_one(uniform(seed, "rep", ident)))
+        return _replicated(df, ident, reps, seed, bool(keys)).withColumn("weight", poisson_one(F.col("_u")))
     if method != "rows":
         raise ValueError(f"unknown resampling method {method}")
     placed = hash_index(df, keys, uniform(seed, F.lit("row"), ident), ident, "_idx")
@@ -111,7 +125,8 @@ def _resample(df: DataFrame, keys: list[str], ident: str, reps: int, seed: int,
 
 def bootstrap_mean(df: DataFrame, ident: str, value: str, reps: int, seed: int, keys: Sequence[str] = (), method: str = "rows") -> DataFrame:
     """Mean of each bootstrap replicate."""
-    drawn = _resample(df.where(F.col(value).isNotNull()), list(keys), ident, reps, seed, method)
+    usable = df.where(F.col(value).isNotNull()).select(*keys, ident, value)
+    drawn = _resample(usable, list(keys), ident, reps, seed, method)
     mean = safe_divide(F.sum(F.col("weight") * F.col(value)), F.sum("weight"))
     return drawn.groupBy(*keys, "rep").agg(mean.alias("stat"))
 
@@ -119,7 +134,7 @@ def bootstrap_mean(df: DataFrame, ident: str, value: str, reps: int, seed: int,
 def bootstrap_diff(df: DataFrame, ident: str, group: str, value: str, a: str, b: str, reps: int, seed: int, keys: Sequence[str] = (), method: str = "rows") -> DataFrame:
     """Difference in means of each replicate, both groups resampled jointly."""
     usable = df.where(F.col(value).isNotNull() & F.col(group).isin(a, b))
-    drawn = _resample(usable, list(keys), ident, reps, seed, method)
+    drawn = _resample(usable.select(*keys, ident, group, value), list(keys), ident, reps, seed, method)
     return drawn.groupBy(*keys, "rep").agg(_gap(group, value, a, b, F.col("weight")).alias("stat"))
 
 
@@ -155,17 +170,13 @@ def _null(usable: DataFrame, ident: str, group: str, value: str, a: str, reps: i
     sizes = usable.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_of"), F.count_if(F.col(group) == a).alias("_take"), F.sum(value).alias("_sum")
     )
-    rows = attach(spread(usable.select(*keys, ident, value), ident), sizes, keys, key_rows)
-    rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_u", uniform(seed, "rep", ident))
-    rows = rows.withColumn("_b", cut_bin())
+    copies = _replicated(usable.select(*keys, ident, value), ident, reps, seed, keys != ["_one"])
+    rows = attach(copies, sizes, keys, key_rows).withColumn("_b", cut_bin())
     upto = Window.partitionBy(*by).orderBy("_b")
-    bins = rows.groupBy(*by, "_b").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(value).alias("_s"),
-        *[F.first(c).alias(c) for c in ("_take", "_of", "_sum")],
-    )
+    bins = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
     found = (
-        bins.withColumn("_upto", F.sum("_n").over(upto))
+        attach(bins, sizes, keys, key_rows)
+        .withColumn("_upto", F.sum("_n").over(upto))
         .withColumn("_below", F.sum("_s").over(upto) - F.col("_s"))
         .where((F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_n") < F.col("_take")))
         .withColumn("_nth", F.col("_take") - F.col("_upto") + F.col("_n"))

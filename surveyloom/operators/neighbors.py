@@ -35,7 +35,7 @@ def _split(donors: DataFrame, by: list[str], ident: str, dims: int) -> tuple[Dat
     rows = max(BLOCK_ROWS, -(-total // MAX_BLOCKS))
     cuts = min(12, dims, max(0, int(np.ceil(np.log2(max(1.0, most / rows))))))
     if cuts == 0:
-        return donors.withColumn("_block", F.lit(0)), 0
+        return donors.withColumn("_block", F.size("_v") - dims), 0
     coord = lambda i: F.col("_v")[i]
     stats = donors.agg(
         *[F.var_samp(coord(i)).alias(f"v{i}") for i in range(dims)],
@@ -126,7 +126,8 @@ def _visit(pairs: DataFrame, donors: DataFrame, by: list[str], ident: str, k: in
     """k nearest inside each asked block, blocks in demand split by query."""
     pairs = cut_lineage(pairs)
     demand = pairs.groupBy(*by, "_block").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_ROWS)).cast("int").alias("_salts"))
-    demand = F.broadcast(demand)
+    # One row per block and group, bounded like the box table.
+    demand = F.broadcast(cut_lineage(demand))
     salt = F.floor(uniform("salt", ident) * F.col("_salts")).cast("int")
     asked = pairs.join(demand, [*by, "_block"]).withColumn("_salt", salt).drop("_salts")
     copies = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))

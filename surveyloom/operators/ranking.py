@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from surveyloom.functions.numeric import safe_divide
 from surveyloom.operators.selection import value_counts
-from surveyloom.session import attach, attach_measured
+from surveyloom.session import attach, attach_measured, with_values
 
 
 def unique_rank(grouped: DataFrame, order: Sequence[Column], out: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
@@ -75,5 +75,8 @@ def order_by_group_stat(df: DataFrame, group: str, value: str, out: str = "posit
 def zscore(df: DataFrame, keys: Sequence[str], value: str, out: str = "z", rows: int | None = None) -> DataFrame:
     """Standardise within keys by the sample sd; NULL where the sd is zero."""
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
-    joined = attach(df, stats, list(keys), rows) if rows else attach_measured(df, stats, list(keys))
+    if not keys:
+        joined = with_values(df, stats)
+    else:
+        joined = attach(df, stats, list(keys), rows) if rows else attach_measured(df, stats, list(keys))
     return joined.withColumn(out, safe_divide(F.col(value) - F.col("_mean"), F.col("_sd"))).drop("_mean", "_sd")

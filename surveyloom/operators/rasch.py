@@ -129,7 +129,7 @@ def item_curves(difficulty: DataFrame, low: float = -4.0, high: float = 4.0, poi
 
 def theta_by_group(theta: DataFrame, respondents: DataFrame, group: str) -> DataFrame:
     """Ability summary per group beside the mean z-score of the raw total."""
-    joined = theta.join(respondents.select("id", group), "id").where(F.col("theta").isNotNull()).withColumn("_all", F.lit(0))
-    both = zscore(joined, ["_all"], "raw", "raw_z", rows=1)
+    joined = theta.join(respondents.select("id", group), "id").where(F.col("theta").isNotNull())
+    both = zscore(joined, [], "raw", "raw_z")
     raw = both.groupBy(group).agg(F.avg("raw_z").alias("mean_raw_z"))
     return summary_se(both, [group], "theta").join(raw, group)

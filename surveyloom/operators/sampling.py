@@ -9,20 +9,18 @@ from pyspark.sql import DataFrame, functions as F
 from surveyloom.functions.draws import normal_pair, uniform
 from surveyloom.operators.neighbors import nearest
 from surveyloom.operators.selection import hash_cutoffs, hash_index, is_taken
-from surveyloom.session import attach, attach_measured, cut_lineage
+from surveyloom.session import attach, attach_measured, cut_lineage, with_values
 
 
 def split_random(df: DataFrame, ident: str, share: float, seed: int, by: Sequence[str] = (), out: str = "train") -> DataFrame:
     """Mark exactly floor(share * n) rows per stratum, the smallest by hash."""
-    keys = list(by) or ["_one"]
+    keys = list(by)
     rows = df.withColumn("_u", uniform(seed, ident))
-    if not by:
-        rows = rows.withColumn("_one", F.lit(0))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_of"))
     sizes = sizes.withColumn("_take", F.floor(F.col("_of") * F.lit(share)))
-    cuts = hash_cutoffs(attach_measured(rows.select(*keys, ident, "_u"), sizes, keys), keys, ident)
-    marked = attach_measured(rows, cuts, keys).withColumn(out, is_taken(ident))
-    return marked.drop("_u", "_cut_u", "_cut_id", "_one")
+    join = attach_measured if keys else with_values
+    cuts = hash_cutoffs(join(rows.select(*keys, ident, "_u"), sizes, keys), keys, ident)
+    return join(rows, cuts, keys).withColumn(out, is_taken(ident)).drop("_u", "_cut_u", "_cut_id")
 
 
 def split_stratified(df: DataFrame, ident: str, label: str, share: float, seed: int) -> DataFrame:

@@ -69,7 +69,7 @@ def hash_index(df: DataFrame, keys: Sequence[str], unit: Column, ident: str, out
     )
 
 
-def cut_bin(bins: int = 64) -> Column:
+def cut_bin(bins: int = 16) -> Column:
     """Bin of the hash ``_u``: fine around the ``_take`` / ``_of`` quantile, coarse elsewhere.
 
     The cut of n uniforms lies within a few standard errors of take/n, so the
@@ -92,14 +92,15 @@ def hash_cutoffs(rows: DataFrame, keys: Sequence[str], ident: str, key_rows: int
     keys = list(keys)
     binned = rows.withColumn("_b", cut_bin())
     sizes = binned.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"), F.first("_take").alias("_want"))
-    upto = Window.partitionBy(*keys).orderBy("_b")
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    upto = whole.orderBy("_b")
     closing = (
         sizes.withColumn("_upto", F.sum("_n").over(upto))
         .where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
         .select(*keys, F.col("_b"), (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_nth"))
     )
     edge = attach(binned, closing, [*keys, "_b"], key_rows, "inner")
-    order = Window.partitionBy(*keys).orderBy("_u", ident)
+    order = whole.orderBy("_u", ident)
     return (
         edge.select(*keys, "_u", ident, "_nth")
         .withColumn("_r", F.row_number().over(order))

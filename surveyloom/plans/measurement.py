@@ -72,8 +72,9 @@ def scale_intercorrelation(spark, d):
 
 def rasch_sample(spark, d):
     """Keyed answers of respondents within the Rasch limits."""
-    kept = screening.screen(t.screening_stats(spark, d), model.RASCH_SAMPLE).select("id")
-    return cut_lineage(t.cognitive(spark, d).join(kept, "id", "left_semi"))
+    cells = cut_lineage(t.answers(spark, d))
+    kept = screening.screen(t.screening_stats(spark, d, cells), model.RASCH_SAMPLE).select("id")
+    return cut_lineage(t.keyed_scores(cells).join(kept, "id", "left_semi"))
 
 
 _SAMPLE = (

@@ -15,9 +15,13 @@ from surveyloom.sources.readers import read_table
 
 
 def role_scale_scores(spark, d):
-    """(id, role, scale, score) over screened respondents."""
-    kept = screening.screen(t.profile_stats(spark, d), model.PROFILE_SAMPLE).select("id", "role")
-    scores = screening.scale_scores(t.responses(spark, d), t.key_frame(spark), 24)
+    """(id, role, scale, score) over screened respondents.
+
+    The cleaned cells are written once; screening and scoring both read them.
+    """
+    cells = cut_lineage(t.responses(spark, d))
+    kept = screening.screen(t.profile_stats(spark, d, cells), model.PROFILE_SAMPLE).select("id", "role")
+    scores = screening.scale_scores(cells, t.key_frame(spark), 24)
     return scores.join(kept, "id")
 
 

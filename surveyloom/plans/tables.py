@@ -45,10 +45,14 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def scored(spark: SparkSession, folder: str) -> DataFrame:
+def turned(cells: DataFrame) -> DataFrame:
     """Responses with reversed items turned round."""
-    turned = F.when(F.col("item").isin(REVERSED), 6 - F.col("score")).otherwise(F.col("score"))
-    return responses(spark, folder).withColumn("score", turned)
+    score = F.when(F.col("item").isin(REVERSED), 6 - F.col("score")).otherwise(F.col("score"))
+    return cells.withColumn("score", score)
+
+
+def scored(spark: SparkSession, folder: str) -> DataFrame:
+    return turned(responses(spark, folder))
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,13 +65,17 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def cognitive(spark: SparkSession, folder: str) -> DataFrame:
+def keyed_scores(cells: DataFrame) -> DataFrame:
     """(id, item, score 0/1) by the answer key."""
-    key = spark.createDataFrame(COG_KEY_ROWS, "item string, right_option string")
-    joined = answers(spark, folder).join(F.broadcast(key), "item")
+    key = cells.sparkSession.createDataFrame(COG_KEY_ROWS, "item string, right_option string")
+    joined = cells.join(F.broadcast(key), "item")
     return joined.select("id", "item", key_score(F.col("option"), F.col("right_option")).alias("score"))
 
 
+def cognitive(spark: SparkSession, folder: str) -> DataFrame:
+    return keyed_scores(answers(spark, folder))
+
+
 def respondents(spark: SparkSession, folder: str) -> DataFrame:
     """One row per respondent with demographics and start/finish times."""
     nation = F.col("c_nationkey")
@@ -95,20 +103,21 @@ def respondents(spark: SparkSession, folder: str) -> DataFrame:
     return people.join(times, "id", "left")
 
 
-def screening_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """respondents + miss_p, miss_c, sincere, infreq."""
+def screening_stats(spark: SparkSession, folder: str, keyed: DataFrame | None = None) -> DataFrame:
+    """respondents + miss_p, miss_c, sincere, infreq; ``keyed`` may bring settled answers."""
+    keyed = answers(spark, folder) if keyed is None else keyed
     return screening.screening_stats(
         respondents(spark, folder),
         scored(spark, folder).withColumnRenamed("score", "answer"),
         ITEM_NAMES,
-        answers(spark, folder).withColumnRenamed("option", "answer"),
+        keyed.withColumnRenamed("option", "answer"),
         COG_NAMES,
     )
 
 
-def profile_stats(spark: SparkSession, folder: str) -> DataFrame:
+def profile_stats(spark: SparkSession, folder: str, cells: DataFrame) -> DataFrame:
     """respondents + miss_p and infreq: what screening Likert scales needs."""
-    likert = scored(spark, folder).withColumnRenamed("score", "answer")
+    likert = turned(cells).withColumnRenamed("score", "answer")
     return screening.screening_stats(respondents(spark, folder), likert, ITEM_NAMES)
 
 

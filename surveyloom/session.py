@@ -86,3 +86,9 @@ def attach_measured(df: DataFrame, stats: DataFrame, on: list[str], how: str = "
     """
     settled = cut_lineage(stats)
     return attach(df, settled, on, settled.count(), how)
+
+
+def with_values(df: DataFrame, one: DataFrame, _on: list[str] | None = None) -> DataFrame:
+    """Add the columns of a one-row frame to every row, as a scalar subquery."""
+    packed = one.select(F.struct(*one.columns).alias("_one")).scalar()
+    return df.withColumn("_one", packed).select(*df.columns, "_one.*")
