@@ -32,9 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     machine-local path would lose data with its executor.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if named:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(named)
         return named
-    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
