@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from surveyloom.llm import token_counts, token_files
+from surveyloom.llm import quality_rules, simhash, token_counts, token_files, warc
 from surveyloom.llm.common import work_folder
 from surveyloom.llm.registry import query, table
 
@@ -22,6 +22,35 @@ def op1_token_files(spark, folder):
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op2_warc")
+def op2_warc(spark, folder):
+    pages = table(spark, folder, "pages")
+    out = work_folder(spark, "op2")
+    back = warc.read_archives(warc.write_archives(pages, out), out, payloads=False)
+    kind = pages.schema["page_id"].dataType
+    return back.select(
+        F.col("record_id").cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+        "intact",
+    )
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark, folder):
     return token_counts.token_counts(table(spark, folder, "documents"), PIECES, limit=4096)
+
+
+@query("op10_quality_rules", quality_rules.SQL)
+def op10_quality_rules(spark, folder):
+    out = work_folder(spark, "op10")
+    judged = quality_rules.apply_rules(table(spark, folder, "documents"), table(spark, folder, "labels"), out)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op3_simhash")
+def op3_simhash(spark, folder):
+    groups = simhash.near_duplicates(table(spark, folder, "documents"), work_folder(spark, "op3"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
