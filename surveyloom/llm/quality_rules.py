@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from surveyloom.llm.common import attach_counted, settle
+from surveyloom.llm.common import attach_counted, settle, without_rows
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -189,10 +189,9 @@ def keep_documents(docs: DataFrame, labels: DataFrame, folder: str, **options) -
     """The rows of ``docs`` that the rules keep, with their columns."""
     id_col, text_col, stratum_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("stratum_col", "lang")))
     verdicts = apply_rules(docs, labels, folder, **options)
-    away = verdicts.where(~F.col("kept")).select("doc_id", "text_hash", "stratum").distinct().toDF("_rule_id", "_rule_hash", "_rule_stratum")
-    same = docs[id_col].eqNullSafe(F.col("_rule_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_rule_hash"))
-    same = same & (F.coalesce(docs[stratum_col].cast("string"), F.lit(NONE)) == F.col("_rule_stratum"))
-    return docs.join(away, same, "left_anti")
+    away = verdicts.where(~F.col("kept")).select("doc_id", "text_hash", "stratum")
+    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit(NONE))
+    return without_rows(docs, away, [F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), stratum])
 
 
 def _sql() -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from surveyloom.llm import quality_rules, simhash, token_counts, token_files, warc
+from surveyloom.llm import compression, decontaminate, line_dedup, packing, quality_rules, simhash, suffix_dedup, token_counts, token_files, warc
 from surveyloom.llm.common import work_folder
 from surveyloom.llm.registry import query, table
 
@@ -54,3 +54,35 @@ def op10_quality_rules(spark, folder):
 def op3_simhash(spark, folder):
     groups = simhash.near_duplicates(table(spark, folder, "documents"), work_folder(spark, "op3"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op4_packing")
+def op4_packing(spark, folder):
+    pieces = packing.pack(table(spark, folder, "documents"), work_folder(spark, "op4"), WORDS, end_id=1, length=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op5_compression")
+def op5_compression(spark, folder):
+    docs = table(spark, folder, "documents")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    model = compression.fit(docs, table(spark, folder, "labels"), learn=remainder != 1)
+    scored = compression.score(docs, model)
+    return scored.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op8_decontamination", decontaminate.SQL)
+def op8_decontamination(spark, folder):
+    return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op9_line_dedup", line_dedup.SQL)
+def op9_line_dedup(spark, folder):
+    kept = line_dedup.dedup_lines(table(spark, folder, "documents"), work_folder(spark, "op9"))
+    return kept.select("row.doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark, folder):
+    kept = suffix_dedup.remove_repeats(table(spark, folder, "documents"), work_folder(spark, "op6"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

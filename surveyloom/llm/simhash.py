@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from xxhash import xxh64_intdigest
 
-from surveyloom.llm.common import attach_counted, components, settle, shuffle_partitions
+from surveyloom.llm.common import attach_counted, components, settle, shuffle_partitions, without_rows
 from surveyloom.llm.segments import text_bytes
 
 RADIUS = 3
@@ -57,7 +57,7 @@ def fingerprint(raw: bytes, size: int) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint as a long) of every whole text."""
+    """(doc_id, text_hash, fingerprint as a long) of every whole text."""
 
     def compute(batches):
         for batch in batches:
@@ -65,10 +65,10 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
             raw, cuts = memoryview(data), offsets.tolist()
             found = [fingerprint(bytes(raw[a:b]), size) for a, b in zip(cuts, cuts[1:])]
             column = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), column], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), column], ["doc_id", "text_hash", "fingerprint"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fingerprint", T.LongType())])
-    return docs.select(id_col, text_col).mapInArrow(compute, schema)
+    fields = [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("fingerprint", T.LongType())]
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(compute, T.StructType(fields))
 
 
 # ---- bit-sliced comparison ----
@@ -270,16 +270,37 @@ def links(distinct: DataFrame, folder: str) -> DataFrame:
     return work.mapInArrow(_edges_of_sorted, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, folder: str, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` as (doc_id, fingerprint, component_id); a component is named by its smallest id."""
+def groups(docs: DataFrame, folder: str, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` as (doc_id, text_hash, fingerprint, first), first being the least row of its component:
+    a struct of no_id, doc_id and text_hash."""
     marked = settle(fingerprints(docs, size, id_col, text_col), folder, "fingerprints")
-    distinct = settle(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), folder, "distinct")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    distinct = settle(marked.groupBy("fingerprint").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("n")), folder, "distinct")
     edges = settle(links(distinct.select("fingerprint"), folder), folder, "links")
     roots = components(edges, folder)
     named = distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    named = named.select("fingerprint", "least", "n", F.coalesce("root", "fingerprint").alias("root"))
-    named = settle(named, folder, "rooted")
-    least = settle(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("k")), folder, "least")
-    groups = attach_counted(named, least, ["root"], "k", spread_by=["fingerprint"])
-    groups = settle(groups.select("fingerprint", "n", "component_id"), folder, "groups")
-    return attach_counted(marked, groups, ["fingerprint"], "n", spread_by=["doc_id"]).select("doc_id", "fingerprint", "component_id")
+    named = settle(named.select("fingerprint", "least", "n", F.coalesce("root", "fingerprint").alias("root")), folder, "rooted")
+    least = settle(named.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("k")), folder, "least")
+    found = attach_counted(named, least, ["root"], "k", spread_by=["fingerprint"])
+    found = settle(found.select("fingerprint", "n", "first"), folder, "groups")
+    return attach_counted(marked, found, ["fingerprint"], "n", spread_by=["doc_id", "text_hash"]).select("doc_id", "text_hash", "fingerprint", "first")
+
+
+def near_duplicates(docs: DataFrame, folder: str, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` as (doc_id, fingerprint, component_id); a component is named by its smallest id."""
+    return groups(docs, folder, size, id_col, text_col).select("doc_id", "fingerprint", F.col("first.doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, folder: str, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component, with its columns: that of the smallest id, then of the smallest text hash."""
+    found = settle(groups(docs, folder, size, id_col, text_col), folder, "judged")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    keys = [F.col(id_col), F.xxhash64(text_col)]
+    kept = without_rows(docs, found.where(~own.eqNullSafe(F.col("first"))).select("doc_id", "text_hash"), keys)
+    repeated = found.where(own.eqNullSafe(F.col("first"))).groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
+    repeated = settle(repeated, folder, "repeated-rows")
+    if repeated.isEmpty():
+        return kept
+    single = without_rows(kept, repeated, keys)
+    again = kept.join(repeated.toDF("_a", "_b"), F.col(id_col).eqNullSafe(F.col("_a")) & (F.xxhash64(text_col) == F.col("_b")), "left_semi")
+    return single.unionByName(again.dropDuplicates([id_col, text_col]))
