@@ -244,6 +244,8 @@ def read_archives(files: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES,
                 return
             fields, end = found
             length = int(fields[b"content-length"])
+            if base + end + length + len(BLANK) > size:
+                return
             if end + length <= len(data):
                 block = data[end : end + length]
             else:
