@@ -52,7 +52,7 @@ def test_binomial_bound(spark):
     assert 0 < large < 1e-8  # 6.3 standard deviations below the mean
 
 
-def corpus(spark, n=3000, noisy=0.004, seed=1):
+def corpus(spark, n=6000, noisy=0.002, seed=1):
     """Good prose and symbol-ridden texts; some good ones have symbols too."""
     draw = random.Random(seed)
     rows = []
