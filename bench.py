@@ -14,7 +14,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from surveyloom.plans import queries, tests
+from surveyloom.plans import queries
 from surveyloom.session import build_session
 
 HEADLINE = [
@@ -47,7 +47,6 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    tests.REPS = 1000  # replicates of the resampling queries
     spark = build_session("bench", cores, **{"spark.ui.showConsoleProgress": "false"})
     known = queries()
     known["agg4_group_count"](spark, folder).collect()  # start the JVM and code paths

@@ -16,13 +16,13 @@ def _col(value) -> Column:
 
 
 def uniform(seed: int | str, *labels) -> Column:
-    """Uniform on [0, 1) with 32 bits: the head of md5("seed-label-...")."""
+    """Uniform on [0, 1) with 52 bits: the head of md5("seed-label-...")."""
     text = F.concat_ws("-", F.lit(str(seed)), *[_col(x).cast("string") for x in labels])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-# Cumulative Poisson(1) probabilities; beyond 12 the tail is below one 32-bit step.
-POISSON_CDF = [round(sum(exp(-1) / factorial(j) for j in range(k + 1)), 12) for k in range(13)]
+# Cumulative Poisson(1) probabilities; beyond 17 the tail is below one step of a draw.
+POISSON_CDF = [sum(exp(-1) / factorial(j) for j in range(k + 1)) for k in range(18)]
 
 
 def poisson_one(u: Column) -> Column:

@@ -28,10 +28,10 @@ def model_frame(people: DataFrame, role: str, roles: Sequence[str], flags: Seque
     return impute_median(coded, role, [*flags, *levels, total]).select(ident, role, *flags, *levels, total)
 
 
-def random_forest(rows: DataFrame, trees: int, mtry: int, seed: int, vector: str = "v", label: str = "label") -> RandomForestClassificationModel:
-    """Forest over numeric labels 0..c-1 with ``mtry`` features tried per split."""
+def random_forest(rows: DataFrame, trees: int, mtry: int, seed: int, vector: str = "v", label: str = "label", depth: int = 30) -> RandomForestClassificationModel:
+    """Forest over numeric labels 0..c-1 with ``mtry`` features tried per split; 30 is the deepest tree Spark grows."""
     ready = rows.select(array_to_vector(vector).alias("features"), F.col(label).cast("double").alias("label"))
-    forest = RandomForestClassifier(numTrees=trees, featureSubsetStrategy=str(mtry), seed=seed, maxDepth=10)
+    forest = RandomForestClassifier(numTrees=trees, featureSubsetStrategy=str(mtry), seed=seed, maxDepth=depth, minInstancesPerNode=1)
     return forest.fit(ready)
 
 

@@ -57,7 +57,7 @@ def smote(rows: DataFrame, label: str, minority, dims: int, seed: int, k: int =
     )
     near = nearest(scaled, scaled, k, dims, ident, "_s", keep_self=False, carry=["v"])
     known = near.groupBy(ident).agg(F.count(F.lit(1)).alias("_k"))
-    seeds = known.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(each))))
+    seeds = known.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(each).cast("long"))))
     seeds = seeds.withColumn("rank", (F.floor(uniform(seed, F.lit("near"), "draw", ident) * F.col("_k")) + 1).cast("int"))
     gap = uniform(seed, F.lit("gap"), "draw", ident)
     made = (
@@ -76,10 +76,10 @@ def smote(rows: DataFrame, label: str, minority, dims: int, seed: int, k: int =
     times = each * under // 100
     numbered = hash_index(minor.select(ident), [], uniform(seed, F.lit("order"), ident), ident, "_n")
     draws = numbered.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).select(
-        (F.col("_n") * times + F.col("_t") + 1).cast("int").alias("draw")
+        (F.col("_n") * times + F.col("_t") + 1).cast("long").alias("draw")
     )
     major = _drawn(rows.where(F.col("label") != minority), draws, ident, seed)
-    plain = lambda frame, kind, draw: frame.select(F.lit(kind).alias("kind"), ident, draw.cast("int").alias("draw"), "label", "v")
+    plain = lambda frame, kind, draw: frame.select(F.lit(kind).alias("kind"), ident, draw.cast("long").alias("draw"), "label", "v")
     return plain(minor, "minority", F.lit(0)).unionByName(made).unionByName(plain(major, "majority", F.col("draw")))
 
 

@@ -22,6 +22,31 @@ def missing_rate(respondents: DataFrame, responses: DataFrame, n_items: int, out
     return respondents.select(id_col).join(answered, id_col, "left").select(id_col, share.alias(out))
 
 
+def missing_rates(respondents: DataFrame, cells: DataFrame, sizes: dict[str, int], id_col: str = "id") -> DataFrame:
+    """``miss_<kind>`` for each questionnaire in ``sizes`` (kind: number of items), in one pass over all cells.
+
+    ``cells`` is (id, kind, item, answer) with a row per cell.
+    """
+    counts = [F.count_if((F.col("kind") == kind) & F.col("answer").isNotNull()).alias(f"_{kind}") for kind in sizes]
+    answered = cells.groupBy(id_col).agg(*counts)
+    share = [(F.lit(1.0) - F.coalesce(F.col(f"_{k}"), F.lit(0)) / F.lit(float(n))).alias(f"miss_{k}") for k, n in sizes.items()]
+    return respondents.select(id_col).join(answered, id_col, "left").select(id_col, *share)
+
+
+def missing_by_respondent(respondents: DataFrame, responses: DataFrame, items: Sequence[str], answer: str = "answer", id_col: str = "id") -> DataFrame:
+    """(id, n_missing, missing): which of the declared items a respondent left out, in their order."""
+    answered = responses.where(F.col(answer).isNotNull()).groupBy(id_col).agg(F.collect_set("item").alias("_has"))
+    left_out = F.filter(F.array(*[F.lit(i) for i in items]), lambda i: ~F.coalesce(F.array_contains("_has", i), F.lit(False)))
+    joined = respondents.select(id_col).join(answered, id_col, "left").withColumn("_out", left_out)
+    return joined.select(id_col, F.size("_out").cast("long").alias("n_missing"), F.array_join("_out", " ").alias("missing"))
+
+
+def complete_case_sizes(scores: DataFrame, scales: Sequence[str], role: str = "role", id_col: str = "id") -> DataFrame:
+    """(role, n): respondents with a score on every scale."""
+    whole = scores.where(F.col("score").isNotNull()).groupBy(id_col, role).agg(F.count_distinct("scale").alias("_n"))
+    return whole.where(F.col("_n") == len(scales)).groupBy(role).agg(F.count(F.lit(1)).alias("n"))
+
+
 def insincere_count(responses: DataFrame, label: str = DONT_KNOW, answer: str = "answer", id_col: str = "id", of: int | None = None) -> DataFrame:
     """How often a respondent chose the give-up option, as a count or as a share of ``of``."""
     hits = F.count_if(F.col(answer) == label)

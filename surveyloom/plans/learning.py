@@ -53,7 +53,7 @@ def split_stratified(spark, d):
         pool AS (SELECT id, row_number() OVER (ORDER BY {t.uniform_sql(5, "'pool'", "id")}, id) - 1 AS idx FROM emb WHERE label <> 0),
         draws AS (SELECT draw, floor({t.uniform_sql(5, "'draw'", "draw")} * (SELECT count(*) FROM pool))::BIGINT AS idx
                   FROM (SELECT unnest(range(1, 2 * (SELECT count(*) FROM mi) + 1)) AS draw))
-        SELECT 'minority' AS kind, id, 0 AS draw, 0 AS label, i, round(v, 6) + 0.0::DOUBLE AS value FROM long WHERE label = 0
+        SELECT 'minority' AS kind, id, 0::BIGINT AS draw, 0 AS label, i, round(v, 6) + 0.0::DOUBLE AS value FROM long WHERE label = 0
         UNION ALL SELECT 'synthetic', id, 1, 0, i, round(v, 6) + 0.0::DOUBLE FROM syn
         UNION ALL SELECT 'majority', id, draw, 1, i, round(v, 6) + 0.0::DOUBLE FROM draws JOIN pool USING (idx) JOIN long USING (id)""",
 )
@@ -101,7 +101,7 @@ def _forest(spark, d):
     rows = cut_lineage(sampling.split_stratified(_binary(spark, d), "id", "label", 0.7, 11))
     train, test = rows.where("train"), rows.where("NOT train")
     balanced = cut_lineage(sampling.smote(train, "label", 0, DIMS, seed=5))
-    return balanced, test, models.random_forest(balanced, trees=50, mtry=12, seed=102)
+    return balanced, test, models.random_forest(balanced, trees=500, mtry=12, seed=102)
 
 
 @query("mlc2_random_forest")

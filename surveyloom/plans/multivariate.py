@@ -84,8 +84,8 @@ def parallel_analysis(spark, d):
 
 # Loadings for the scale-building queries: correlation of each item with each scale mean.
 _LOADINGS = f"""loadings AS (SELECT item, s.scale, covar_samp(a.score, s.score) / nullif(stddev_samp(a.score) * stddev_samp(s.score), 0) AS loading
-    FROM scored a JOIN scale_scores s USING (id) WHERE item <> 'I23' GROUP BY ALL),
-  items AS (SELECT 'I' || lpad((p_partkey % 24)::VARCHAR, 2, '0') AS item, arg_min(p_type, p_partkey) AS trait, arg_min(p_name, p_partkey) AS content
+    FROM scored a JOIN scale_scores s USING (id) GROUP BY ALL),
+  items AS (SELECT 'I' || lpad((p_partkey % 25)::VARCHAR, 2, '0') AS item, arg_min(p_type, p_partkey) AS trait, arg_min(p_name, p_partkey) AS content
     FROM part GROUP BY 1),
   m AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY item ORDER BY abs(loading) DESC) + (count(*) OVER (PARTITION BY item, abs(loading)) - 1) / 2.0 AS rk
     FROM loadings) WHERE rk <= 2),
@@ -96,7 +96,7 @@ _LOADINGS = f"""loadings AS (SELECT item, s.scale, covar_samp(a.score, s.score)
 
 def _items(spark, d):
     part = read_table(spark, d, "part")
-    name = F.concat(F.lit("I"), F.lpad((F.col("p_partkey") % 24).cast("string"), 2, "0"))
+    name = F.concat(F.lit("I"), F.lpad((F.col("p_partkey") % 25).cast("string"), 2, "0"))  # I24 was never asked
     return part.groupBy(name.alias("item")).agg(
         F.min_by("p_type", "p_partkey").alias("trait"), F.min_by("p_name", "p_partkey").alias("content")
     )
@@ -104,7 +104,7 @@ def _items(spark, d):
 
 def _built(spark, d, scored):
     scores = screening.scale_scores(scored, t.key_frame(spark), 24, signed=False).withColumnRenamed("score", "total")
-    pairs = scored.where(F.col("item") != "I23").join(scores, "id")
+    pairs = scored.join(scores, "id")
     loadings = pairs.groupBy("item", "scale").agg(reliability.guarded_corr("score", "total").alias("loading"))
     return factors.build_scales(loadings, _items(spark, d), 2, 6)
 
@@ -185,7 +185,7 @@ def cluster_stability(spark, d):
     wide = reshape.to_wide(scores, ["id"], "scale", "score", t.SCALES)
     filled = neighbors.knn_impute(wide, t.SCALES)
     rows = filled.select("id", F.array(*t.SCALES).alias("v"))
-    return clusters.cluster_stability(rows, [2, 3], len(t.SCALES))
+    return clusters.cluster_stability(rows, range(2, 7), len(t.SCALES))
 
 
 _CLUSTER = "cl AS (SELECT id, CASE WHEN avg(score) >= 3 THEN 1 ELSE 2 END AS cluster FROM scored GROUP BY id)"

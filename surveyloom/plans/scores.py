@@ -122,7 +122,7 @@ def fill_default(spark, d):
         FROM respondents""",
 )
 def duration_min(spark, d):
-    return t.respondents(spark, d).select("id", sc.duration_min(F.col("started"), F.col("completed")).alias("duration_min"))
+    return t.respondents(spark, d, times=True).select("id", sc.duration_min(F.col("started"), F.col("completed")).alias("duration_min"))
 
 
 @query("sca12_day", "SELECT event_id, ts::DATE AS day FROM events")

@@ -73,10 +73,8 @@ def filter_not_in(spark, d):
     f"""WITH {t.SCREEN} SELECT id, round(miss_p, 6) AS miss_p, round(miss_c, 6) AS miss_c FROM screened""",
 )
 def missing_rate(spark, d):
-    people = t.respondents(spark, d)
-    likert = screening.missing_rate(people, t.responses(spark, d), 24, "miss_p", "score")
-    keyed = screening.missing_rate(people, t.answers(spark, d), 25, "miss_c", "option")
-    return likert.join(keyed, "id").select("id", tidy(F.col("miss_p")).alias("miss_p"), tidy(F.col("miss_c")).alias("miss_c"))
+    rates = screening.missing_rates(t.respondents(spark, d), t.cells(spark, d), {"p": 24, "c": 25})
+    return rates.select("id", tidy(F.col("miss_p")).alias("miss_p"), tidy(F.col("miss_c")).alias("miss_c"))
 
 
 @query(
@@ -99,6 +97,16 @@ def missing_map(spark, d):
     return screening.missing_by_item(t.responses(spark, d), people, t.ITEM_NAMES, "score")
 
 
+@query(
+    "agg3_missing_map_by_id",
+    f"""WITH {t.RESPONSES}, a AS (SELECT c_custkey AS id, list(item) FILTER (WHERE score IS NOT NULL) AS has FROM customer LEFT JOIN responses ON id = c_custkey GROUP BY 1),
+        m AS (SELECT id, list_filter([{", ".join(f"'{i}'" for i in t.ITEM_NAMES)}], lambda i: NOT list_contains(coalesce(has, []), i)) AS gone FROM a)
+        SELECT id, len(gone)::BIGINT AS n_missing, coalesce(array_to_string(gone, ' '), '') AS missing FROM m""",
+)
+def missing_map_by_id(spark, d):
+    return screening.missing_by_respondent(t.respondents(spark, d), t.responses(spark, d), t.ITEM_NAMES, "score")
+
+
 @query(
     "agg9_scale_scores",
     f"""WITH {t.SCORED}, {t.COGNITIVE} SELECT id, scale, round(avg(score), 6) AS score FROM scored GROUP BY id, scale
@@ -166,3 +174,15 @@ def quality_profile(spark, d):
 )
 def sample_sizes(spark, d):
     return screening.sample_sizes(t.screening_stats(spark, d), RULES, "role", t.ROLES)
+
+
+@query(
+    "agg27_complete_case_sizes",
+    f"""WITH {t.SCREEN}, {t.SCALE_SCORES}, w AS (SELECT id, role FROM scale_scores JOIN screened USING (id) WHERE {RULES_SQL}
+        GROUP BY id, role HAVING count(DISTINCT scale) = {len(t.SCALES)}) SELECT role, count(*) AS n FROM w GROUP BY role""",
+)
+def complete_case_sizes(spark, d):
+    """Respondents that pass screening and have a score on every scale."""
+    kept = screening.screen(t.screening_stats(spark, d), RULES).select("id", "role")
+    scores = screening.scale_scores(t.responses(spark, d), t.key_frame(spark), 24)
+    return screening.complete_case_sizes(scores.join(kept, "id"), t.SCALES)

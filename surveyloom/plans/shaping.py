@@ -179,13 +179,15 @@ def left_on_item(spark, d):
 
 @query(
     "jon3_keep_dictionary",
-    """SELECT p_partkey, p_name, n FROM (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY 1)
-       RIGHT JOIN part ON l_partkey = p_partkey""",
+    """SELECT p_partkey, p_name, n FROM (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1)
+       RIGHT JOIN (SELECT p_partkey, p_name FROM part UNION ALL SELECT -p_partkey, p_name FROM part) ON l_partkey = p_partkey""",
 )
 def keep_dictionary(spark, d):
-    lines = readers.read_table(spark, d, "lineitem").where(F.col("l_quantity") > 49)
+    """The dictionary also lists items nobody was given: the same parts under negative keys."""
+    lines = readers.read_table(spark, d, "lineitem")
     used = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
-    items = readers.read_table(spark, d, "part").select("p_partkey", "p_name")
+    part = readers.read_table(spark, d, "part")
+    items = part.select("p_partkey", "p_name").union(part.select(-F.col("p_partkey"), "p_name"))
     return reshape.keep_dictionary(used, items, "p_partkey").select("p_partkey", "p_name", "n")
 
 

@@ -69,7 +69,7 @@ def option_share(spark, d):
 )
 def count_table_with_total(spark, d):
     return groups.count_table_with_total(
-        t.respondents(spark, d), "role", "rank", ["Enlisted", "Officer", "Warrant"], F.col("completed").isNotNull()
+        t.respondents(spark, d, times=True), "role", "rank", ["Enlisted", "Officer", "Warrant"], F.col("completed").isNotNull()
     )
 
 
@@ -117,7 +117,7 @@ def factor_scale_scores(spark, d):
 def median_of(spark, d):
     from surveyloom.operators.selection import quantiles
 
-    minutes = t.respondents(spark, d).select(sc.duration_min(F.col("started"), F.col("completed")).alias("m"))
+    minutes = t.respondents(spark, d, times=True).select(sc.duration_min(F.col("started"), F.col("completed")).alias("m"))
     return quantiles(minutes.where("m > 0"), [], "m", {"median": 0.5}).select(tidy(F.col("median")).alias("median"))
 
 
@@ -165,7 +165,7 @@ def value_range(spark, d):
         count(*) FILTER (WHERE completed IS NULL OR completed <= started) AS partial, count(*) AS total FROM respondents GROUP BY role""",
 )
 def completion_summary(spark, d):
-    timed = t.respondents(spark, d).withColumn("duration", sc.duration_min(F.col("started"), F.col("completed")))
+    timed = t.respondents(spark, d, times=True).withColumn("duration", sc.duration_min(F.col("started"), F.col("completed")))
     return groups.completion_summary(timed, "role", F.col("duration") > 0)
 
 
@@ -175,7 +175,7 @@ def completion_summary(spark, d):
         SELECT date, category, count(*) AS n FROM u GROUP BY ALL""",
 )
 def daily_counts(spark, d):
-    return groups.daily_counts(t.respondents(spark, d), ["started", "completed"])
+    return groups.daily_counts(t.respondents(spark, d, times=True), ["started", "completed"])
 
 
 @query(

@@ -31,8 +31,25 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     return line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def _first_by_line(value):
-    return F.min_by(value, F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+# A cell keeps the value of its first order line, by order, line, part and supplier.  They and the
+# value are packed into one decimal, whose least is found by hash aggregation: 12 digits for the
+# order, 2 for the line, 11 and 10 for the keys, 3 for the value.
+_WIDE = "decimal(38,0)"
+
+
+def _packed(code):
+    line = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("decimal(14,0)") * F.lit(str(10**24)).cast("decimal(25,0)")
+    rest = F.col("l_partkey").cast("decimal(11,0)") * F.lit(10**13).cast("decimal(14,0)")
+    return (line + rest + (F.col("l_suppkey") * 1000 + code).cast("decimal(14,0)")).cast(_WIDE)
+
+
+def _code(packed):
+    return F.pmod(packed, F.lit(1000).cast(_WIDE)).cast("int")
+
+
+def _option(code):
+    letter = F.char(code)
+    return F.when(letter == "R", "I don't know").otherwise(letter)
 
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +58,8 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
     return (
         lines(spark, folder)
         .groupBy(F.col("o_custkey").alias("id"), _label("I", F.col("l_partkey") % 24).alias("item"))
-        .agg(_first_by_line(score).alias("score"))
+        .agg(F.min(_packed(score)).alias("first"))
+        .select("id", "item", _code(F.col("first")).alias("score"))
     )
 
 
@@ -57,12 +75,23 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
     """(id, item, option): keyed answers, where R stands for "I don't know"."""
-    option = F.when(F.col("l_returnflag") == "R", "I don't know").otherwise(F.col("l_returnflag"))
     return (
         lines(spark, folder)
         .groupBy(F.col("o_custkey").alias("id"), _label("C", F.col("l_suppkey") % 25).alias("item"))
-        .agg(_first_by_line(option).alias("option"))
+        .agg(F.min(_packed(F.ascii("l_returnflag"))).alias("first"))
+        .select("id", "item", _option(_code(F.col("first"))).alias("option"))
+    )
+
+
+def cells(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, kind, item, answer) of both questionnaires, from one reading of the lines; kind is p or c."""
+    both = F.array(
+        F.struct(F.lit("p").alias("kind"), _label("I", F.col("l_partkey") % 24).alias("item"), _packed(F.ceil(F.col("l_quantity") / 10).cast("int")).alias("first")),
+        F.struct(F.lit("c").alias("kind"), _label("C", F.col("l_suppkey") % 25).alias("item"), _packed(F.ascii("l_returnflag")).alias("first")),
     )
+    least = lines(spark, folder).select(F.col("o_custkey").alias("id"), F.inline(both)).groupBy("id", "kind", "item").agg(F.min("first").alias("first"))
+    code = _code(F.col("first"))
+    return least.select("id", "kind", "item", F.when(F.col("kind") == "p", code.cast("string")).otherwise(_option(code)).alias("answer"))
 
 
 def keyed_scores(cells: DataFrame) -> DataFrame:
@@ -76,8 +105,8 @@ def cognitive(spark: SparkSession, folder: str) -> DataFrame:
     return keyed_scores(answers(spark, folder))
 
 
-def respondents(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per respondent with demographics and start/finish times."""
+def respondents(spark: SparkSession, folder: str, times: bool = False) -> DataFrame:
+    """One row per respondent with demographics and, where wanted, start/finish times."""
     nation = F.col("c_nationkey")
     people = read_table(spark, folder, "customer").select(
         F.col("c_custkey").alias("id"),
@@ -95,12 +124,14 @@ def respondents(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("c_custkey") % 5 == 0, "Yes").when(F.col("c_custkey") % 5 < 4, "No").alias("scripts"),
         F.col("c_acctbal").alias("balance"),
     )
-    times = (
+    if not times:
+        return people
+    spans = (
         read_table(spark, folder, "events")
         .groupBy(F.col("user_id").alias("id"))
         .agg(F.min("ts").alias("started"), F.max("ts").alias("completed"))
     )
-    return people.join(times, "id", "left")
+    return people.join(spans, "id", "left")
 
 
 def screening_stats(spark: SparkSession, folder: str, keyed: DataFrame | None = None) -> DataFrame:
@@ -205,4 +236,4 @@ TWO_GROUPS = """two AS (
 def uniform_sql(seed, *labels: str) -> str:
     """SQL text of the hashed uniform."""
     parts = ", ".join([f"'{seed}'", *[f"({label})::VARCHAR" for label in labels]])
-    return f"(('0x' || substr(md5(concat_ws('-', {parts})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    return f"(('0x' || substr(md5(concat_ws('-', {parts})), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE)"

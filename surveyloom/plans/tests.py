@@ -11,7 +11,7 @@ from surveyloom.plans import tables as t
 from surveyloom.plans.registry import query
 from surveyloom.plans.summaries import ROLE_SCALE, role_scale_scores, settled_scores
 
-REPS = 200
+REPS = 1000
 
 
 def _rounded(df, *cols):

@@ -61,7 +61,7 @@ def test_permutation_matches_full_ranking(spark, partitions, parts):
     got = inference.permute_null(frame, "id", "g", "x", "a", "b", 40, 9).toPandas().set_index("rep")["stat"]
     import hashlib
 
-    u = lambda rep, i: int(hashlib.md5(f"9-{rep}-{i}".encode()).hexdigest()[:8], 16)
+    u = lambda rep, i: int(hashlib.md5(f"9-{rep}-{i}".encode()).hexdigest()[:13], 16)
     n_a = sum(g == "a" for _, g, _ in rows)
     for rep in (1, 17, 40):
         order = sorted(rows, key=lambda r: (u(rep, r[0]), r[0]))
