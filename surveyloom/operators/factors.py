@@ -10,7 +10,6 @@ from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
-from surveyloom.functions.draws import uniform
 from surveyloom.functions.scores import sign_label, signed_score
 from surveyloom.operators.crossproducts import cor_pairwise
 from surveyloom.operators.ranking import average_rank_grouped
@@ -70,10 +69,10 @@ def _varimax(loadings: np.ndarray, rounds: int = 500, tol: float = 1e-10) -> np.
     return (a @ rotation) * size
 
 
-def correlation_matrix(cor: DataFrame, items: Sequence[str]) -> np.ndarray:
-    """The items-by-items matrix on the driver; its size is bounded by the item list."""
-    if len(items) > MAX_ITEMS:
-        raise ValueError(f"{len(items)} items exceed {MAX_ITEMS}")
+def correlation_matrix(cor: DataFrame, items: Sequence[str], max_items: int = MAX_ITEMS) -> np.ndarray:
+    """The items-by-items matrix on the driver; more than ``max_items`` items are refused."""
+    if len(items) > max_items:
+        raise ValueError(f"{len(items)} items exceed {max_items}")
     place = {name: i for i, name in enumerate(items)}
     out = np.eye(len(items))
     for row in cor.where(F.col("r").isNotNull()).select("item_a", "item_b", "r").collect():
@@ -82,7 +81,7 @@ def correlation_matrix(cor: DataFrame, items: Sequence[str]) -> np.ndarray:
     return out
 
 
-def factor_loadings(responses: DataFrame, items: Sequence[str], m: int, value: str = "score") -> DataFrame:
+def factor_loadings(responses: DataFrame, items: Sequence[str], m: int, value: str = "score", max_items: int = MAX_ITEMS) -> DataFrame:
     """Varimax-rotated principal factors of the pair-complete correlations.
 
     The correlations are a Spark job over all answers; only the rotation of
@@ -90,7 +89,7 @@ def factor_loadings(responses: DataFrame, items: Sequence[str], m: int, value: s
     their variance and signed so their largest loading is positive.
     """
     items = sorted(items)
-    matrix = correlation_matrix(cor_pairwise(responses, items, value), items)
+    matrix = correlation_matrix(cor_pairwise(responses, items, value), items, max_items)
     values, vectors = np.linalg.eigh(matrix)
     top = np.argsort(-values)[:m]
     loadings = vectors[:, top] * np.sqrt(np.maximum(values[top], 0.0))
@@ -102,45 +101,65 @@ def factor_loadings(responses: DataFrame, items: Sequence[str], m: int, value: s
     return responses.sparkSession.createDataFrame(table, "item string, scale string, loading double")
 
 
-def parallel_analysis(wide: DataFrame, items: Sequence[str], reps: int, seed: int, ident: str = "id", block_rows: int = 50_000) -> DataFrame:
-    """(component, observed, resampled): eigenvalues against column-permuted data.
+def _hashed_uniforms(seed: int, rep: int, column: int, keys: np.ndarray) -> np.ndarray:
+    """Uniforms with 53 bits from 64-bit row keys, one stream per replicate and column."""
+    with np.errstate(over="ignore"):
+        start = (seed * 0x9E3779B97F4A7C15 + rep * 0xC2B2AE3D27D4EB4F + column * 0x165667B19E3779F9) % (1 << 64)
+        z = keys ^ np.uint64(start)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0x9E3779B97F4A7C15)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        return ((z ^ (z >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
 
-    Respondents are dealt into hashed blocks; within its block every column is
-    permuted on its own, which breaks all associations and keeps every
-    column's values.  A block sends back cross-products only.  Gaps travel
-    with their column.
+
+def parallel_analysis(wide: DataFrame, items: Sequence[str], reps: int, seed: int, ident: str = "id", most_values: int = 10_000) -> DataFrame:
+    """(component, observed, resampled): eigenvalues against data whose columns are resampled apart.
+
+    In a replicate every answer is drawn anew from its column's distribution, by a hash of
+    replicate, column and respondent; gaps stay where they are.  That breaks all associations and
+    keeps each column's values.  Tasks read their rows once and send back cross-products only.
+    Answers are categories: a column with over ``most_values`` different ones is refused.
     """
     items = list(items)
     p = len(items)
-    wide = cut_lineage(wide.select(ident, *items))
-    blocks = max(1, -(-wide.count() // block_rows))
-    dealt = wide.withColumn("_block", F.floor(uniform(seed, ident) * blocks).cast("int"))
-    schema = "rep int, a int, b int, n double, sa double, sb double, saa double, sbb double, sab double"
-
-    def products(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(ident)
-        x = block[items].to_numpy(dtype=float, na_value=np.nan)
-        rng = np.random.default_rng([seed, int(key[0])])
-        a, b = np.triu_indices(p, 1)
-        out = []
+    wide = cut_lineage(wide.select(F.xxhash64(ident).alias("_key"), *[F.col(i).cast("double").alias(i) for i in items]))
+    long = wide.unpivot([], items, "item", "value").where("value IS NOT NULL")
+    counts = long.groupBy("item", "value").agg(F.count(F.lit(1)).alias("n"))
+    seen = counts.groupBy("item").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if seen > most_values:
+        raise ValueError(f"a column has {seen} different answers; {most_values} are allowed")
+    table = counts.toPandas().sort_values(["item", "value"])  # at most most_values rows per item
+    drawn = {i: (part["value"].to_numpy(), np.cumsum(part["n"].to_numpy()) / part["n"].sum()) for i, part in table.groupby("item")}
+    a, b = np.triu_indices(p, 1)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((reps + 1, 6, len(a)))
+        for batch in batches:
+            x = batch[items].to_numpy(dtype=float, na_value=np.nan)
+            keys = batch["_key"].to_numpy().view(np.uint64)
+            m = (~np.isnan(x)).astype(float)
+            for rep in range(reps + 1):
+                z = np.where(m > 0, x, 0.0)
+                if rep:
+                    for j, name in enumerate(items):
+                        if name in drawn:
+                            values, upto = drawn[name]
+                            at = np.searchsorted(upto, _hashed_uniforms(seed, rep, j, keys), "right")
+                            z[:, j] = values[np.minimum(at, len(values) - 1)] * m[:, j]
+                s, ss, c, n = z.T @ m, (z * z).T @ m, z.T @ z, m.T @ m
+                total[rep] += np.stack([n[a, b], s[a, b], s.T[a, b], ss[a, b], ss.T[a, b], c[a, b]])
         for rep in range(reps + 1):
-            y = rng.permuted(x, axis=0) if rep else x
-            m = (~np.isnan(y)).astype(float)
-            z = np.where(m > 0, y, 0.0)
-            s, ss, c, n = z.T @ m, (z * z).T @ m, z.T @ z, m.T @ m
-            out.append(
-                pd.DataFrame({"rep": rep, "a": a, "b": b, "n": n[a, b], "sa": s[a, b], "sb": s.T[a, b], "saa": ss[a, b], "sbb": ss.T[a, b], "sab": c[a, b]})
-            )
-        return pd.concat(out, ignore_index=True)
-
-    sums = dealt.groupBy("_block").applyInPandas(products, schema)
+            yield pd.DataFrame(dict(zip(("n", "sa", "sb", "saa", "sbb", "sab"), total[rep]))).assign(rep=rep, a=a, b=b)[["rep", "a", "b", "n", "sa", "sb", "saa", "sbb", "sab"]]
+
+    schema = "rep int, a int, b int, n double, sa double, sb double, saa double, sbb double, sab double"
+    sums = wide.mapInPandas(products, schema)
     sums = sums.groupBy("rep", "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
 
     def eigen(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         r = np.eye(p)
-        va = cells["saa"] - cells["sa"] ** 2 / cells["n"]
-        vb = cells["sbb"] - cells["sb"] ** 2 / cells["n"]
-        cov = cells["sab"] - cells["sa"] * cells["sb"] / cells["n"]
+        n = np.maximum(cells["n"], 1)
+        va = cells["saa"] - cells["sa"] ** 2 / n
+        vb = cells["sbb"] - cells["sb"] ** 2 / n
+        cov = cells["sab"] - cells["sa"] * cells["sb"] / n
         safe = (va > 1e-12) & (vb > 1e-12)
         cor = np.where(safe, cov / np.sqrt(np.where(safe, va * vb, 1.0)), 0.0)
         r[cells["a"], cells["b"]] = r[cells["b"], cells["a"]] = cor

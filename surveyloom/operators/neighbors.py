@@ -1,14 +1,10 @@
-"""Exact k nearest neighbours as two shuffles.
+"""Exact k nearest neighbours over a grid of query groups and donor groups.
 
-Donors are cut into blocks with a bounding box each.  A query first meets the
-blocks nearest to it, which gives an upper bound for its k-th distance, and then
-only those further blocks whose box comes within that bound.  Pruning never
-changes the answer: a block is skipped only when no donor in it can be among
-the k nearest.  Boxes are bounds in every coordinate, so they hold for any
-subset of observed coordinates too.
-
-A block that many queries ask for is split by query, and a cell that many
-donors fall into is split by donor, so no task holds an unbounded group.
+Queries and donors are dealt by hash into groups of bounded size; every query group meets every
+donor group in a task of its own, which sends back at most k donors per query.  A vector
+is copied as often as the other side has groups, and no row holds a pair of vectors.  Boxes or
+balls around donors prune nothing in dozens of dimensions, so the work is quadratic: exact search
+compares all queries with all donors.
 """
 
 from __future__ import annotations
@@ -20,78 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from surveyloom.functions.draws import uniform
-from surveyloom.session import cut_lineage, spread
+from surveyloom.session import attach_measured, cut_lineage, spread
 
-BLOCK_ROWS = 4096  # donors per block, grown when there would be too many blocks
-MAX_BLOCKS = 16384  # keeps the box table small enough to send to every task
-QUERY_ROWS = 2048  # queries of one block per task
+GROUP_ROWS = 8192  # vectors of one side in a task, about
 _ROUND = 8  # squared distances are compared to this many decimals
 
 
-def _split(donors: DataFrame, by: list[str], ident: str, dims: int) -> tuple[DataFrame, int]:
-    """Donors with a block number; the second value is the number of cuts used."""
-    sizes = donors.groupBy(*by).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
-    most, total = (sizes["most"] or 0), (sizes["all"] or 0)
-    rows = max(BLOCK_ROWS, -(-total // MAX_BLOCKS))
-    cuts = min(12, dims, max(0, int(np.ceil(np.log2(max(1.0, most / rows))))))
-    if cuts == 0:
-        return donors.withColumn("_block", F.size("_v") - dims), 0
-    coord = lambda i: F.col("_v")[i]
-    stats = donors.agg(
-        *[F.var_samp(coord(i)).alias(f"v{i}") for i in range(dims)],
-        *[F.percentile_approx(coord(i), 0.5).alias(f"m{i}") for i in range(dims)],
-    ).first()
-    widest = sorted(range(dims), key=lambda i: (-(stats[f"v{i}"] or 0.0), i))[:cuts]
-    cell = F.lit(0)
-    for place, i in enumerate(widest):
-        cell = cell + F.when(coord(i) > F.lit(stats[f"m{i}"]), 1 << place).otherwise(0)
-    placed = donors.withColumn("_cell", cell)
-    parts = placed.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias("_parts"))
-    # At most 2^12 cells per group: bounded, so sent to every task.
-    placed = placed.join(F.broadcast(parts), [*by, "_cell"])
-    part = F.floor(uniform("block", ident) * F.col("_parts"))
-    return placed.withColumn("_block", (part * 4096 + F.col("_cell")).cast("int")).drop("_cell", "_parts"), cuts
-
-
-def _boxes(donors: DataFrame, by: list[str], dims: int) -> pd.DataFrame:
-    """One row per block; their number is bounded by construction."""
-    ends = [agg(F.col("_v")[i]) for agg in (F.min, F.max) for i in range(dims)]
-    frame = donors.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("n"), F.array(*ends).alias("ends")).orderBy(*by, "_block")
-    return frame.toPandas()
-
-
-class _Chooser:
-    """Which blocks a query must visit, decided from boxes alone."""
-
-    def __init__(self, boxes: pd.DataFrame, by: list[str], dims: int, need: int):
-        self.by, self.need, self.groups = by, need, {}
-        for key, part in boxes.groupby(by) if by else [((), boxes)]:
-            ends = np.array(part["ends"].tolist(), dtype=float).reshape(len(part), 2, dims)
-            self.groups[key] = (part["_block"].to_numpy(), part["n"].to_numpy(), ends[:, 0], ends[:, 1])
-
-    def pairs(self, frame: pd.DataFrame, later: bool) -> Iterator[pd.DataFrame]:
-        for key, part in frame.groupby(self.by) if self.by else [((), frame)]:
-            if key not in self.groups:
-                continue
-            blocks, sizes, low, high = self.groups[key]
-            chunk = max(1, 4_000_000 // max(1, len(blocks) * low.shape[1]))
-            for start in range(0, len(part), chunk):
-                rows = part.iloc[start : start + chunk]
-                v = np.array(rows["_v"].tolist(), dtype=float)[:, None, :]
-                gap = np.maximum(np.maximum(low - v, v - high), 0.0)
-                bound = np.nansum(gap * gap, axis=2)
-                order = np.argsort(bound, axis=1, kind="stable")
-                enough = np.cumsum(sizes[order], axis=1) - sizes[order] < self.need
-                first = np.zeros_like(enough)
-                np.put_along_axis(first, order, enough, axis=1)
-                chosen = first
-                if later:
-                    limit = rows["_limit"].to_numpy(dtype=float)
-                    chosen = ~first & (bound <= np.where(np.isnan(limit), np.inf, limit)[:, None] + 10.0 ** -_ROUND)
-                r, b = np.nonzero(chosen)
-                yield rows.iloc[r].drop(columns="_limit", errors="ignore").assign(_block=blocks[b])
-
-
 def _block_nearest(queries: pd.DataFrame, donors: pd.DataFrame, ident: str, k: int, keep_self: bool, carry: Sequence[str]) -> pd.DataFrame:
     donors = donors.sort_values(ident, kind="stable").reset_index(drop=True)
     d = np.array(donors["_v"].tolist(), dtype=float)
@@ -122,28 +52,11 @@ def _block_nearest(queries: pd.DataFrame, donors: pd.DataFrame, ident: str, k: i
     return pd.concat(found, ignore_index=True)
 
 
-def _visit(pairs: DataFrame, donors: DataFrame, by: list[str], ident: str, k: int, keep_self: bool, carry: list[str], schema: T.StructType) -> DataFrame:
-    """k nearest inside each asked block, blocks in demand split by query."""
-    pairs = cut_lineage(pairs)
-    demand = pairs.groupBy(*by, "_block").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_ROWS)).cast("int").alias("_salts"))
-    # One row per block and group, bounded like the box table.
-    demand = F.broadcast(cut_lineage(demand))
-    salt = F.floor(uniform("salt", ident) * F.col("_salts")).cast("int")
-    asked = pairs.join(demand, [*by, "_block"]).withColumn("_salt", salt).drop("_salts")
-    copies = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
-    offered = donors.join(demand, [*by, "_block"]).withColumn("_salt", copies).drop("_salts")
-    keys = [*by, "_block", "_salt"]
-
-    def nearest_here(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=schema.names)
-        out = _block_nearest(left, right, ident, k, keep_self, carry)
-        for name, value in zip(by, key):
-            out[name] = value
-        return out[schema.names]
-
-    left, right = spread(asked, *keys).groupBy(*keys), spread(offered, *keys).groupBy(*keys)
-    return left.cogroup(right).applyInPandas(nearest_here, schema)
+def _dealt(rows: DataFrame, by: list[str], ident: str, out: str) -> DataFrame:
+    """``rows`` with a hashed group number within ``by`` and the number of groups, ``<out>_of``."""
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_ROWS)).cast("int").alias(f"{out}_of"))
+    rows = attach_measured(rows, sizes, by) if by else rows.withColumn(f"{out}_of", sizes.scalar())
+    return rows.withColumn(out, F.floor(uniform("group", ident) * F.col(f"{out}_of")).cast("int"))
 
 
 def nearest(queries: DataFrame, donors: DataFrame, k: int, dims: int, ident: str = "id", vector: str = "v", by: Sequence[str] = (), keep_self: bool = True, carry: Sequence[str] = ()) -> DataFrame:
@@ -155,39 +68,39 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, dims: int, ident: str
     """
     by, carry = list(by), list(carry)
     values = F.transform(vector, lambda x: x.cast("double"))
-    q = cut_lineage(queries.select(*by, ident, values.alias("_v")))
+    q = _dealt(cut_lineage(queries.select(*by, ident, values.alias("_v"))), by, ident, "_q")
     names = [*by, ident, *carry]
     # Renamed onto themselves: donors may share their columns' origin with the queries.
     given = cut_lineage(donors.select(*names, values.alias("_v"))).toDF(*names, "_v")
-    d, cuts = _split(given, by, ident, dims)
+    d = _dealt(given, by, ident, "_d")
     fields = [q.schema[name] for name in by] + [
         T.StructField(ident, q.schema[ident].dataType),
         T.StructField("donor", q.schema[ident].dataType),
         T.StructField("d2", T.DoubleType()),
     ] + [T.StructField(f"donor_{c}", d.schema[c].dataType) for c in carry]
     schema = T.StructType(fields)
-    window = Window.partitionBy(*by, ident).orderBy("d2", "donor")
-    best = lambda hits: hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
-    if cuts == 0:
-        hits = _visit(q.withColumn("_block", F.lit(0)), d, by, ident, k, keep_self, carry, schema)
-        return best(hits)
-    boxes = _boxes(d, by, dims)
-    chooser = _Chooser(boxes, by, dims, k + (0 if keep_self else 1))
-    pair_schema = T.StructType([*q.schema.fields, T.StructField("_block", T.IntegerType())])
 
-    def pick(later: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for out in chooser.pairs(batch, later):
-                    yield out[pair_schema.names]
+    def copies(rows: DataFrame, other: DataFrame, number: str) -> DataFrame:
+        """Each row once per group of the other side."""
+        most = other.groupBy(*by).agg(F.max(f"{number}_of").alias("_copies"))
+        rows = attach_measured(rows, most, by, how="inner") if by else rows.withColumn("_copies", F.coalesce(most.scalar(), F.lit(0)))
+        return rows.where("_copies > 0").withColumn(number, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
 
-        return run
+    left = copies(q.drop("_q_of"), d, "_d")
+    right = copies(d.drop("_d_of"), q, "_q")
+    keys = [*by, "_q", "_d"]
 
-    home = cut_lineage(best(_visit(q.mapInPandas(pick(False), pair_schema), d, by, ident, k, keep_self, carry, schema)))
-    limits = home.where(F.col("rank") == k).select(*by, ident, F.col("d2").alias("_limit"))
-    bounded = q.join(limits, [*by, ident], "left")
-    rest = _visit(bounded.mapInPandas(pick(True), pair_schema), d, by, ident, k, keep_self, carry, schema)
-    return best(home.drop("rank").unionByName(rest))
+    def nearest_here(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=schema.names)
+        out = _block_nearest(left, right, ident, k, keep_self, carry)
+        for name, value in zip(by, key):
+            out[name] = value
+        return out[schema.names]
+
+    hits = spread(left, *keys).groupBy(*keys).cogroup(spread(right, *keys).groupBy(*keys)).applyInPandas(nearest_here, schema)
+    window = Window.partitionBy(*by, ident).orderBy("d2", "donor")
+    return hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
 def standardise(rows: DataFrame, dims: int, by: Sequence[str] = (), vector: str = "v", fit: DataFrame | None = None) -> DataFrame:
@@ -245,27 +158,68 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int, dims: int, ident: st
     return test.select(ident, label).join(vote(hits, [ident]), ident)
 
 
-def repeated_cv(rows: DataFrame, dims: int, ks: Sequence[int], folds: int, repeats: int, seed: int, ident: str = "id", label: str = "label") -> DataFrame:
-    """Accuracy of every k over repeated cross-validation, in one job.
+# Labelled rows a repeated cross-validation trains on; more are drawn down to about as many by hash.
+CV_TRAIN_ROWS = 200_000
+
+
+def repeated_cv(rows: DataFrame, dims: int, ks: Sequence[int], folds: int, repeats: int, seed: int, ident: str = "id", label: str = "label", train_rows: int = CV_TRAIN_ROWS) -> DataFrame:
+    """Accuracy of every k over repeated cross-validation.
 
-    Each row is tested once per repeat against the rows of the other folds,
-    scaled by those rows' moments.  Neighbours are ranked once, to the largest
-    k, and every smaller k reads a prefix of that ranking.
+    Each row is tested once per repeat against the training rows of the other folds, scaled by
+    those rows' moments.  The training matrix, at most about ``train_rows`` rows, goes to every
+    task once, and folds are told apart inside it: no vector is copied per fold or shuffled.
+    Neighbours are ranked once, to the largest k, and every smaller k reads a prefix.
     """
     ks = sorted(ks)
-    base = rows.select(ident, F.col(label).alias("label"), F.transform("v", lambda x: x.cast("double")).alias("v"))
-    spread = base.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    spread = cut_lineage(spread.withColumn("own", F.floor(uniform(seed, "repeat", ident) * folds).cast("int")))
-    others = F.array(*[F.lit(i) for i in range(folds)])
-    train = spread.withColumn("fold", F.explode(F.array_remove(others, F.col("own"))))
-    test = spread.withColumn("fold", F.col("own"))
-    by = ["repeat", "fold"]
-    hits = nearest(
-        standardise(test, dims, by, fit=train), standardise(train, dims, by), ks[-1], dims, ident, by=by, carry=["label"]
-    )
-    wanted = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("rank"))
-    predicted = vote(hits.withColumn("k", F.explode(wanted)), [*by, ident, "k"])
-    truth = test.select(*by, ident, "label")
-    return predicted.join(truth, [*by, ident]).groupBy("k").agg(
-        F.avg((F.col("predicted") == F.col("label")).cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n")
-    )
+    base = cut_lineage(rows.select(ident, F.col(label).alias("label"), F.transform("v", lambda x: x.cast("double")).alias("v")))
+    own = F.array(*[F.floor(uniform(seed, F.lit(r), ident) * folds).cast("int") for r in range(1, repeats + 1)])
+    dealt = base.withColumn("own", own)
+    total = base.count()
+    drawn = dealt if total <= train_rows else dealt.where(uniform(seed, F.lit("train"), ident) < F.lit(train_rows / total))
+    train = drawn.orderBy(ident).limit(2 * train_rows).toPandas()
+    x = np.array(train["v"].tolist(), dtype=float).reshape(len(train), dims)
+    labels, votes = np.unique(train["label"].to_numpy(), return_inverse=True)
+    folds_of = np.array(train["own"].tolist(), dtype=int).reshape(len(train), repeats)
+    moments = {}
+    for r in range(repeats):
+        for fold in range(folds):
+            part = x[folds_of[:, r] != fold]
+            if len(part):
+                mean, sd = part.mean(axis=0), part.std(axis=0, ddof=1) if len(part) > 1 else np.zeros(dims)
+                moments[r, fold] = mean, np.where(sd > 1e-12, sd, 1.0)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        right, seen = np.zeros(len(ks), np.int64), np.zeros(len(ks), np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            given = np.array(batch["v"].tolist(), dtype=float)
+            told = np.searchsorted(labels, batch["label"].to_numpy())
+            known = labels[np.minimum(told, len(labels) - 1)] == batch["label"].to_numpy()
+            home = np.array(batch["own"].tolist(), dtype=int)
+            for (r, fold), (mean, sd) in moments.items():
+                mine = np.flatnonzero(home[:, r] == fold)
+                others = np.flatnonzero(folds_of[:, r] != fold)
+                d = (x[others] - mean) / sd
+                square = (d * d).sum(1)
+                for start in range(0, len(mine), max(1, 4_000_000 // max(1, len(others)))):
+                    part = mine[start : start + max(1, 4_000_000 // max(1, len(others)))]
+                    q = (given[part] - mean) / sd
+                    d2 = np.round(np.maximum((q * q).sum(1)[:, None] - 2.0 * (q @ d.T) + square[None, :], 0.0), _ROUND)
+                    near = np.argsort(d2, axis=1, kind="stable")[:, : ks[-1]]  # training rows lie in order of id
+                    voted = votes[others][near]
+                    for i, k in enumerate(ks):
+                        tally = np.stack([(voted[:, :k] == c).sum(axis=1) for c in range(len(labels))], axis=1)
+                        right[i] += int(((tally.argmax(axis=1) == told[part]) & known[part]).sum())
+                        seen[i] += len(part)
+        yield pd.DataFrame({"k": np.array(ks, np.int32), "right": right, "n": seen})
+
+    counts = spread(dealt, ident).mapInPandas(judge, "k int, right long, n long").groupBy("k").agg(F.sum("right").alias("right"), F.sum("n").alias("n"))
+    return counts.select("k", (F.col("right") / F.col("n")).alias("accuracy"), "n")
+
+
+def tuned_knn(train: DataFrame, test: DataFrame, dims: int, ks: Sequence[int], folds: int, repeats: int, seed: int, ident: str = "id", label: str = "label") -> tuple[int, DataFrame]:
+    """The k of best cross-validated accuracy, the largest of equals, and (id, label, predicted) of the test rows."""
+    scores = repeated_cv(train, dims, ks, folds, repeats, seed, ident, label)
+    best = scores.orderBy(F.round("accuracy", 9).desc(), F.col("k").desc()).first()["k"]
+    return best, knn_classify(train, test, best, dims, ident, label)

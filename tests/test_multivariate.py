@@ -50,7 +50,7 @@ def test_factors_recover_two_blocks(spark):
 def test_parallel_analysis_finds_two_components(spark):
     _, x = survey(spark)
     wide = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, " + ", ".join(f"q{j} double" for j in range(6)))
-    out = factors.parallel_analysis(wide, [f"q{j}" for j in range(6)], 10, 1, block_rows=100).orderBy("component").toPandas()
+    out = factors.parallel_analysis(wide, [f"q{j}" for j in range(6)], 10, 1).orderBy("component").toPandas()
     assert np.allclose(out["observed"], np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1])
     assert (out["observed"] > out["resampled"]).sum() == 2
     assert out["resampled"].sum() == pytest.approx(6.0)

@@ -1,4 +1,4 @@
-"""Exact neighbours against brute force, with small blocks and a hot cell."""
+"""Exact neighbours against brute force, with many small groups and a hot place."""
 
 import numpy as np
 import pytest
@@ -8,14 +8,13 @@ from surveyloom.operators import neighbors as nb
 
 @pytest.fixture
 def small_blocks(monkeypatch):
-    monkeypatch.setattr(nb, "BLOCK_ROWS", 64)
-    monkeypatch.setattr(nb, "QUERY_ROWS", 50)
+    monkeypatch.setattr(nb, "GROUP_ROWS", 150)
 
 
-@pytest.mark.parametrize("by", [[], ["g"]])
-def test_nearest_is_exact(spark, small_blocks, by):
+@pytest.mark.parametrize("by, d", [([], 4), (["g"], 4), ([], 64)])
+def test_nearest_is_exact(spark, small_blocks, by, d):
     rng = np.random.default_rng(1)
-    n, d, k = 900, 4, 6
+    n, k = 900, 6
     x = rng.normal(size=(n, d)).round(1)
     x[: n // 3] = x[0]
     q = rng.normal(size=(120, d)).round(1)
@@ -50,3 +49,24 @@ def test_impute_keeps_observed_and_fills_all_gaps(spark):
     z = (observed - np.nanmean(observed, axis=0)) / np.nanstd(observed, axis=0, ddof=1)
     got = out.sort_values("id")[["a", "b", "c"]].to_numpy()
     assert np.allclose(got[~np.isnan(z)], z[~np.isnan(z)])
+
+
+def test_repeated_cv_matches_fold_by_fold(spark):
+    from surveyloom.functions.draws import uniform
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(90, 3)), rng.integers(0, 3, 90)
+    x[y == 1] += 1.5
+    rows = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(90)], "id long, label int, v array<double>")
+    own = {r["id"]: r["own"] for r in rows.select("id", F.floor(uniform(3, F.lit(1), "id") * 4).alias("own")).collect()}
+    fold = np.array([own[i] for i in range(90)])
+    right = 0
+    for i in range(90):
+        others = np.flatnonzero(fold != fold[i])
+        mean, sd = x[others].mean(axis=0), x[others].std(axis=0, ddof=1)
+        d2 = np.round((((x[others] - x[i]) / sd) ** 2).sum(axis=1), 8)
+        near = others[np.lexsort((others, d2))][:5]
+        right += np.bincount(y[near], minlength=3).argmax() == y[i]
+    got = nb.repeated_cv(rows, 3, [5], folds=4, repeats=1, seed=3).first()
+    assert got["n"] == 90 and got["accuracy"] == pytest.approx(right / 90)
