@@ -114,7 +114,7 @@ def pack(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, length:
         encoder = segments.word_encoder(tokenizer_path)
         squeeze = zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], "<u2").tobytes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in segments.parts(whole, 1)):
             ids, counts = encoder.encode(batch.column(1))
             key = curve_key(ids, counts, batch.column(2).to_numpy())
             raw, stops = ids.astype("<u2").tobytes(), (np.cumsum(counts) * 2).tolist()

@@ -80,6 +80,16 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
 
 
+def parts(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+    """The batch in runs of rows whose texts have about ``most`` bytes, so that what is made from them stays small."""
+    _, offsets = text_bytes(batch.column(column))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def slices(data: np.ndarray, offsets: np.ndarray, is_cut) -> list[tuple[int, int]]:
     """Byte ranges of about SLICE bytes, ending where a text ends or, inside a long one, at a safe cut.
 
