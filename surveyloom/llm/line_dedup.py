@@ -54,7 +54,8 @@ def dedup_lines(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     later = repeated_windows(docs, folder, id_col, text_col).toDF("later_id", "later_hash", "ks")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
     same = F.col("id").eqNullSafe(F.col("later_id")) & (F.col("hash") == F.col("later_hash"))
-    rows = rows.join(later, same, "left").withColumn("l", _lines(F.col("text")))
+    # Merged at every size: a list that is small now and sent to the documents would not be so on more of them.
+    rows = rows.join(later.hint("merge"), same, "left").withColumn("l", _lines(F.col("text")))
     rows = rows.withColumn("p", F.when(F.col("ks").isNotNull(), _places(F.col("l"))))
     place, line = F.col("p"), F.col("l")
     covered = F.array_distinct(F.flatten(F.transform("ks", lambda k: F.array(*[place[k + o] for o in range(WINDOW)]))))
