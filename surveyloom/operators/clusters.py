@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import and_
 from typing import Iterator, Sequence
 
 import numpy as np
@@ -118,51 +121,72 @@ def kmedoids_sampled(rows: DataFrame, ks: Sequence[int], samples: int = 5, size:
     return rows.mapInPandas(label, fields)
 
 
-def cluster_validity(rows: DataFrame, labels: DataFrame, dims: int, neighbours: int = 10, ident: str = "id", vector: str = "v") -> DataFrame:
-    """Silhouette, centroid Dunn index and connectivity for each k in ``labels``.
+def labels_of(rows: DataFrame, ks: Sequence[int], method: str, seed: int = 1, ident: str = "id", vector: str = "v") -> DataFrame:
+    """(k, id, cluster) by ``kmeans``, ``bisecting`` or ``kmedoids``."""
+    if method == "bisecting":
+        return bisecting_kmeans(rows, ks, seed, ident, vector)
+    if method == "kmedoids":
+        return kmedoids_sampled(rows, ks, seed=seed, ident=ident, vector=vector).select("k", ident, "cluster")
+    if method != "kmeans":
+        raise ValueError(f"no method {method}")
+    found = [kmeans(rows, k, seed, ident, vector).withColumn("k", F.lit(k)) for k in ks]
+    return reduce(DataFrame.unionByName, found).select("k", ident, "cluster")
 
-    Neighbours are found once and shared by every k.
+
+METHODS = ("kmeans", "bisecting", "kmedoids")
+
+
+def cluster_validity(rows: DataFrame, labels: DataFrame, dims: int, neighbours: int = 10, ident: str = "id", vector: str = "v", keys: Sequence[str] = ("k",)) -> DataFrame:
+    """Silhouette, centroid Dunn index and connectivity for each clustering in ``labels``.
+
+    ``keys`` tell the clusterings apart, for example (method, k).  Neighbours are found once and
+    shared by all.  The silhouette is on squared distances.
     """
+    keys = list(keys)
     rows = cut_lineage(rows.select(ident, F.col(vector).alias("v")))
-    labels = cut_lineage(labels.select("k", ident, "cluster"))
+    labels = cut_lineage(labels.select(*keys, ident, "cluster"))
     near = cut_lineage(nearest(rows, rows, neighbours, dims, ident, keep_self=False).select(ident, "donor", "rank"))
     own = near.join(labels, ident)
-    other = labels.select("k", F.col(ident).alias("donor"), F.col("cluster").alias("_other"))
+    other = labels.select(*keys, F.col(ident).alias("donor"), F.col("cluster").alias("_other"))
     apart = F.when(F.col("cluster") != F.col("_other"), F.lit(1.0) / F.col("rank")).otherwise(F.lit(0.0))
-    connectivity = own.join(other, ["k", "donor"]).groupBy("k").agg(F.sum(apart).alias("connectivity"))
-    joined = rows.join(labels, ident)
-    centres = joined.groupBy("k", "cluster").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(dims)]).alias("_c"))
+    connectivity = own.join(other, [*keys, "donor"]).groupBy(*keys).agg(F.sum(apart).alias("connectivity"))
+    joined = cut_lineage(rows.join(labels, ident))
+    centres = joined.groupBy(*keys, "cluster").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(dims)]).alias("_c"))
     gap = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d))
-    radius = joined.join(F.broadcast(centres), ["k", "cluster"]).groupBy("k").agg((2 * F.max(gap(F.col("v"), F.col("_c")))).alias("_wide"))
+    radius = joined.join(F.broadcast(centres), [*keys, "cluster"]).groupBy(*keys).agg((2 * F.max(gap(F.col("v"), F.col("_c")))).alias("_wide"))
     # Centres: a few per k, joined within their k.
-    a = centres.select("k", F.col("cluster").alias("_a"), F.col("_c").alias("_ca"))
-    b = centres.select("k", F.col("cluster").alias("_b"), F.col("_c").alias("_cb"))
-    apart_most = a.join(b, "k").where(F.col("_a") < F.col("_b")).groupBy("k").agg(F.min(gap(F.col("_ca"), F.col("_cb"))).alias("_near"))
-    dunn = radius.join(apart_most, "k", "left").select("k", (F.col("_near") / F.col("_wide")).alias("dunn"))
+    a = centres.select(*keys, F.col("cluster").alias("_a"), F.col("_c").alias("_ca"))
+    b = centres.select(*keys, F.col("cluster").alias("_b"), F.col("_c").alias("_cb"))
+    apart_most = a.join(b, keys).where(F.col("_a") < F.col("_b")).groupBy(*keys).agg(F.min(gap(F.col("_ca"), F.col("_cb"))).alias("_near"))
+    dunn = radius.join(apart_most, keys, "left").select(*keys, (F.col("_near") / F.col("_wide")).alias("dunn"))
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="_prediction")
-    ready = joined.select("k", array_to_vector("v").alias("features"), F.col("cluster").cast("double").alias("_prediction"))
-    # One row per k; a single cluster has no silhouette.
-    found = labels.groupBy("k").agg(F.countDistinct("cluster").alias("n")).orderBy("k").collect()
-    scores = [(r["k"], float(judge.evaluate(ready.where(F.col("k") == r["k"]))) if r["n"] > 1 else None) for r in found]
-    silhouette = rows.sparkSession.createDataFrame(scores, "k int, silhouette double")
-    return silhouette.join(dunn, "k", "left").join(connectivity, "k", "left")
+    ready = joined.select(*keys, array_to_vector("v").alias("features"), F.col("cluster").cast("double").alias("_prediction"))
+    # One row per clustering; a single cluster has no silhouette.
+    found = labels.groupBy(*keys).agg(F.countDistinct("cluster").alias("n")).orderBy(*keys).collect()
+    own = lambda r: reduce(and_, [F.col(c) == r[c] for c in keys])
+    scores = [(*[r[c] for c in keys], float(judge.evaluate(ready.where(own(r)))) if r["n"] > 1 else None) for r in found]
+    fields = ", ".join(f"{c} {labels.schema[c].dataType.simpleString()}" for c in keys)
+    silhouette = rows.sparkSession.createDataFrame(scores, f"{fields}, silhouette double")
+    return silhouette.join(dunn, keys, "left").join(connectivity, keys, "left")
 
 
-def cluster_stability(rows: DataFrame, ks: Sequence[int], dims: int, seed: int = 1, ident: str = "id", vector: str = "v") -> DataFrame:
+def cluster_stability(rows: DataFrame, ks: Sequence[int], dims: int, seed: int = 1, ident: str = "id", vector: str = "v", method: str = "kmeans", at_once: int = 4) -> DataFrame:
     """Refit without each column: share moved (apn), shift of means (adm), left-out error (fom).
 
-    ``dims`` x ``ks`` fits, each a distributed job; labels are compared by id.
+    ``dims`` x ``ks`` fits by ``method``, each a distributed job and ``at_once`` of them running
+    together; labels are compared by id.
     """
     rows = cut_lineage(rows.select(ident, F.col(vector).alias("v")))
-    found = None
-    for k in ks:
-        full = cut_lineage(kmeans(rows, k, seed, ident, "v").withColumnRenamed("cluster", "full"))
-        for j in range(dims):
-            rest = rows.withColumn("v", F.concat(F.slice("v", 1, j), F.slice("v", j + 2, dims)))
-            part = kmeans(rest, k, seed, ident, "v").withColumnRenamed("cluster", "less").join(full, ident)
-            part = part.withColumn("k", F.lit(k)).withColumn("column", F.lit(j))
-            found = part if found is None else found.unionByName(part)
-    found = cut_lineage(found)
+    ks = list(ks)
+
+    def labelled(j: int | None) -> DataFrame:
+        rest = rows if j is None else rows.withColumn("v", F.concat(F.slice("v", 1, j), F.slice("v", j + 2, dims)))
+        labels = labels_of(rest, ks, method, seed, ident, "v")
+        return cut_lineage(labels.withColumnRenamed("cluster", "full") if j is None else labels.select("k", ident, F.col("cluster").alias("less"), F.lit(j).alias("column")))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        full, *less = pool.map(labelled, [None, *range(dims)])
+    found = cut_lineage(reduce(DataFrame.unionByName, less).join(full, ["k", ident]))
     joined = found.join(rows, ident)
     keys = ["k", "column"]
     means = lambda by, out: joined.groupBy(*keys, by).agg(

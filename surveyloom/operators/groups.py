@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from surveyloom.functions.numeric import safe_divide
 from surveyloom.functions.tdist import t_quantile
+from surveyloom.operators.reshape import to_long_twice
 from surveyloom.operators.selection import quantiles
 from surveyloom.session import attach_measured, spread
 
@@ -63,6 +64,12 @@ def summary_se(df: DataFrame, keys: Sequence[str], measure: str, ci: float | Non
     return out
 
 
+def category_by_facet(people: DataFrame, ids: Sequence[str], categories: Sequence[str], facets: Sequence[str]) -> DataFrame:
+    """Shares of each answer within every level of every facet: gather twice, then count."""
+    long = to_long_twice(people, ids, categories, facets)
+    return group_share(long, ["facet", "level", "category", "response"], ["facet", "level", "category"])
+
+
 def group_contrast(df: DataFrame, keys: Sequence[str], group: str, a: str, b: str, value: str) -> DataFrame:
     """Mean of two groups side by side with signed and absolute difference."""
     side = lambda name: F.avg(F.when(F.col(group) == name, F.col(value)))
@@ -155,8 +162,7 @@ def density(df: DataFrame, value: str, by: str, points: int = 32) -> DataFrame:
 
     The bandwidth is the usual rule of thumb, 0.9 min(sd, IQR/1.34) n^(-1/5),
     with the sd, a value, or 1 standing in for a zero spread.
-    Every row meets every grid point inside its own task and is summed there,
-    so only ``points`` sums per group and task are shuffled.
+    One aggregate holds a sum per grid point; rows are not copied.
     """
     hinges = quantiles(df, [by], value, {"_q1": 0.25, "_q3": 0.75})
     moments = df.where(F.col(value).isNotNull()).groupBy(by).agg(
@@ -176,14 +182,16 @@ def density(df: DataFrame, value: str, by: str, points: int = 32) -> DataFrame:
         attach_measured(spread(df.where(F.col(value).isNotNull()).select(by, value)), bands, [by], "inner")
         .withColumn("_low", ends.select("lowest").scalar())
         .withColumn("_step", ends.select("range").scalar() / F.lit(float(points - 1)))
-        .withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    )
-    z = (F.col("_low") + F.col("grid") * F.col("_step") - F.col(value)) / F.col("_h")
-    kernel = F.exp(-z * z / 2.0) / (F.col("_h") * F.lit(2.5066282746310002))
-    return rows.groupBy(by, "grid", "group_mean").agg(
-        F.min(F.col("_low") + F.col("grid") * F.col("_step")).alias("x"), F.avg(kernel).alias("density")
     )
 
+    def kernel(i: int):
+        z = (F.col("_low") + F.lit(float(i)) * F.col("_step") - F.col(value)) / F.col("_h")
+        return F.exp(-z * z / 2.0) / (F.col("_h") * F.lit(2.5066282746310002))
+
+    wide = rows.groupBy(by, "group_mean", "_low", "_step").agg(F.array(*[F.avg(kernel(i)) for i in range(points)]).alias("_curve"))
+    curve = wide.select(by, "group_mean", "_low", "_step", F.posexplode("_curve").alias("grid", "density"))
+    return curve.select(by, "grid", "group_mean", (F.col("_low") + F.col("grid") * F.col("_step")).alias("x"), "density")
+
 
 def impute_median(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     """Fill gaps with the exact median of the column within the group.

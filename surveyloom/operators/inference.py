@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from surveyloom.functions.draws import poisson_one, uniform
 from surveyloom.functions.numeric import safe_divide
 from surveyloom.functions.tdist import t_two_sided
+from surveyloom.operators.groups import histogram, value_range
 from surveyloom.operators.selection import cut_bin, hash_index
 from surveyloom.session import attach, cut_lineage, spread
 
@@ -144,6 +145,16 @@ def percentile_ci(stats: DataFrame, level: float, keys: Sequence[str] = (), valu
     return stats.groupBy(*keys).agg(F.percentile(value, low).alias("lower_ci"), F.percentile(value, high).alias("upper_ci"))
 
 
+def resampling_chart(stats: DataFrame, level: float, bins: int = 30, value: str = "stat") -> DataFrame:
+    """(bin, x, n, lower_ci, upper_ci): histogram of the replicates with the interval to mark in it."""
+    settled = cut_lineage(stats.select(value))
+    ends = value_range(settled, value).select(F.struct("lowest", "range").alias("e"))
+    interval = percentile_ci(settled, level, value=value).select(F.struct("lower_ci", "upper_ci").alias("i"))
+    counts = histogram(settled, value, bins).withColumn("_e", ends.scalar()).withColumn("_i", interval.scalar())
+    x = F.col("_e.lowest") + (F.col("bin") + 0.5) * F.col("_e.range") / F.lit(float(bins))
+    return counts.select("bin", x.alias("x"), "n", "_i.lower_ci", "_i.upper_ci")
+
+
 def permute_null(df: DataFrame, ident: str, group: str, value: str, a: str, b: str, reps: int, seed: int, keys: Sequence[str] = (), key_rows: int | None = None) -> DataFrame:
     """Difference in means after shuffling labels within each replicate.
 

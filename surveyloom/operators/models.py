@@ -28,6 +28,15 @@ def model_frame(people: DataFrame, role: str, roles: Sequence[str], flags: Seque
     return impute_median(coded, role, [*flags, *levels, total]).select(ident, role, *flags, *levels, total)
 
 
+def scaled_complete_frame(people: DataFrame, items: Sequence[str], role: str = "role", ident: str = "id") -> DataFrame:
+    """(id, role, items): respondents without a gap, every item centred and scaled over them; a constant item is NULL."""
+    whole = cut_lineage(people.select(ident, role, *[F.col(i).cast("double").alias(i) for i in items]).dropna())
+    moments = whole.agg(*[f(i).alias(f"_{n}_{i}") for i in items for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+    packed = whole.withColumn("_s", moments.select(F.struct("*")).scalar())
+    scaled = [((F.col(i) - F.col(f"_s._m_{i}")) / F.nullif(F.col(f"_s._s_{i}"), F.lit(0.0))).alias(i) for i in items]
+    return packed.select(ident, role, *scaled)
+
+
 def random_forest(rows: DataFrame, trees: int, mtry: int, seed: int, vector: str = "v", label: str = "label", depth: int = 30) -> RandomForestClassificationModel:
     """Forest over numeric labels 0..c-1 with ``mtry`` features tried per split; 30 is the deepest tree Spark grows."""
     ready = rows.select(array_to_vector(vector).alias("features"), F.col(label).cast("double").alias("label"))
@@ -54,23 +63,18 @@ def permutation_importance(model, rows: DataFrame, names: Sequence[str], seed: i
     """Accuracy lost when one feature is shuffled, absolute and relative to the largest.
 
     All shuffled copies are scored by one ``transform``.  A shuffle gives the
-    row at one hashed position the value of the row at another.
+    row at one hashed position the value of the row at another.  Single values are
+    exchanged and gathered per row; the copies of a vector are made where it is scored.
     """
     rows = cut_lineage(rows.select(ident, F.col(vector).alias("v"), F.col(label).alias("label")))
-    spread = rows.withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
-    taker = hash_index(spread, ["feature"], uniform(seed, F.lit("to"), "feature", ident), ident, "_idx").drop("_idx_of")
-    giver = hash_index(
-        spread.select("feature", ident, F.col("v")[F.col("feature")].alias("_given")),
-        ["feature"],
-        uniform(seed, F.lit("from"), "feature", ident),
-        ident,
-        "_idx",
-    ).select("feature", "_idx", "_given")
-    swapped = taker.join(giver, ["feature", "_idx"]).withColumn(
-        "v", F.transform("v", lambda x, i: F.when(i == F.col("feature"), F.col("_given")).otherwise(x))
-    )
-    intact = rows.withColumn("feature", F.lit(-1))
-    scored = predict(model, intact.unionByName(swapped.select(ident, "v", "label", "feature")))
+    cells = rows.select(ident, F.posexplode("v").alias("feature", "_given"))
+    taker = hash_index(cells.select(ident, "feature"), ["feature"], uniform(seed, F.lit("to"), "feature", ident), ident, "_idx").drop("_idx_of")
+    giver = hash_index(cells, ["feature"], uniform(seed, F.lit("from"), "feature", ident), ident, "_idx").select("feature", "_idx", "_given")
+    gathered = taker.join(giver, ["feature", "_idx"]).groupBy(ident).agg(F.sort_array(F.collect_list(F.struct("feature", "_given"))).alias("_cells"))
+    swap = lambda c: F.struct(c["feature"].alias("feature"), F.transform("v", lambda x, i: F.when(i == c["feature"], c["_given"]).otherwise(x)).alias("v"))
+    intact = F.array(F.struct(F.lit(-1).alias("feature"), F.col("v").alias("v")))
+    copies = rows.join(gathered, ident).select(ident, "label", F.inline(F.concat(intact, F.transform("_cells", swap))))
+    scored = predict(model, copies)
     by_feature = cut_lineage(accuracy(scored, keys=["feature"]))
     base = by_feature.where(F.col("feature") == -1).select("accuracy").scalar()
     lost = by_feature.where(F.col("feature") >= 0).withColumn("importance", base - F.col("accuracy"))

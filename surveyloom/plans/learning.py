@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveyloom.functions.numeric import tidy
-from surveyloom.operators import models, neighbors, sampling
+from surveyloom.operators import models, neighbors, reshape, sampling, screening
 from surveyloom.plans import tables as t
 from surveyloom.plans.multivariate import DIMS, vectors
 from surveyloom.plans.registry import query
+from surveyloom.plans.screens import RULES, RULES_SQL
 from surveyloom.session import cut_lineage
 
 KS = list(range(5, 44, 2))
@@ -97,6 +98,19 @@ def model_frame(spark, d):
     )
 
 
+@query(
+    "mlc1_scaled_complete_frame",
+    f"""WITH {t.SCREEN}, w AS (SELECT id, role, item, score FROM scored JOIN screened USING (id) WHERE {RULES_SQL}),
+        c AS (SELECT id FROM w GROUP BY id HAVING count(score) = {len(t.ITEM_NAMES)}),
+        z AS (SELECT id, role, item, (score - avg(score) OVER i) / nullif(stddev_samp(score) OVER i, 0) AS z FROM w JOIN c USING (id) WINDOW i AS (PARTITION BY item))
+        SELECT id, role, {", ".join(f"round(max(z) FILTER (WHERE item = '{i}'), 6) + 0.0::DOUBLE AS {i}" for i in t.ITEM_NAMES)} FROM z GROUP BY id, role""",
+)
+def scaled_complete_frame(spark, d):
+    kept = screening.screen(t.screening_stats(spark, d), RULES).select("id", "role")
+    wide = reshape.to_wide(t.scored(spark, d), ["id"], "item", "score", t.ITEM_NAMES).join(kept, "id")
+    return _rounded(models.scaled_complete_frame(wide, t.ITEM_NAMES), *t.ITEM_NAMES)
+
+
 def _forest(spark, d):
     rows = cut_lineage(sampling.split_stratified(_binary(spark, d), "id", "label", 0.7, 11))
     train, test = rows.where("train"), rows.where("NOT train")
@@ -117,6 +131,17 @@ def confusion(spark, d):
     return part(balanced, "train").unionByName(part(test, "test"))
 
 
+@query(
+    "mlc3_confusion_totals",
+    f"""WITH {_EMB}, s AS (SELECT (label <> 0)::INT AS label, id FROM emb), u AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY {t.uniform_sql(11, "id")}, id)
+        <= floor(0.7 * count(*) OVER (PARTITION BY label)) AS train FROM s), m AS (SELECT count(*) AS n FROM u WHERE train AND label = 0)
+        SELECT 'test' AS part, label, count(*)::BIGINT AS n FROM u WHERE NOT train GROUP BY label UNION ALL SELECT 'train', 0, 2 * n FROM m UNION ALL SELECT 'train', 1, 2 * n FROM m""",
+)
+def confusion_totals(spark, d):
+    """Rows per true label in the confusion tables: the held-out ones, and the balanced ones trained on."""
+    return confusion(spark, d).groupBy("part", "label").agg(F.sum("n").alias("n"))
+
+
 @query("mlc3_accuracy")
 def accuracy(spark, d):
     balanced, test, model = _forest(spark, d)
@@ -144,6 +169,44 @@ def knn_classify(spark, d):
     return neighbors.knn_classify(rows.where("train").drop("train"), rows.where("NOT train").drop("train"), 5, DIMS)
 
 
+_TUNED = f"""{_SPLIT}, mom AS (SELECT i, avg(v) AS m, stddev_samp(v) AS s FROM long JOIN u USING (id) WHERE train GROUP BY i),
+        z AS (SELECT id, list((v - m) / s ORDER BY i) AS z FROM long JOIN mom USING (i) GROUP BY id), zz AS (SELECT id, label, train, z FROM z JOIN u USING (id)),
+        f AS (SELECT id, label, repeat, floor({t.uniform_sql(400, "repeat", "id")} * 10)::INT AS own FROM u, range(1, 4) r(repeat) WHERE train),
+        cm AS (SELECT repeat, fold, i, avg(v) AS m, stddev_samp(v) AS s FROM f JOIN long USING (id), range(10) g(fold) WHERE own <> fold GROUP BY ALL),
+        cz AS (SELECT f.id, f.label, f.repeat, fold, own, list((v - m) / s ORDER BY i) AS z FROM f JOIN long USING (id) JOIN cm USING (repeat, i) GROUP BY ALL),
+        cn AS (SELECT a.repeat, a.id, a.label, b.label AS vote, row_number() OVER (PARTITION BY a.repeat, a.id ORDER BY round(pow(list_distance(a.z, b.z), 2), 8), b.id) AS rk
+               FROM cz a JOIN cz b ON a.repeat = b.repeat AND a.fold = b.fold AND a.own = a.fold AND b.own <> b.fold),
+        cv AS (SELECT k, repeat, id, label, vote, row_number() OVER (PARTITION BY k, repeat, id ORDER BY count(*) DESC, vote) AS place
+              FROM cn, range(5, 44, 2) q(k) WHERE rk <= k GROUP BY k, repeat, id, label, vote),
+        best AS (SELECT k FROM (SELECT k, avg((vote = label)::INT) AS accuracy FROM cv WHERE place = 1 GROUP BY k) ORDER BY round(accuracy, 9) DESC, k DESC LIMIT 1),
+        nn AS (SELECT a.id, a.label, b.label AS vote, row_number() OVER (PARTITION BY a.id ORDER BY round(pow(list_distance(a.z, b.z), 2), 8), b.id) AS rk
+               FROM zz a, zz b WHERE NOT a.train AND b.train),
+        v AS (SELECT id, label, vote, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, vote) AS place FROM nn, best WHERE rk <= k GROUP BY id, label, vote),
+        t AS (SELECT id, label, vote AS predicted FROM v WHERE place = 1)"""
+
+
+def _tuned(spark, d):
+    rows = cut_lineage(sampling.split_random(vectors(spark, d), "id", 0.7, 11))
+    train, test = rows.where("train").drop("train"), rows.where("NOT train").drop("train")
+    return neighbors.tuned_knn(train, test, DIMS, KS, folds=10, repeats=3, seed=400)
+
+
+@query("mlc5_tuned_knn", f"WITH {_TUNED} SELECT id, label, predicted, (SELECT k FROM best)::INT AS k FROM t")
+def tuned_knn(spark, d):
+    k, out = _tuned(spark, d)
+    return out.withColumn("k", F.lit(k))
+
+
+@query("mlc5_tuned_confusion", f"WITH {_TUNED} SELECT predicted, label, count(*) AS n FROM t GROUP BY ALL")
+def tuned_confusion(spark, d):
+    return models.confusion(_tuned(spark, d)[1])
+
+
+@query("mlc5_tuned_accuracy", f"WITH {_TUNED} SELECT round(avg((predicted = label)::INT), 6) AS accuracy, count(*) AS n FROM t")
+def tuned_accuracy(spark, d):
+    return _rounded(models.accuracy(_tuned(spark, d)[1]), "accuracy")
+
+
 @query(
     "mlc6_repeated_cv",
     f"""WITH {_EMB}, f AS (SELECT id, label, repeat, floor({t.uniform_sql(400, "repeat", "id")} * 10)::INT AS own FROM emb, range(1, 4) r(repeat)),

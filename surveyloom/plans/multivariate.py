@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from surveyloom.functions import scores as sc
 from surveyloom.functions.numeric import tidy
@@ -61,6 +63,27 @@ def pca_loadings(spark, d):
     return factors.pca_loadings(*_pca(spark, d, 10), [f"v{i:02d}" for i in range(DIMS)])
 
 
+@query("mul2_pca_gram", "SELECT a::INT AS component_a, b::INT AS component_b, (a = b)::INT + 0.0::DOUBLE AS dot FROM range(1, 11) x(a), range(1, 11) y(b) WHERE a <= b")
+def pca_gram(spark, d):
+    """Loadings are orthonormal: products of every two components."""
+    rows = factors.pca_loadings(*_pca(spark, d, 10), [f"v{i:02d}" for i in range(DIMS)])
+    a, b = (rows.select("item", F.col("component").alias(f"component_{s}"), F.col("loading").alias(s)) for s in "ab")
+    pairs = a.join(b, "item").where("component_a <= component_b").groupBy("component_a", "component_b")
+    return _rounded(pairs.agg(F.sum(F.col("a") * F.col("b")).alias("dot")), "dot")
+
+
+@query("mul2_pca_total", "SELECT i::INT AS component, NULL::DOUBLE AS share FROM range(0) r(i) UNION ALL SELECT 64, 1.0")
+def pca_total(spark, d):
+    """The shares of all components add up to the whole variance."""
+    out = factors.pca_variance(*_pca(spark, d, DIMS))
+    return _rounded(out.agg(F.max("component").alias("component"), F.sum("share").alias("share")), "share")
+
+
+@query("mul3_contribution_totals", "SELECT i::INT AS component, 100.0::DOUBLE AS total FROM range(1, 11) r(i)")
+def contribution_totals(spark, d):
+    return _rounded(pca_contribution(spark, d).groupBy("component").agg(F.sum("contribution").alias("total")), "total")
+
+
 @query("mul3_pca_contribution")
 def pca_contribution(spark, d):
     return factors.pca_contribution(factors.pca_loadings(*_pca(spark, d, 10), [f"v{i:02d}" for i in range(DIMS)]))
@@ -176,7 +199,8 @@ def kmedoids_sampled(spark, d):
 @query("clu4_cluster_validity")
 def cluster_validity(spark, d):
     rows = cut_lineage(neighbors.standardise(vectors(spark, d), DIMS))
-    return clusters.cluster_validity(rows, clusters.bisecting_kmeans(rows, range(2, 7)), DIMS)
+    labels = [clusters.labels_of(rows, range(2, 7), m).withColumn("method", F.lit(m)) for m in clusters.METHODS]
+    return clusters.cluster_validity(rows, reduce(DataFrame.unionByName, labels), DIMS, keys=["method", "k"])
 
 
 @query("clu5_cluster_stability")
@@ -184,8 +208,9 @@ def cluster_stability(spark, d):
     scores = screening.scale_scores(t.responses(spark, d), t.key_frame(spark), 24)
     wide = reshape.to_wide(scores, ["id"], "scale", "score", t.SCALES)
     filled = neighbors.knn_impute(wide, t.SCALES)
-    rows = filled.select("id", F.array(*t.SCALES).alias("v"))
-    return clusters.cluster_stability(rows, range(2, 7), len(t.SCALES))
+    rows = cut_lineage(filled.select("id", F.array(*t.SCALES).alias("v")))
+    parts = [clusters.cluster_stability(rows, range(2, 7), len(t.SCALES), method=m).withColumn("method", F.lit(m)) for m in clusters.METHODS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _CLUSTER = "cl AS (SELECT id, CASE WHEN avg(score) >= 3 THEN 1 ELSE 2 END AS cluster FROM scored GROUP BY id)"

@@ -62,6 +62,19 @@ def option_share(spark, d):
     return out.withColumn("share", tidy(F.col("share")))
 
 
+@query(
+    "agg5_category_by_facet",
+    f"""WITH {t.RESPONDENTS}, a AS (SELECT id, unnest(['experience', 'degree']) AS category, unnest([experience, degree]) AS response, role, rank FROM respondents),
+        l AS (SELECT category, response, unnest(['role', 'rank']) AS facet, unnest([role, rank]) AS level FROM a)
+        SELECT facet, level, category, response, count(*) AS n, sum(count(*)) OVER (PARTITION BY facet, level, category)::BIGINT AS n_tot,
+               round(count(*) / sum(count(*)) OVER (PARTITION BY facet, level, category)::DOUBLE, 6) AS share FROM l GROUP BY facet, level, category, response""",
+)
+def category_by_facet(spark, d):
+    people = t.respondents(spark, d).select("id", "experience", "degree", "role", "rank")
+    out = groups.category_by_facet(people, ["id"], ["experience", "degree"], ["role", "rank"])
+    return out.withColumn("share", tidy(F.col("share")))
+
+
 @query(
     "agg6_count_table_with_total",
     f"""WITH {t.RESPONDENTS} SELECT coalesce(role, 'Total') AS role, {", ".join(f"count(*) FILTER (WHERE rank = '{r}') AS {r}" for r in ("Enlisted", "Officer", "Warrant"))},
@@ -88,9 +101,22 @@ def summary_se(spark, d):
     return out.select("role", "scale", "n", *[tidy(F.col(c)).alias(c) for c in ("mean", "sd", "se")])
 
 
-@query("agg8_summary_ci")
+# Quantile .975 of the t distribution with f degrees: bisection over Simpson's rule, 2000 panels.
+_T_QUANTILE = """list_reduce(list_transform(range(61), lambda i: {'lo': 0.0::DOUBLE, 'hi': 2000.0::DOUBLE}), lambda b, x: CASE WHEN (b.lo + b.hi) / 12000
+    * list_sum(list_transform(range(2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+      * exp(lgamma((f + 1) / 2) - lgamma(f / 2)) / sqrt(f * pi()) * pow(1 + pow((b.lo + b.hi) / 2 * i / 2000.0::DOUBLE, 2) / f, -(f + 1) / 2))) < .475
+    THEN {'lo': (b.lo + b.hi) / 2, 'hi': b.hi} ELSE {'lo': b.lo, 'hi': (b.lo + b.hi) / 2} END).lo"""
+
+
+@query(
+    "agg8_summary_ci",
+    f"""WITH {ROLE_SCALE}, g AS (SELECT role, scale, count(score) AS n, avg(score) AS mean, stddev_samp(score) AS sd FROM rs GROUP BY role, scale),
+        q AS (SELECT n, {_T_QUANTILE} AS t FROM (SELECT DISTINCT n, (n - 1)::DOUBLE AS f FROM g WHERE n > 1))
+        SELECT role, scale, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sd / sqrt(n), 6) AS se, round(t * sd / sqrt(n), 5) AS ci FROM g LEFT JOIN q USING (n)""",
+)
 def summary_ci(spark, d):
-    return groups.summary_se(role_scale_scores(spark, d), ["role", "scale"], "score", ci=0.95)
+    out = groups.summary_se(role_scale_scores(spark, d), ["role", "scale"], "score", ci=0.95)
+    return out.select("role", "scale", "n", *[tidy(F.col(c)).alias(c) for c in ("mean", "sd", "se")], F.round("ci", 5).alias("ci"))
 
 
 @query(

@@ -136,6 +136,18 @@ def percentile_ci(spark, d):
     return _rounded(inference.percentile_ci(stats, 0.95), "lower_ci", "upper_ci")
 
 
+@query(
+    "inf7_resampling_chart",
+    _poisson_sql(f"WITH {t.TWO_GROUPS}", "", "grp", "value", "good", "poor", "two")
+    + """, e AS (SELECT min(stat) AS lo, (max(stat) - min(stat)) / 30.0::DOUBLE AS w, quantile_cont(stat, .025) AS a, quantile_cont(stat, .975) AS b FROM stats),
+        h AS (SELECT least(floor((stat - lo) / w), 29)::INT AS bin, count(*) AS n FROM stats, e GROUP BY 1)
+        SELECT bin, round(lo + (bin + 0.5) * w, 6) AS x, n, round(a, 6) AS lower_ci, round(b, 6) AS upper_ci FROM h, e""",
+)
+def resampling_chart(spark, d):
+    stats = inference.bootstrap_diff(t.two_groups(spark, d), "id", "grp", "value", "good", "poor", REPS, 42, method="poisson")
+    return _rounded(inference.resampling_chart(stats, 0.95), "x", "lower_ci", "upper_ci")
+
+
 @query(
     "inf8_permute_null",
     f"""WITH {t.TWO_GROUPS}, x AS (SELECT two.*, rep, row_number() OVER (PARTITION BY rep ORDER BY {t.uniform_sql(7, "rep", "id")}, id) AS r,
