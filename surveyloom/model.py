@@ -55,12 +55,9 @@ class ScreeningRules:
 
 # The limits used for each purpose.
 COMPLETION = ScreeningRules((Limit("miss_c", 0.5), Limit("miss_p", 0.5), Limit("sincere", 5), Limit("infreq", 1)))
-COMPLETION_STRICT = ScreeningRules((Limit("miss_c", 0.2), Limit("miss_p", 0.2), Limit("sincere", 5), Limit("infreq", 1)))
 RASCH_SAMPLE = ScreeningRules((Limit("miss_c", 0.5), Limit("sincere", 5, True)))
-FACTOR_SAMPLE = ScreeningRules((Limit("infreq", 1), Limit("miss_p", 0.75)))
 RESAMPLE_SAMPLE = ScreeningRules((Limit("miss_p", 0.2), Limit("infreq", 0.75)))
 PROFILE_SAMPLE = ScreeningRules((Limit("miss_p", 0.33), Limit("infreq", 1)))
-COGNITIVE_SAMPLE = ScreeningRules((Limit("miss_c", 0.25, True), Limit("sincere", 3, True)))
 
 # ---------------------------------------------------------------- fixed tables
 
@@ -109,61 +106,285 @@ ANSWER_KEY = [
     ("Verbal_Q4", "5"),
 ]
 
-# Questions of each scale as (scale, block, first, last);
-# question names are Q<block>_A_<number>.
-SCALE_BLOCKS = [
-    ("Problem_Solving", 1, 1, 5),
-    ("Depth_Thought", 3, 1, 7),
-    ("Mental_Quickness", 4, 1, 7),
-    ("Need_Cognition", 5, 1, 6),
-    ("Love_Learning", 6, 1, 6),
-    ("Creativity", 7, 1, 13),
-    ("Concientiousness", 8, 1, 10),
-    ("Orderliness", 9, 1, 5),
-    ("Deprivation_Sensitivity", 10, 1, 5),
-    ("Joyous_Exploration", 10, 6, 10),
-    ("Social_Curiosity", 10, 11, 15),
-    ("Stress_Tolerance", 10, 16, 20),
-    ("Thrill_Seeking", 10, 21, 25),
-    ("Interpersonal_Understanding", 11, 1, 3),
-    ("Self_Confidence", 11, 4, 7),
-    ("Suspension_Judgement", 11, 8, 12),
-    ("Self_Discipline", 12, 1, 4),
-    ("Industriness", 13, 1, 5),
-    ("Enthusiasm", 14, 1, 5),
-    ("Flow_Proneness", 15, 1, 6),
-    ("Cyberwork_Confidence", 16, 1, 6),
-    ("General_SelfEfficacy", 17, 1, 8),
-    ("Resilience", 18, 1, 6),
-    ("Teamwork", 19, 1, 5),
-    ("Leadership", 20, 1, 7),
-    ("Intellectual_Openness", 22, 1, 10),
-    ("Tolerance", 21, 1, 16),
+# Questions of the 27 scales as (scale, item, sign); sign -1 marks a question scored in reverse.
+SCALE_KEY = [
+    ("Problem_Solving", "Q1_A_1", 1),
+    ("Problem_Solving", "Q1_A_2", 1),
+    ("Problem_Solving", "Q1_A_3", 1),
+    ("Problem_Solving", "Q1_A_4", 1),
+    ("Problem_Solving", "Q1_A_5", 1),
+    ("Depth_Thought", "Q3_A_1", 1),
+    ("Depth_Thought", "Q3_A_2", 1),
+    ("Depth_Thought", "Q3_A_3", 1),
+    ("Depth_Thought", "Q3_A_4", 1),
+    ("Depth_Thought", "Q3_A_5", 1),
+    ("Depth_Thought", "Q3_A_6", 1),
+    ("Depth_Thought", "Q3_A_7", 1),
+    ("Mental_Quickness", "Q4_A_1", 1),
+    ("Mental_Quickness", "Q4_A_2", 1),
+    ("Mental_Quickness", "Q4_A_3", 1),
+    ("Mental_Quickness", "Q4_A_4", 1),
+    ("Mental_Quickness", "Q4_A_5", 1),
+    ("Mental_Quickness", "Q4_A_6", 1),
+    ("Mental_Quickness", "Q4_A_7", 1),
+    ("Need_Cognition", "Q5_A_1", 1),
+    ("Need_Cognition", "Q5_A_2", 1),
+    ("Need_Cognition", "Q5_A_3", 1),
+    ("Need_Cognition", "Q5_A_4", 1),
+    ("Need_Cognition", "Q5_A_5", 1),
+    ("Need_Cognition", "Q5_A_6", 1),
+    ("Love_Learning", "Q6_A_1", 1),
+    ("Love_Learning", "Q6_A_2", 1),
+    ("Love_Learning", "Q6_A_3", 1),
+    ("Love_Learning", "Q6_A_4", 1),
+    ("Love_Learning", "Q6_A_5", 1),
+    ("Love_Learning", "Q6_A_6", 1),
+    ("Creativity", "Q7_A_1", 1),
+    ("Creativity", "Q7_A_2", 1),
+    ("Creativity", "Q7_A_3", 1),
+    ("Creativity", "Q7_A_4", 1),
+    ("Creativity", "Q7_A_5", 1),
+    ("Creativity", "Q7_A_6", 1),
+    ("Creativity", "Q7_A_7", 1),
+    ("Creativity", "Q7_A_8", 1),
+    ("Creativity", "Q7_A_9", 1),
+    ("Creativity", "Q7_A_10", 1),
+    ("Creativity", "Q7_A_11", 1),
+    ("Creativity", "Q7_A_12", 1),
+    ("Creativity", "Q7_A_13", 1),
+    ("Concientiousness", "Q8_A_1", 1),
+    ("Concientiousness", "Q8_A_2", 1),
+    ("Concientiousness", "Q8_A_3", 1),
+    ("Concientiousness", "Q8_A_4", 1),
+    ("Concientiousness", "Q8_A_5", 1),
+    ("Concientiousness", "Q8_A_6", 1),
+    ("Concientiousness", "Q8_A_7", 1),
+    ("Concientiousness", "Q8_A_8", 1),
+    ("Concientiousness", "Q8_A_9", 1),
+    ("Concientiousness", "Q8_A_10", 1),
+    ("Orderliness", "Q9_A_1", 1),
+    ("Orderliness", "Q9_A_2", 1),
+    ("Orderliness", "Q9_A_3", 1),
+    ("Orderliness", "Q9_A_4", 1),
+    ("Orderliness", "Q9_A_5", 1),
+    ("Deprivation_Sensitivity", "Q10_A_1", 1),
+    ("Deprivation_Sensitivity", "Q10_A_2", 1),
+    ("Deprivation_Sensitivity", "Q10_A_3", 1),
+    ("Deprivation_Sensitivity", "Q10_A_4", 1),
+    ("Deprivation_Sensitivity", "Q10_A_5", 1),
+    ("Joyous_Exploration", "Q10_A_6", 1),
+    ("Joyous_Exploration", "Q10_A_7", 1),
+    ("Joyous_Exploration", "Q10_A_8", 1),
+    ("Joyous_Exploration", "Q10_A_9", 1),
+    ("Joyous_Exploration", "Q10_A_10", 1),
+    ("Social_Curiosity", "Q10_A_11", 1),
+    ("Social_Curiosity", "Q10_A_12", 1),
+    ("Social_Curiosity", "Q10_A_13", 1),
+    ("Social_Curiosity", "Q10_A_14", 1),
+    ("Social_Curiosity", "Q10_A_15", 1),
+    ("Stress_Tolerance", "Q10_A_16", -1),
+    ("Stress_Tolerance", "Q10_A_17", -1),
+    ("Stress_Tolerance", "Q10_A_18", -1),
+    ("Stress_Tolerance", "Q10_A_19", -1),
+    ("Stress_Tolerance", "Q10_A_20", -1),
+    ("Thrill_Seeking", "Q10_A_21", 1),
+    ("Thrill_Seeking", "Q10_A_22", 1),
+    ("Thrill_Seeking", "Q10_A_23", 1),
+    ("Thrill_Seeking", "Q10_A_24", 1),
+    ("Thrill_Seeking", "Q10_A_25", 1),
+    ("Interpersonal_Understanding", "Q11_A_1", 1),
+    ("Interpersonal_Understanding", "Q11_A_2", 1),
+    ("Interpersonal_Understanding", "Q11_A_3", 1),
+    ("Self_Confidence", "Q11_A_4", 1),
+    ("Self_Confidence", "Q11_A_5", 1),
+    ("Self_Confidence", "Q11_A_6", 1),
+    ("Self_Confidence", "Q11_A_7", 1),
+    ("Suspension_Judgement", "Q11_A_8", 1),
+    ("Suspension_Judgement", "Q11_A_9", 1),
+    ("Suspension_Judgement", "Q11_A_10", 1),
+    ("Suspension_Judgement", "Q11_A_11", 1),
+    ("Suspension_Judgement", "Q11_A_12", 1),
+    ("Self_Discipline", "Q12_A_1", 1),
+    ("Self_Discipline", "Q12_A_2", 1),
+    ("Self_Discipline", "Q12_A_3", 1),
+    ("Self_Discipline", "Q12_A_4", 1),
+    ("Industriness", "Q13_A_1", 1),
+    ("Industriness", "Q13_A_2", 1),
+    ("Industriness", "Q13_A_3", 1),
+    ("Industriness", "Q13_A_4", 1),
+    ("Industriness", "Q13_A_5", 1),
+    ("Enthusiasm", "Q14_A_1", 1),
+    ("Enthusiasm", "Q14_A_2", 1),
+    ("Enthusiasm", "Q14_A_3", 1),
+    ("Enthusiasm", "Q14_A_4", 1),
+    ("Enthusiasm", "Q14_A_5", 1),
+    ("Flow_Proneness", "Q15_A_1", 1),
+    ("Flow_Proneness", "Q15_A_2", 1),
+    ("Flow_Proneness", "Q15_A_3", 1),
+    ("Flow_Proneness", "Q15_A_4", 1),
+    ("Flow_Proneness", "Q15_A_5", 1),
+    ("Flow_Proneness", "Q15_A_6", 1),
+    ("Cyberwork_Confidence", "Q16_A_1", 1),
+    ("Cyberwork_Confidence", "Q16_A_2", 1),
+    ("Cyberwork_Confidence", "Q16_A_3", 1),
+    ("Cyberwork_Confidence", "Q16_A_4", 1),
+    ("Cyberwork_Confidence", "Q16_A_5", 1),
+    ("Cyberwork_Confidence", "Q16_A_6", 1),
+    ("General_SelfEfficacy", "Q17_A_1", 1),
+    ("General_SelfEfficacy", "Q17_A_2", 1),
+    ("General_SelfEfficacy", "Q17_A_3", 1),
+    ("General_SelfEfficacy", "Q17_A_4", 1),
+    ("General_SelfEfficacy", "Q17_A_5", 1),
+    ("General_SelfEfficacy", "Q17_A_6", 1),
+    ("General_SelfEfficacy", "Q17_A_7", 1),
+    ("General_SelfEfficacy", "Q17_A_8", 1),
+    ("Resilience", "Q18_A_1", 1),
+    ("Resilience", "Q18_A_2", -1),
+    ("Resilience", "Q18_A_3", 1),
+    ("Resilience", "Q18_A_4", -1),
+    ("Resilience", "Q18_A_5", 1),
+    ("Resilience", "Q18_A_6", -1),
+    ("Teamwork", "Q19_A_1", 1),
+    ("Teamwork", "Q19_A_2", 1),
+    ("Teamwork", "Q19_A_3", 1),
+    ("Teamwork", "Q19_A_4", 1),
+    ("Teamwork", "Q19_A_5", 1),
+    ("Leadership", "Q20_A_1", 1),
+    ("Leadership", "Q20_A_2", 1),
+    ("Leadership", "Q20_A_3", 1),
+    ("Leadership", "Q20_A_4", 1),
+    ("Leadership", "Q20_A_5", 1),
+    ("Leadership", "Q20_A_6", 1),
+    ("Leadership", "Q20_A_7", 1),
+    ("Intellectual_Openness", "Q22_A_1", 1),
+    ("Intellectual_Openness", "Q22_A_2", 1),
+    ("Intellectual_Openness", "Q22_A_3", 1),
+    ("Intellectual_Openness", "Q22_A_4", 1),
+    ("Intellectual_Openness", "Q22_A_5", 1),
+    ("Intellectual_Openness", "Q22_A_6", 1),
+    ("Intellectual_Openness", "Q22_A_7", -1),
+    ("Intellectual_Openness", "Q22_A_8", -1),
+    ("Intellectual_Openness", "Q22_A_9", -1),
+    ("Intellectual_Openness", "Q22_A_10", -1),
+    ("Tolerance", "Q21_A_1", -1),
+    ("Tolerance", "Q21_A_2", 1),
+    ("Tolerance", "Q21_A_3", -1),
+    ("Tolerance", "Q21_A_4", 1),
+    ("Tolerance", "Q21_A_5", -1),
+    ("Tolerance", "Q21_A_6", 1),
+    ("Tolerance", "Q21_A_7", -1),
+    ("Tolerance", "Q21_A_8", 1),
+    ("Tolerance", "Q21_A_9", -1),
+    ("Tolerance", "Q21_A_10", 1),
+    ("Tolerance", "Q21_A_11", -1),
+    ("Tolerance", "Q21_A_12", 1),
+    ("Tolerance", "Q21_A_13", -1),
+    ("Tolerance", "Q21_A_14", 1),
+    ("Tolerance", "Q21_A_15", -1),
+    ("Tolerance", "Q21_A_16", 1),
 ]
 
-# Questions scored in reverse.
-REVERSED_ITEMS = [
-    "Q10_A_16", "Q10_A_17", "Q10_A_18", "Q10_A_19", "Q10_A_20",
-    "Q18_A_2", "Q18_A_4", "Q18_A_6",
-    "Q22_A_7", "Q22_A_8", "Q22_A_9", "Q22_A_10",
-    "Q21_A_1", "Q21_A_3", "Q21_A_5", "Q21_A_7", "Q21_A_9", "Q21_A_11", "Q21_A_13", "Q21_A_15",
+# Questions of the twelve revised scales as (scale, item, sign).
+REVISED_KEY = [
+    ("Discipline", "Q8_A_3", 1),
+    ("Discipline", "Q8_A_4", 1),
+    ("Discipline", "Q8_A_5", 1),
+    ("Discipline", "Q8_A_7", 1),
+    ("Discipline", "Q8_A_9", 1),
+    ("Discipline", "Q8_A_10", 1),
+    ("Discipline", "Q12_A_2", 1),
+    ("Discipline", "Q13_A_1", 1),
+    ("Self_Consciousness", "Q1_A_1", 1),
+    ("Self_Consciousness", "Q5_A_2", 1),
+    ("Self_Consciousness", "Q6_A_5", 1),
+    ("Self_Consciousness", "Q11_A_4", -1),
+    ("Self_Consciousness", "Q11_A_5", -1),
+    ("Self_Consciousness", "Q11_A_6", -1),
+    ("Self_Consciousness", "Q12_A_3", 1),
+    ("Self_Consciousness", "Q19_A_3", 1),
+    ("Self_Efficacy", "Q17_A_3", 1),
+    ("Self_Efficacy", "Q17_A_4", 1),
+    ("Self_Efficacy", "Q17_A_5", 1),
+    ("Self_Efficacy", "Q17_A_6", 1),
+    ("Self_Efficacy", "Q17_A_7", 1),
+    ("Self_Efficacy", "Q17_A_8", 1),
+    ("Self_Efficacy", "Q20_A_2", 1),
+    ("Self_Efficacy", "Q20_A_6", 1),
+    ("Skill_Confidence", "Q9_A_1", -1),
+    ("Skill_Confidence", "Q10_A_3", 1),
+    ("Skill_Confidence", "Q15_A_2", 1),
+    ("Skill_Confidence", "Q16_A_1", 1),
+    ("Skill_Confidence", "Q16_A_2", 1),
+    ("Skill_Confidence", "Q16_A_3", 1),
+    ("Skill_Confidence", "Q16_A_4", 1),
+    ("Skill_Confidence", "Q16_A_6", 1),
+    ("Thrill_Seeking", "Q10_A_16", 1),
+    ("Thrill_Seeking", "Q10_A_17", 1),
+    ("Thrill_Seeking", "Q10_A_19", 1),
+    ("Thrill_Seeking", "Q10_A_21", 1),
+    ("Thrill_Seeking", "Q10_A_22", 1),
+    ("Thrill_Seeking", "Q10_A_23", 1),
+    ("Thrill_Seeking", "Q10_A_24", 1),
+    ("Thrill_Seeking", "Q10_A_25", 1),
+    ("Enthusiasm", "Q11_A_7", 1),
+    ("Enthusiasm", "Q14_A_1", 1),
+    ("Enthusiasm", "Q14_A_2", 1),
+    ("Enthusiasm", "Q14_A_3", 1),
+    ("Enthusiasm", "Q14_A_4", 1),
+    ("Enthusiasm", "Q18_A_1", 1),
+    ("Enthusiasm", "Q18_A_4", 1),
+    ("Enthusiasm", "Q18_A_6", 1),
+    ("Cognitive_Proficiency", "Q1_A_3", 1),
+    ("Cognitive_Proficiency", "Q1_A_5", 1),
+    ("Cognitive_Proficiency", "Q4_A_2", 1),
+    ("Cognitive_Proficiency", "Q4_A_3", 1),
+    ("Cognitive_Proficiency", "Q4_A_4", 1),
+    ("Cognitive_Proficiency", "Q4_A_6", 1),
+    ("Cognitive_Proficiency", "Q4_A_7", 1),
+    ("Cognitive_Proficiency", "Q7_A_12", 1),
+    ("Social_Curiosity", "Q10_A_11", 1),
+    ("Social_Curiosity", "Q10_A_12", 1),
+    ("Social_Curiosity", "Q10_A_13", 1),
+    ("Social_Curiosity", "Q10_A_14", 1),
+    ("Social_Curiosity", "Q10_A_15", 1),
+    ("Social_Curiosity", "Q11_A_1", 1),
+    ("Social_Curiosity", "Q11_A_2", 1),
+    ("Social_Curiosity", "Q11_A_3", 1),
+    ("Intellectual_Curiosity", "Q4_A_5", 1),
+    ("Intellectual_Curiosity", "Q5_A_1", 1),
+    ("Intellectual_Curiosity", "Q5_A_4", 1),
+    ("Intellectual_Curiosity", "Q6_A_1", 1),
+    ("Intellectual_Curiosity", "Q10_A_4", 1),
+    ("Intellectual_Curiosity", "Q10_A_8", 1),
+    ("Intellectual_Curiosity", "Q10_A_9", 1),
+    ("Intellectual_Curiosity", "Q22_A_6", 1),
+    ("Analytical", "Q9_A_4", 1),
+    ("Analytical", "Q9_A_5", 1),
+    ("Analytical", "Q10_A_1", 1),
+    ("Analytical", "Q11_A_9", 1),
+    ("Analytical", "Q11_A_10", 1),
+    ("Analytical", "Q11_A_11", 1),
+    ("Analytical", "Q11_A_12", 1),
+    ("Analytical", "Q13_A_5", 1),
+    ("Creativity", "Q7_A_1", 1),
+    ("Creativity", "Q7_A_2", 1),
+    ("Creativity", "Q7_A_5", 1),
+    ("Creativity", "Q7_A_7", 1),
+    ("Creativity", "Q7_A_9", 1),
+    ("Creativity", "Q7_A_10", 1),
+    ("Creativity", "Q7_A_11", 1),
+    ("Creativity", "Q7_A_13", 1),
+    ("Openness", "Q6_A_2", 1),
+    ("Openness", "Q6_A_3", 1),
+    ("Openness", "Q6_A_6", 1),
+    ("Openness", "Q19_A_2", 1),
+    ("Openness", "Q20_A_5", 1),
+    ("Openness", "Q20_A_7", 1),
+    ("Openness", "Q22_A_2", 1),
+    ("Openness", "Q22_A_4", 1),
 ]
 
-# The twelve revised scales; a leading minus marks reversal.
-REVISED_SCALES = [
-    ("Discipline", "Q8_A_3 Q8_A_4 Q8_A_5 Q8_A_7 Q8_A_9 Q8_A_10 Q12_A_2 Q13_A_1"),
-    ("Self_Consciousness", "Q1_A_1 Q5_A_2 Q6_A_5 -Q11_A_4 -Q11_A_5 -Q11_A_6 Q12_A_3 Q19_A_3"),
-    ("Self_Efficacy", "Q17_A_3 Q17_A_4 Q17_A_5 Q17_A_6 Q17_A_7 Q17_A_8 Q20_A_2 Q20_A_6"),
-    ("Skill_Confidence", "-Q9_A_1 Q10_A_3 Q15_A_2 Q16_A_1 Q16_A_2 Q16_A_3 Q16_A_4 Q16_A_6"),
-    ("Thrill_Seeking", "Q10_A_16 Q10_A_17 Q10_A_19 Q10_A_21 Q10_A_22 Q10_A_23 Q10_A_24 Q10_A_25"),
-    ("Enthusiasm", "Q11_A_7 Q14_A_1 Q14_A_2 Q14_A_3 Q14_A_4 Q18_A_1 Q18_A_4 Q18_A_6"),
-    ("Cognitive_Proficiency", "Q1_A_3 Q1_A_5 Q4_A_2 Q4_A_3 Q4_A_4 Q4_A_6 Q4_A_7 Q7_A_12"),
-    ("Social_Curiosity", "Q10_A_11 Q10_A_12 Q10_A_13 Q10_A_14 Q10_A_15 Q11_A_1 Q11_A_2 Q11_A_3"),
-    ("Intellectual_Curiosity", "Q4_A_5 Q5_A_1 Q5_A_4 Q6_A_1 Q10_A_4 Q10_A_8 Q10_A_9 Q22_A_6"),
-    ("Analytical", "Q9_A_4 Q9_A_5 Q10_A_1 Q11_A_9 Q11_A_10 Q11_A_11 Q11_A_12 Q13_A_5"),
-    ("Creativity", "Q7_A_1 Q7_A_2 Q7_A_5 Q7_A_7 Q7_A_9 Q7_A_10 Q7_A_11 Q7_A_13"),
-    ("Openness", "Q6_A_2 Q6_A_3 Q6_A_6 Q19_A_2 Q20_A_5 Q20_A_7 Q22_A_2 Q22_A_4"),
-]
+REVERSED_ITEMS = [item for _, item, sign in SCALE_KEY if sign < 0]
 
 # Published mean share correct per cognitive test type.
 NORMS = [("ThreeD", 0.23), ("Pattern", 0.46), ("Matrix", 0.44), ("Verbal", 0.57), ("Analogies", 0.37)]
@@ -195,21 +416,10 @@ RECODES = {
     ],
 }
 
-# Names given to the ten certification columns.
-CERTIFICATIONS = ["OSCP", "OSCE", "GPEN", "GXPN", "GCIH", "CEH", "CISSP", "CISM", "Security", "OtherCert"]
-
-# Level order of the education column.
-DEGREE_ORDER = ["High School", "Associates", "Some College", "Bachelors", "Masters"]
-
 
 def scale_key_rows() -> list[tuple[str, str, int]]:
-    """(scale, item, sign) for the 27 scales; sign -1 marks a reversed question."""
-    rows = []
-    for scale, block, first, last in SCALE_BLOCKS:
-        for number in range(first, last + 1):
-            item = f"Q{block}_A_{number}"
-            rows.append((scale, item, -1 if item in REVERSED_ITEMS else 1))
-    return rows
+    """(scale, item, sign) for the 27 scales."""
+    return list(SCALE_KEY)
 
 
 def cognitive_key_rows() -> list[tuple[str, str, int]]:
@@ -219,17 +429,8 @@ def cognitive_key_rows() -> list[tuple[str, str, int]]:
 
 
 def revised_key_rows() -> list[tuple[str, str, int]]:
-    return [
-        (scale, name.lstrip("-"), -1 if name.startswith("-") else 1)
-        for scale, names in REVISED_SCALES
-        for name in names.split()
-    ]
+    return list(REVISED_KEY)
 
 
 def key_frame(spark: SparkSession, rows: list[tuple[str, str, int]]) -> DataFrame:
     return spark.createDataFrame(rows, "scale string, item string, sign int")
-
-
-def pairs_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small declared table (answer key, label map, norms) as a DataFrame."""
-    return spark.createDataFrame(rows, schema)

@@ -28,15 +28,6 @@ def model_frame(people: DataFrame, role: str, roles: Sequence[str], flags: Seque
     return impute_median(coded, role, [*flags, *levels, total]).select(ident, role, *flags, *levels, total)
 
 
-def scaled_complete_frame(people: DataFrame, items: Sequence[str], role: str = "role", ident: str = "id") -> DataFrame:
-    """(id, role, items): respondents without a gap, every item centred and scaled over them; a constant item is NULL."""
-    whole = cut_lineage(people.select(ident, role, *[F.col(i).cast("double").alias(i) for i in items]).dropna())
-    moments = whole.agg(*[f(i).alias(f"_{n}_{i}") for i in items for n, f in (("m", F.avg), ("s", F.stddev_samp))])
-    packed = whole.withColumn("_s", moments.select(F.struct("*")).scalar())
-    scaled = [((F.col(i) - F.col(f"_s._m_{i}")) / F.nullif(F.col(f"_s._s_{i}"), F.lit(0.0))).alias(i) for i in items]
-    return packed.select(ident, role, *scaled)
-
-
 def random_forest(rows: DataFrame, trees: int, mtry: int, seed: int, vector: str = "v", label: str = "label", depth: int = 30) -> RandomForestClassificationModel:
     """Forest over numeric labels 0..c-1 with ``mtry`` features tried per split; 30 is the deepest tree Spark grows."""
     ready = rows.select(array_to_vector(vector).alias("features"), F.col(label).cast("double").alias("label"))
