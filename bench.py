@@ -23,6 +23,7 @@ HEADLINE = [
     "agg9_scale_scores",
     "agg14_infrequency",
     "agg23_five_number",
+    "agg24_density",
     "rnk2_average_rank",
     "rnk9_impute_median",
     "inf2_welch_t_by",
@@ -37,7 +38,10 @@ HEADLINE = [
     "mul1_knn_impute",
     "mul5_factor_loadings",
     "clu1_kmeans",
+    "mul6_parallel_analysis",
     "smp3_smote",
+    "smp4_rose",
+    "mlc2_random_forest",
     "mlc5_knn_classify",
     "mlc6_repeated_cv",
     "mlc7_auc_importance",

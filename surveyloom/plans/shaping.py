@@ -12,7 +12,7 @@ from surveyloom.functions.numeric import tidy
 from surveyloom.operators import reshape, sampling, screening
 from surveyloom.plans import tables as t
 from surveyloom.plans.registry import query
-from surveyloom.session import shared_dir
+from surveyloom.session import remove_at_end, shared_dir
 from surveyloom.sources import readers, writers
 
 
@@ -69,6 +69,7 @@ def norms(spark, d):
 def write_table_csv(spark, d):
     path = f"{shared_dir(spark)}/question-table-{uuid.uuid4().hex}"
     stats = screening.item_stats(t.scored(spark, d))
+    remove_at_end(spark, path)
     writers.write_table_csv(stats, path, ["item", "mean", "sd"], [F.col("mean").desc(), "item"])
     return spark.read.schema("item string, mean double, sd double").option("header", True).csv(path)
 

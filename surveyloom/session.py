@@ -15,6 +15,7 @@ def build_session(app: str = "surveyloom", cores: int | str = "*", **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -25,6 +26,12 @@ def build_session(app: str = "surveyloom", cores: int | str = "*", **conf: str)
     return spark
 
 
+def remove_at_end(spark: SparkSession, folder: str) -> None:
+    """Have ``folder`` deleted when the session's JVM ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
@@ -40,7 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="surveyloom-"))
+        own = tempfile.mkdtemp(prefix="surveyloom-")
+        remove_at_end(spark, own)
+        context.setCheckpointDir(own)
     return context.getCheckpointDir()
 
 
