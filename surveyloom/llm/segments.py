@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21  # bytes worked on at once; arrays of eight bytes per byte stay small
+SLICE = 1 << 20  # bytes worked on at once; arrays of eight bytes per byte stay small
 TABLE_ROWS = 1_500_000  # pieces a worker remembers before it starts anew
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -43,7 +43,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(SLICE + (SLICE >> 2), 1 << (n - 1).bit_length() if n > SLICE else 1))
+    usual = SLICE + (SLICE >> 2)
+    return _powers(usual if n <= usual else 1 << (n - 1).bit_length())
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:

@@ -54,7 +54,7 @@ def test_repeats_on_edges(edges, nothing, folder):
     assert removed(nothing, folder + "/none") == []
 
 
-@pytest.mark.parametrize("chunk, slice_", [(1024, 1 << 21), (2, 1 << 21), (1024, 1500)])
+@pytest.mark.parametrize("chunk, slice_", [(1024, 1 << 20), (2, 1 << 20), (1024, 1500)])
 def test_overlapping_passages(spark, folder, monkeypatch, chunk, slice_):
     """One passage in many contexts, cut at many places: one anchor has many different pieces."""
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
