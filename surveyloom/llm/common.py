@@ -75,14 +75,17 @@ def attach_counted(df: DataFrame, stats: DataFrame, keys: list[str], rows: str,
 
 
 def without_rows(docs: DataFrame, away: DataFrame, keys: list) -> DataFrame:
-    """The rows of ``docs`` whose keys, null or not, are no row of ``away``; their columns may have any names."""
+    """The rows of ``docs`` whose keys, null or not, are no row of ``away``; their columns may have any names.
+
+    Merged at every size, as ``away`` grows with the documents.
+    """
     names = [f"k{i}" for i in range(len(keys))]
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[k.alias(n) for k, n in zip(keys, names)])
     gone = away.distinct().toDF(*[f"away_{n}" for n in names])
     same = F.lit(True)
     for n in names:
         same = same & F.col(n).eqNullSafe(F.col(f"away_{n}"))
-    return packed.join(gone, same, "left_anti").select("row.*")
+    return packed.join(gone.hint("merge"), same, "left_anti").select("row.*")
 
 
 def components(edges: DataFrame, folder: str, a: str = "a", b: str = "b") -> DataFrame:

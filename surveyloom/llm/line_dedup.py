@@ -31,27 +31,30 @@ def _places(lines: Column) -> Column:
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text hash, nth window, hash of its three lines)."""
+    """(id, text hash, lines with a word, nth window, hash of its three lines)."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _lines(F.col(text_col)).alias("l"))
     rows = rows.withColumn("l", F.filter("l", lambda x: x.rlike(WORD))).where(F.size("l") >= WINDOW)
     line = F.col("l")
     hashes = F.transform(F.sequence(F.lit(0), F.size("l") - WINDOW), lambda k: F.unhex(F.md5(F.concat_ws("\n", *[line[k + o] for o in range(WINDOW)]))))
-    return rows.select("id", "text_hash", F.posexplode(hashes).alias("k", "hash"))
+    return rows.select("id", "text_hash", F.size("l").alias("n_words"), F.posexplode(hashes).alias("k", "hash"))
 
 
 def repeated_windows(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, sorted window numbers) of the later occurrences, a row per text that has any."""
+    """(id, text_hash, ks, emptied): the window numbers of later occurrences, a row per text that has any,
+    and whether they cover every line with a word."""
     found = settle(windows(docs, id_col, text_col), folder, "windows")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "k")
     first = found.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = settle(first, folder, "repeated")
     later = attach_counted(found, first, ["hash"], "n", how="inner", spread_by=["id", "text_hash", "k"]).where(F.col("first") != place)
-    return settle(later.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("k")).alias("ks")), folder, "later")
+    later = later.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("k")).alias("ks"), F.max("n_words").alias("n_words"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("ks", lambda k: F.array(*[k + o for o in range(WINDOW)])))))
+    return settle(later.select("id", "text_hash", "ks", (covered == F.col("n_words")).alias("emptied")), folder, "later")
 
 
 def dedup_lines(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, text, n_lines, n_removed): each row of ``docs`` as a struct, and its text without repeated passages."""
-    later = repeated_windows(docs, folder, id_col, text_col).toDF("later_id", "later_hash", "ks")
+    """(row, text, n_lines, n_removed, emptied): each row of ``docs`` as a struct, and its text without repeated passages."""
+    later = repeated_windows(docs, folder, id_col, text_col).toDF("later_id", "later_hash", "ks", "emptied")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
     same = F.col("id").eqNullSafe(F.col("later_id")) & (F.col("hash") == F.col("later_hash"))
     # Merged at every size: a list that is small now and sent to the documents would not be so on more of them.
@@ -64,7 +67,7 @@ def dedup_lines(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     text = F.when(F.col("ks").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: line[i]), "\n"))
     n_lines = F.when(line.isNull(), 0).otherwise(F.size(line)).cast("long")
     n_removed = F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long")
-    return rows.select("row", text.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    return rows.select("row", text.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed"), F.coalesce("emptied", F.lit(False)).alias("emptied"))
 
 
 def keep_first_passages(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
@@ -72,8 +75,8 @@ def keep_first_passages(docs: DataFrame, folder: str, id_col: str = "doc_id", te
 
     ``chars_col`` names a column to hold the new length in characters.
     """
-    made = dedup_lines(docs, folder, id_col, text_col)
-    made = made.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    # A filter on the new text would be moved below it, and compute it again inside its own loops.
+    made = dedup_lines(docs, folder, id_col, text_col).where(~F.col("emptied"))
     changed = F.col("n_removed") > 0
     new = {text_col: F.col("text")}
     if chars_col in docs.columns:
