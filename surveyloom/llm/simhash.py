@@ -293,7 +293,11 @@ def near_duplicates(docs: DataFrame, folder: str, size: int = 3, id_col: str = "
 
 def keep_one(docs: DataFrame, folder: str, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component, with its columns: that of the smallest id, then of the smallest text hash."""
-    found = settle(groups(docs, folder, size, id_col, text_col), folder, "judged")
+    return keep_first(docs, settle(groups(docs, folder, size, id_col, text_col), folder, "judged"), folder, id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component; ``found`` is settled, with doc_id, text_hash and first."""
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     keys = [F.col(id_col), F.xxhash64(text_col)]
     kept = without_rows(docs, found.where(~own.eqNullSafe(F.col("first"))).select("doc_id", "text_hash"), keys)

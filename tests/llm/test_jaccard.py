@@ -1,0 +1,82 @@
+"""Links by Jaccard similarity against brute force over all pairs."""
+
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from surveyloom.llm import jaccard, simhash
+from .conftest import edge_rows, prose
+from .test_simhash import roots
+
+
+def slow_set(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def family(seed, n, words=90):
+    """Copies of a text with a few words changed, at similarities around 0.8."""
+    draw, base = random.Random(seed), prose(seed, words).split()
+    out = []
+    for i in range(n):
+        own = base[:]
+        for k in range(draw.randint(0, 4)):
+            own[draw.randrange(words)] = f"w{seed}x{i}x{k}"
+        out.append(" ".join(own))
+    return out
+
+
+def corpus():
+    line = prose(999, 12).replace("\n", " ")  # in every text
+    texts = [t + " " + line for s in range(40) for t in family(s, 5)] + family(77, 120) + [prose(500 + i, 60) + line for i in range(60)]
+    return texts + texts[:7] + ["", None, " ", "one two", "One  two", "three"]
+
+
+@pytest.mark.parametrize("chunk, most", [(4096, 10), (16, 10), (4096, 1 << 30)])
+def test_components_are_those_of_all_pairs(spark, folder, monkeypatch, chunk, most):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "COMMON_SETS", most)
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    own = [slow_set(t) for t in texts]
+    want = roots(own, similar)
+    got = {r.doc_id: r.first.doc_id for r in jaccard.groups(docs, folder).collect()}
+    assert got == {i: want[i] for i in range(len(texts))}
+
+
+def test_stage_takes_copies_beyond_three_bits(spark, folder):
+    texts = [t for s in range(60) for t in family(s, 2)]
+    pairs = [(a, a + 1) for a in range(0, len(texts), 2) if similar(slow_set(texts[a]), slow_set(texts[a + 1]))]
+    far = [b for a, b in pairs if (simhash.fingerprint(texts[a].encode(), 3) ^ simhash.fingerprint(texts[b].encode(), 3)).bit_count() > 3]
+    assert len(far) > 5
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {b for _, b in pairs}
+
+
+def test_prefixes_of_similar_sets_meet():
+    draw = np.random.default_rng(3)
+    for n in [1, 2, 4, 5, 6, 9, 10, 50, 300]:
+        for _ in range(50):
+            a = np.unique(draw.integers(0, 1 << 40, n))
+            b = np.unique(np.concatenate([a[draw.random(a.size) > 0.1], draw.integers(0, 1 << 40, n // 10)]))
+            common = np.sort(draw.choice(a, a.size // 2, replace=False))
+            rank = draw.permutation(common.size)
+            shared = np.intersect1d(a, b).size
+            if b.size and 5 * shared >= 4 * (a.size + b.size - shared):
+                assert np.intersect1d(jaccard.prefix(a, common, rank), jaccard.prefix(b, common, rank)).size
+
+
+def test_edge_rows(edges, nothing, folder):
+    rows = edge_rows()
+    kept = jaccard.keep_one(edges, folder)
+    assert kept.columns == edges.columns
+    assert kept.count() == len(set(roots([slow_set(r[1]) for r in rows], similar)))
+    assert jaccard.keep_one(nothing, folder + "/none").count() == 0
