@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from surveyloom.llm import compression, decontaminate, line_dedup, packing, quality_rules, simhash, suffix_dedup, token_counts, token_files, warc
+from surveyloom.llm import compression, decontaminate, line_dedup, packing, quality_rules, simhash, spelling, suffix_dedup, token_counts, token_files, warc
 from surveyloom.llm.common import work_folder
 from surveyloom.llm.registry import query, table
 
@@ -86,3 +86,9 @@ def op9_line_dedup(spark, folder):
 def op6_suffix_dedup(spark, folder):
     kept = suffix_dedup.remove_repeats(table(spark, folder, "documents"), work_folder(spark, "op6"))
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_spelling")
+def op13_spelling(spark, folder):
+    found = spelling.variants(table(spark, folder, "documents"), work_folder(spark, "op13"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
