@@ -7,8 +7,8 @@ is written as Parquet and read again before the next.  All but the last return t
 * quality_rules: documents that the base rule or a risk-controlled cutoff rejects go.
 * line_dedup: passages of three lines and more that stood in an earlier document are taken out;
   documents without a word left go.
-* near_duplicates: documents whose five-word shingles have a Jaccard similarity of 0.8 or more are
-  linked; one document of each component stays, that of the smallest id.
+* near_duplicates: documents whose fingerprints of three-word shingles differ in at most three bits
+  are linked; one document of each component stays, that of the smallest id.
 * decontamination: documents that contain a benchmark item go.
 * packing: pieces of sequences of at most 2048 tokens, with their ids.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from surveyloom.llm import decontaminate, jaccard, line_dedup, packing, quality_rules
+from surveyloom.llm import decontaminate, line_dedup, packing, quality_rules, simhash
 from surveyloom.llm.common import work_folder
 from surveyloom.llm.registry import table
 
@@ -37,7 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs, work_folder(spark, "stage-jaccard"))
+    return simhash.keep_one(docs, work_folder(spark, "stage-simhash"), size=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
