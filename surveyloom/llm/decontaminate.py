@@ -52,15 +52,15 @@ def shingles_of(raw: bytes) -> set[bytes]:
     return {b" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, words per text), vectorised over the texts of a buffer."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, of_words: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, words per text), vectorised over the texts of a buffer; ``of_words`` tells the bytes of words."""
     hashes, counts = [], np.zeros(offsets.size - 1, np.int64)
-    gap = lambda lo, hi: lo + np.flatnonzero(~_WORD[data[lo:hi]])
+    gap = lambda lo, hi: lo + np.flatnonzero(~of_words[data[lo:hi]])
     for lo, hi in segments.slices(data, offsets, gap):
         own = data[lo:hi]
         first, last = int(np.searchsorted(offsets, lo, "right")) - 1, int(np.searchsorted(offsets, hi, "left"))
         inner = np.clip(offsets[first : last + 1] - lo, 0, hi - lo)
-        word = _WORD[own]
+        word = of_words[own]
         cut = np.zeros(own.size + 1, bool)
         cut[1:-1] = word[1:] != word[:-1]
         cut[inner] = True
@@ -74,16 +74,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), counts
 
 
-def shingle_hashes(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(words: np.ndarray, counts: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every shingle, shingles per text)."""
-    number = np.where(counts >= SHINGLE, counts - SHINGLE + 1, np.minimum(counts, 1))
+    number = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
     row = np.repeat(np.arange(counts.size), number)
     start = (np.cumsum(counts) - counts)[row] + np.arange(row.size) - np.repeat(np.cumsum(number) - number, number)
-    size = np.minimum(counts, SHINGLE)[row]
-    padded = np.concatenate([words, np.zeros(SHINGLE, np.uint64)])
+    size = np.minimum(counts, shingle)[row]
+    padded = np.concatenate([words, np.zeros(shingle, np.uint64)])
     out = size.astype(np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(SHINGLE):
+        for i in range(shingle):
             out = out + np.where(i < size, (padded[start + i] ^ (padded[start + i] >> np.uint64(31))) * _STEPS[i], np.uint64(0))
         out ^= out >> np.uint64(29)
         return out * np.uint64(0xBF58476D1CE4E5B9), number

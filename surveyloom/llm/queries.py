@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from surveyloom.llm import compression, decontaminate, lexical, line_dedup, packing, quality_rules, simhash, spelling, suffix_dedup, token_counts, token_files, warc
+from surveyloom.llm import compression, decontaminate, lexical, line_dedup, ngram_join, packing, quality_rules, simhash, spelling, suffix_dedup, token_counts, token_files, warc
 from surveyloom.llm.common import work_folder
 from surveyloom.llm.registry import query, table
 
@@ -97,3 +97,8 @@ def op13_spelling(spark, folder):
 @query("op12_lexical", lexical.SQL)
 def op12_lexical(spark, folder):
     return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), work_folder(spark, "op12"), k=50)
+
+
+@query("op11_ngram_join")
+def op11_ngram_join(spark, folder):
+    return ngram_join.join(table(spark, folder, "documents"), work_folder(spark, "op11"))
