@@ -8,8 +8,8 @@ two linked sets have one of their first n // 10 + 1 in common: the prefix.
   hash.  Any order that all sets share misses nothing; a rare-first one leaves common lines, and
   what a family of copies shares, to the end, behind the shingles that only one text has.
 * Buckets: the sets with one shingle in their prefixes.  In each, the set with the fewest rarer
-  shingles is the hub.  First every set is verified against the hub it shares most with, one pair per
-  set, and components are formed: a family of near copies is one after as many pairs as sets.
+  shingles is the hub.  First every set meets the hub it shares most with, one pair per set, filtered as
+  below, and components are formed: a family of near copies is one after as many pairs as sets.
 * Buckets that hold several components are then compared across them, tile by tile, by length, by
   position (shingles before the first shared one are not shared) and by suffix (counts of shingles
   between fixed pivots differ by no more than the sets do).  A set sends on its best SEND pairs;
@@ -198,15 +198,15 @@ def _buckets(batches):
         several = np.diff(np.append(heads, len(rows))) > 1
         hub = rows[heads[run]]
         out = (several[run] | (rows[:, 1] >= 0)) & ~first
-        columns = [rows[out, 0], rows[out, 3], rows[out, 4].astype(np.int32), rows[out, 2].astype(np.int32), hub[out, 3], hub[out, 2].astype(np.int32), rows[out, 1] >= 0]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "node", "size", "place", "hub", "hub_place", "salted"])
+        columns = [rows[out, 0], rows[out, 3], *(x[out, k].astype(np.int32) for x, k in ((rows, 4), (rows, 2))), hub[out, 3], *(hub[out, k].astype(np.int32) for k in (4, 2)), rows[out, 1] >= 0]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "node", "size", "place", "hub", "hub_size", "hub_place", "salted"])
         last = heads[-1]
         sent = bool(out[last] or first[last])
         held = rows[last : last + 1]
 
 
 def bucket_members(marked: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(shingle, node, size, place, hub, hub_place, salted) of all buckets with several sets."""
+    """(shingle, node, size, place, hub, hub_size, hub_place, salted) of all buckets with several sets."""
     spark = marked.sparkSession
     rows = marked.where(F.size("prefix") > 0).select("node", "size", F.posexplode("prefix").alias("place", "shingle"))
     salt = F.lit(-1)
@@ -221,18 +221,49 @@ def bucket_members(marked: DataFrame, counts: np.ndarray) -> DataFrame:
     rows = rows.select("shingle", salt.cast("long").alias("salt"), "place", "node", "size")
     n = max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
     rows = rows.repartition(n, "shingle", "salt").sortWithinPartitions("shingle", "salt", "place", "node")
-    return rows.mapInArrow(_buckets, "shingle long, node long, size int, place int, hub long, hub_place int, salted boolean")
+    return rows.mapInArrow(_buckets, "shingle long, node long, size int, place int, hub long, hub_size int, hub_place int, salted boolean")
 
 
-def hub_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): every set with the hub it shares most prefix shingles with; hubs of one shingle with the least of them."""
-    counted = members.where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("k"))
-    best = counted.groupBy("node").agg(F.min(F.struct((-F.col("k")).alias("k"), "hub")).alias("best"))
-    pairs = best.select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b"))
-    hubs = members.where("salted").select("shingle", "hub", "hub_place").distinct()
-    least = hubs.groupBy("shingle").agg(F.min(F.struct("hub_place", "hub")).alias("least"))
+def hub_pairs(members: DataFrame, marked: DataFrame, folder: str) -> DataFrame:
+    """(a, b): every set with the hub it shares most prefix shingles with, hubs of one shingle with the least of them.
+
+    Only pairs that sizes, places and bins allow.
+    """
+    size, other = F.col("size"), F.col("hub_size")
+    needed = F.ceil((size + other) * SHARE[0] / F.lit(sum(SHARE)))
+    fits = (F.least(size, other) * SHARE[1] >= F.greatest(size, other) * SHARE[0]) & (F.least(size - F.col("place"), other - F.col("hub_place")) >= needed)
+    counted = members.where((F.col("node") != F.col("hub")) & fits).groupBy("node", "hub", "size", "hub_size").agg(F.count(F.lit(1)).alias("k"))
+    best = counted.groupBy("node", "size").agg(F.min(F.struct((-F.col("k")).alias("k"), "hub", "hub_size")).alias("best"))
+    pairs = best.select(F.col("node").alias("a"), "size", F.col("best.hub").alias("b"), F.col("best.hub_size").alias("other"))
+    hubs = members.where("salted").select("shingle", "hub", "hub_place", "hub_size").distinct()
+    least = hubs.groupBy("shingle").agg(F.min(F.struct("hub_place", "hub", "hub_size")).alias("least"))
     joined = hubs.join(least, "shingle").where(F.col("hub") != F.col("least.hub"))
-    return pairs.union(joined.select(F.least("hub", "least.hub"), F.greatest("hub", "least.hub"))).distinct()
+    pairs = settle(pairs.union(joined.select("hub", "hub_size", "least.hub", "least.hub_size")).distinct(), folder, "hub-choices")
+    bins = settle(bins_of_nodes(marked, _ends(pairs)), folder, "hub-bins")
+    for own in ("a", "b"):
+        pairs = attach_counted(pairs, bins.select(F.col("node").alias(own), "k", F.col("bins").alias(f"of_{own}")), [own], "k", how="inner").drop("k")
+    kept = pairs.select("a", "b", "size", "other", "of_a", "of_b").mapInArrow(_allowed, "a long, b long")
+    return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(node, k): how many of the pairs (a, b) each node is in."""
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+
+
+def bins_of_nodes(marked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` with the bins of each set."""
+    known = marked.where(F.col("bins").isNotNull()).select("node", "bins")
+    return known.join(nodes.hint("merge"), "node").dropDuplicates(["node"])
+
+
+def _allowed(batches):
+    """Pairs (a, b) whose bins differ by no more than linked sets of their sizes do."""
+    for batch in batches:
+        size, other = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+        differ = np.abs(_bins(batch.column(4).to_pylist()) - _bins(batch.column(5).to_pylist())).sum(axis=1)
+        at = pa.array(np.flatnonzero(differ <= size + other - 2 * least_shared(size, other)))
+        yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(2)], ["a", "b"])
 
 
 # ---- pairs across components ----
@@ -347,8 +378,7 @@ def cross_pairs(members: DataFrame, marked: DataFrame, roots: DataFrame, send: i
     big = big.select("shingle", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "node", "root", "size", "place")
     small = rows.where(F.col("n") <= TILE).select("shingle", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("tile"), "node", "root", "size", "place")
     wanted = rows.select("node").distinct()
-    bins = marked.where(F.col("bins").isNotNull()).select("node", "bins").join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    bins = settle(bins, folder, f"{name}-bins")
+    bins = settle(bins_of_nodes(marked, wanted), folder, f"{name}-bins")
     work = small.unionByName(big).join(bins.hint("merge"), "node")
     n = max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
     keys = ["shingle", "i", "j"]
@@ -392,8 +422,7 @@ def _similar(batches):
 def verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, folder: str, name: str) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity; ``pairs`` is settled, ``rows`` has text and row key."""
     spark = pairs.sparkSession
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
-    wanted = settle(ends.join(distinct.select("node", "row_key").hint("merge"), "node"), folder, f"{name}-wanted")
+    wanted = settle(_ends(pairs).join(distinct.select("node", "row_key").hint("merge"), "node"), folder, f"{name}-wanted")
     word, bit = F.col("row_key").bitwiseAND(F.lit(WORDS_OF_BITMAP - 1)), F.shiftrightunsigned("row_key", 58).cast("int")
     flags = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("flags"))
     bitmap = np.zeros(WORDS_OF_BITMAP, np.uint64)
@@ -414,11 +443,11 @@ def verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, folder: str
 # ---- the whole job ----
 
 
-def links(docs: DataFrame, marked: DataFrame, distinct: DataFrame, counts: np.ndarray, folder: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Edges (a, b) between distinct sets with the components of all pairs of the similarity."""
+def linked(docs: DataFrame, marked: DataFrame, distinct: DataFrame, counts: np.ndarray, folder: str, id_col: str, text_col: str) -> DataFrame:
+    """(node, root) of the sets that are linked with any."""
     rows = docs.select(text_col, F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("row_key"))
     members = settle(bucket_members(marked, counts), folder, "members")
-    tested = settle(hub_pairs(members), folder, "hub-pairs")
+    tested = settle(hub_pairs(members, marked, folder), folder, "hub-pairs")
     near = verified(tested, rows, distinct, folder, "hub")
     send, turn = SEND, 0
     while True:
@@ -427,10 +456,10 @@ def links(docs: DataFrame, marked: DataFrame, distinct: DataFrame, counts: np.nd
         across = cross_pairs(members, marked, roots, send, folder, f"cross-{turn}")
         across = settle(across.join(tested.hint("merge"), ["a", "b"], "left_anti"), folder, f"across-{turn}")
         if across.isEmpty():
-            return near
+            return roots
         near = settle(near.unionByName(verified(across, rows, distinct, folder, f"pairs-{turn}")), folder, f"near-{turn}")
         if across.where("more").isEmpty():
-            return near
+            return components(near, f"{folder}/components")
         tested = settle(tested.unionByName(across.select("a", "b")), folder, f"tested-{turn}")
         send *= 4
 
@@ -442,8 +471,7 @@ def join(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     distinct = marked.where("size > 0").groupBy("node").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("n"))
     distinct = settle(distinct.withColumn("row_key", F.xxhash64("least.doc_id", "least.text_hash")), folder, "distinct")
-    edges = settle(links(docs, marked, distinct, counts, folder, text_col, id_col), folder, "edges")
-    roots = components(edges, folder)
+    roots = linked(docs, marked, distinct, counts, folder, id_col, text_col)
     named = settle(distinct.join(roots.hint("merge"), "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root")), folder, "rooted")
     least = settle(named.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("k")), folder, "least")
     found = attach_counted(named, least, ["root"], "k", spread_by=["node"])
