@@ -5,6 +5,8 @@ text is compressed whole with either and with none.  The difference of the two s
 the text's length, says which side it resembles; with the sizes themselves and the length it is
 calibrated by logistic regression to the chance that the label is 1.
 
+A dictionary is trained on pieces from all over the drawn documents, shorter ones whole.
+
 Labels are learnt from the rows that ``learn`` admits only.  Dictionaries and calibration use
 different rows, each drawn by hash: at most about FIT_DOCS documents per label and purpose, so
 that fitting has a fixed size.  Every document is scored, from its text alone.
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from surveyloom.llm.segments import text_bytes
 
 FIT_DOCS = 4000  # per label and purpose, about
-DICTIONARY_CHARS = 2000  # of each document a dictionary is trained on
+PIECES, PIECE_CHARS = 8, 250  # of a document longer than both together, at hashed places: what a dictionary is trained on
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
 
@@ -98,6 +100,15 @@ def _size_features(good: bytes, bad: bytes):
     return compute
 
 
+def _pieces(text: Column, ident: Column) -> Column:
+    """PIECES stretches of a text, at places by hash; a text no longer than they are together is one."""
+    text = F.coalesce(text, F.lit(""))
+    room = F.length(text) - PIECE_CHARS + 1
+    at = lambda k: F.pmod(F.xxhash64(ident, k), room).cast("int") + 1
+    cut = F.transform(F.array(*[F.lit(k) for k in range(PIECES)]), lambda k: text.substr(at(k), F.lit(PIECE_CHARS)))
+    return F.when(F.length(text) <= PIECES * PIECE_CHARS, F.array(text)).otherwise(cut)
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """A model (two dictionaries and a calibration) from the labelled rows that ``learn``, a condition on doc_id, admits."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 1).cast("int").alias("quality"))
@@ -111,10 +122,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     # At most 4 x FIT_DOCS rows on average, and never over twice as many: small enough to send to the documents.
     drawn = known.where(chosen).limit(8 * FIT_DOCS).withColumnRenamed("doc_id", "_id")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "_id")
-    texts = rows.where("purpose = 0").select(F.substring("text", 1, DICTIONARY_CHARS).alias("text"), "quality").limit(4 * FIT_DOCS).collect()
+    texts = rows.where("purpose = 0").select(_pieces(F.col("text"), F.col("_id")).alias("texts"), "quality").limit(4 * FIT_DOCS).collect()
     share = [n * q for (_, q), n in counts.items()], list(counts.values())
     constant = sum(share[0]) / sum(share[1]) if counts else 0.5
-    sides = [[r["text"] or "" for r in texts if r["quality"] == q] for q in (1, 0)]
+    sides = [[t for r in texts if r["quality"] == q for t in r["texts"]] for q in (1, 0)]
     if not all(sides):
         return {"constant": constant}
     good, bad = (_dictionary(side) for side in sides)

@@ -9,7 +9,8 @@ sketch is a candidate, and candidates are verified on the shingles themselves.
 the threshold is missed, however long the document.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII; A-Z count as a-z.
-A text with fewer words than a shingle is one shingle, of all its words.
+An item with fewer words than a shingle is one shingle, of all its words, and is looked for among the
+runs of as many words of every document.
 
 The benchmark is the query set: it is sent to the tasks in blocks of bounded bytes, and each
 block is searched for in all documents.
@@ -45,11 +46,9 @@ def words_of(raw: bytes) -> list[bytes]:
     return [w for w in _SPLIT.split(raw.lower()) if w]
 
 
-def shingles_of(raw: bytes) -> set[bytes]:
+def shingles_of(raw: bytes, size: int = SHINGLE) -> set[bytes]:
     words = words_of(raw)
-    if len(words) < SHINGLE:
-        return {b" ".join(words)} if words else set()
-    return {b" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+    return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, of_words: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
@@ -90,39 +89,45 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, shingle: int = SHINGLE
 
 
 class Sketches:
-    """The minima of a block of items, by size of item, and the items' shingles."""
+    """The minima of a block of items, by words of a shingle and size of item, and the items' shingles."""
 
     def __init__(self, items: list[tuple[object, bytes]]):
         items = sorted({(i, t) for i, t in items}, key=repr)
         data = np.frombuffer(b"".join(t for _, t in items), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in items])]).astype(np.int64)
-        hashes, number = shingle_hashes(*word_hashes(data, offsets))
+        words, n_words = word_hashes(data, offsets)
+        hashes, number = shingle_hashes(words, n_words)
         ends = np.cumsum(number)
-        self.ids, self.shingles, self.need = [], [], []
-        parts: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for (name, text), end, count in zip(items, ends.tolist(), number.tolist()):
+        self.ids, self.shingles, self.need, self.words = [], [], [], []
+        parts: dict[tuple[int, int], list[tuple[np.ndarray, int]]] = {}
+        for (name, text), end, count, size in zip(items, ends.tolist(), number.tolist(), np.minimum(n_words, SHINGLE).tolist()):
             own = np.unique(hashes[end - count : end])
             if not own.size:
                 continue
-            exact = shingles_of(text)
+            exact = shingles_of(text, size)
             need = -(-len(exact) * SHARE[0] // SHARE[1])
             k = len(self.ids)
             self.ids.append(name)
             self.shingles.append(exact)
             self.need.append(need)
-            parts.setdefault(own.size.bit_length(), []).append((own[: len(exact) - need + 1], k))
-        self.partitions = []  # (least number of shingles, sorted minima, items of each)
-        for _, members in sorted(parts.items()):
+            self.words.append(size)
+            parts.setdefault((size, own.size.bit_length()), []).append((own[: len(exact) - need + 1], k))
+        self.partitions = []  # (words of a shingle, least number of shingles, sorted minima, items of each)
+        for (size, _), members in sorted(parts.items()):
             keys = np.concatenate([m for m, _ in members])
             owner = np.repeat([k for _, k in members], [m.size for m, _ in members])
             order = np.argsort(keys, kind="stable")
-            self.partitions.append((min(self.need[k] for _, k in members), keys[order], owner[order]))
+            self.partitions.append((size, min(self.need[k] for _, k in members), keys[order], owner[order]))
 
-    def candidates(self, hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
+    def candidates(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Distinct (text, item) pairs that share a minimum of the item."""
-        row, found = np.repeat(np.arange(number.size), number), []
-        long_enough = number[row]
-        for least, keys, owner in self.partitions:
+        found, known = [], 0
+        for words_of_shingle, least, keys, owner in self.partitions:
+            if words_of_shingle != known:
+                known = words_of_shingle
+                hashes, number = shingle_hashes(words, counts, known)
+                row = np.repeat(np.arange(number.size), number)
+                long_enough = number[row]
             at = np.searchsorted(keys, hashes)
             hit = np.flatnonzero((keys[np.minimum(at, keys.size - 1)] == hashes) & (long_enough >= least))
             if hit.size:
@@ -158,12 +163,15 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                 out = []
                 for lo, hi in _groups(offsets):
                     base = offsets[lo]
-                    hashes, number = shingle_hashes(*word_hashes(data[base : offsets[hi]], offsets[lo : hi + 1] - base))
-                    held, own = -1, set()
-                    for text, k in sketches.candidates(hashes, number).tolist():
+                    words, counts = word_hashes(data[base : offsets[hi]], offsets[lo : hi + 1] - base)
+                    held, own = -1, {}
+                    for text, k in sketches.candidates(words, counts).tolist():
+                        size = sketches.words[k]
                         if text != held:
-                            held, own = text, shingles_of(data[offsets[lo + text] : offsets[lo + text + 1]].tobytes())
-                        shared = len(own & sketches.shingles[k])
+                            held, own = text, {}
+                        if size not in own:
+                            own[size] = shingles_of(data[offsets[lo + text] : offsets[lo + text + 1]].tobytes(), size)
+                        shared = len(own[size] & sketches.shingles[k])
                         if shared >= sketches.need[k]:
                             out.append((lo + text, k, shared, len(sketches.shingles[k])))
                 if out:
@@ -204,12 +212,15 @@ WITH w AS (
 ), s AS (
   SELECT side, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') AS w FROM w
+), k AS (
+  SELECT side, id, w, least(len(w), 5) AS k FROM s WHERE side = 'i' AND len(w) > 0 UNION ALL
+  SELECT side, id, w, k FROM s, (SELECT DISTINCT least(len(w), 5) AS k FROM s WHERE side = 'i' AND len(w) > 0) WHERE side = 'd' AND len(w) >= k
 ), g AS (
-  SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') AS g
-  FROM (SELECT side, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM s WHERE len(w) > 0)
+  SELECT DISTINCT side, id, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT side, id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM k)
 ), q AS (
-  SELECT id AS item_id, g, count(*) OVER (PARTITION BY id) AS n_item FROM g WHERE side = 'i'
+  SELECT id AS item_id, k, g, count(*) OVER (PARTITION BY id) AS n_item FROM g WHERE side = 'i'
 )
-SELECT g.id AS doc_id, item_id, count(*) AS n_shared, n_item FROM q JOIN g ON g.side = 'd' AND g.g = q.g
+SELECT g.id AS doc_id, item_id, count(*) AS n_shared, n_item FROM q JOIN g ON g.side = 'd' AND g.k = q.k AND g.g = q.g
 GROUP BY ALL HAVING count(*) * 5 >= n_item * 4
 """

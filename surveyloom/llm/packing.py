@@ -30,7 +30,6 @@ DIMENSIONS = 4
 STEPS = 8  # bits per dimension
 TIE_BITS = 31
 SAMPLE_PER_PARTITION = 64  # documents whose keys set the range bounds
-SAMPLE_CHARS = 20_000
 PARTITION_BYTES = 64 << 20
 
 
@@ -100,13 +99,13 @@ def pack(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, length:
 
     def keys(batches):
         encoder = segments.word_encoder(tokenizer_path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in segments.parts(whole, 0)):
             ids, counts = encoder.encode(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(curve_key(ids, counts, batch.column(1).to_numpy()))], ["key"])
 
     share = min(1.0, n * SAMPLE_PER_PARTITION / max(n_docs, 1))
     drawn = rows.where(F.pmod(F.xxhash64("tie"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else rows
-    drawn = drawn.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "tie").mapInArrow(keys, "key long")
+    drawn = drawn.select("text", "tie").mapInArrow(keys, "key long")
     cuts = drawn.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     bounds = np.unique(np.array(cuts, np.int64))
 

@@ -14,7 +14,9 @@ it.  What the chain does not reach was no record.
 * A null html is an empty payload; a null url leaves the target field out.
 * Among equal payloads null ids never are the largest; without any id all are responses.  Rows that
   share the largest id are all responses.
-* A record that reaches beyond the end of its file ends the chain there.
+* A header may have any length: a task reads on until it ends.
+* A record that reaches beyond the end of its file ends the chain there.  Where the list of files says
+  how many records they have, as the list that writing returns does, another number is an error.
 * Other columns are not read.  An empty table gives no files and no rows.
 """
 
@@ -38,7 +40,7 @@ BLANK = b"\r\n\r\n"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES = 256 << 20
 BLOCK_BYTES = 8 << 20
-HEADER_BYTES = 1 << 20  # longest header accepted
+AHEAD_BYTES = 1 << 16  # read beyond a block for the header that starts in it; doubled until that header ends
 
 
 def _digest(data: bytes) -> str:
@@ -145,7 +147,7 @@ def _header_at(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
 def candidates(data: bytes, lo: int, hi: int, base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in lo..hi that look like a record, and where the next one would start.
 
-    ``data`` begins at place ``base`` of the file and reaches past ``hi`` as far as a header may.
+    ``data`` begins at place ``base`` of the file and reaches past ``hi`` to the end of the last header.
     """
     at, places, following = data.find(MAGIC, lo - base), [], []
     while 0 <= at < hi - base:
@@ -160,9 +162,9 @@ def candidates(data: bytes, lo: int, hi: int, base: int, size: int) -> tuple[np.
     return np.array(places, np.int64), np.array(following, np.int64)
 
 
-def exits(places: np.ndarray, following: np.ndarray, hi: int, size: int) -> np.ndarray:
-    """The first place at or after ``hi`` that each candidate's chain reaches; -1 where it breaks, ``size`` at the end."""
-    out = np.full(places.size, -1, np.int64)
+def exits(places: np.ndarray, following: np.ndarray, hi: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first place at or after ``hi`` that each candidate's chain reaches (-1 where it breaks, ``size`` at the end), and its records."""
+    out, records = np.full(places.size, -1, np.int64), np.ones(places.size, np.int64)
     row = {int(p): i for i, p in enumerate(places)}
     for i in range(places.size - 1, -1, -1):
         after = int(following[i])
@@ -170,7 +172,20 @@ def exits(places: np.ndarray, following: np.ndarray, hi: int, size: int) -> np.n
             out[i] = after
         elif after in row:
             out[i] = out[row[after]]
-    return out
+            records[i] += records[row[after]]
+    return out, records
+
+
+def _with_headers(source, base: int, lo: int, hi: int, size: int) -> bytes:
+    """The file from ``base`` to beyond ``hi``, so far that every header that starts in lo..hi has its end."""
+    ahead = AHEAD_BYTES
+    while True:
+        end = min(hi + ahead, size)
+        data = source.read_at(end - base, base)
+        last = data.rfind(MAGIC, lo - base, hi - base + len(MAGIC) - 1)
+        if last < 0 or end == size or data.find(BLANK, last) >= 0:
+            return data
+        ahead *= 2
 
 
 def _blocks(files: DataFrame, block_bytes: int) -> DataFrame:
@@ -189,13 +204,14 @@ def chain_entries(files: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES)
                 system, name = open_system(path)
                 hi, base = min(lo + block_bytes, size), max(0, lo - len(BLANK))
                 with system.open_input_file(name) as source:
-                    data = source.read_at(min(hi + HEADER_BYTES, size) - base, base)
+                    data = _with_headers(source, base, lo, hi, size)
                 places, following = candidates(data, lo, hi, base, size)
                 if places.size:
-                    out = exits(places, following, hi, size)
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * places.size), pa.array(places), pa.array(out)], ["path", "place", "next"])
+                    out, records = exits(places, following, hi, size)
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * places.size), pa.array(places), pa.array(out), pa.array(records)], ["path", "place", "next", "records"])
 
-    found = settle(_blocks(files, block_bytes).mapInArrow(scan, "path string, place long, next long"), folder, "candidates")
+    scanned = settle(_blocks(files, block_bytes).mapInArrow(scan, "path string, place long, next long, records long"), folder, "candidates")
+    found = scanned.drop("records")
     # Only places some chain arrives at, and the starts of files, can be entries.
     arrived = found.where("next >= 0").select("path", F.col("next").alias("place")).union(files.select("path", F.lit(0).cast("long").alias("place"))).distinct()
     nodes = found.join(arrived, ["path", "place"], "left_semi")
@@ -212,6 +228,11 @@ def chain_entries(files: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES)
         drop_settled(files.sparkSession, folder, f"jumps-{turn - 1}")
         drop_settled(files.sparkSession, folder, f"reached-{turn - 1}")
         reached, jumps = following, doubled
+    if "n_records" in files.columns:
+        read = reached.join(scanned, ["path", "place"]).groupBy("path").agg(F.sum("records").alias("read"))
+        wrong = files.join(read, "path", "left").where(F.coalesce("read", F.lit(0)) != F.col("n_records")).select("path", "n_records", "read").first()
+        if wrong:
+            raise ValueError(f"{wrong['path']} has {wrong['n_records']} records, {wrong['read']} can be reached")
     own = files.select("path", "size")
     return reached.join(own, "path").select("path", "size", (F.floor(F.col("place") / block_bytes)).cast("long").alias("block"), F.col("place").alias("entry"))
 
@@ -237,8 +258,10 @@ def read_archives(files: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES,
         data, base = b"", place
         while place < min(hi, size):
             want = place - base
-            if len(data) - want < HEADER_BYTES and base + len(data) < size:
-                base, data, want = place, source.read_at(min(4 * HEADER_BYTES, size - place), place), 0
+            ahead = 16 * AHEAD_BYTES
+            while data.find(BLANK, want) < 0 and base + len(data) < size:
+                base, data, want = place, source.read_at(min(ahead, size - place), place), 0
+                ahead *= 2
             found = _header_at(data, want)
             if not found:
                 return

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from surveyloom.llm import compression, quality_rules as rules
@@ -124,3 +125,36 @@ def test_classifier_on_edges(spark, edges, nothing):
     got = compression.score(edges, model).collect()
     assert len(got) == edges.count() and all(0 <= r["score"] <= 1 for r in got)
     assert compression.score(nothing, model).count() == 0
+
+
+def test_scores_are_those_of_plain_compressors(spark, edges):
+    docs, labels = corpus(spark, n=600, noisy=0)
+    model = compression.fit(docs, labels, learn())
+    plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+    sides = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(model[k]), write_content_size=False, write_checksum=False) for k in ("good", "bad")]
+
+    def slow_score(text):
+        raw = (text or "").encode()
+        good, bad, none = (len(c.compress(raw)) for c in (*sides, plain))
+        n = len(raw) + 20
+        x = [(bad - good) / n, good / n, bad / n, none / n, math.log(n)]
+        z = model["weights"][0] + sum(w * (v - m) / s for w, v, m, s in zip(model["weights"][1:], x, model["mean"], model["sd"]))
+        return 1 / (1 + math.exp(-max(-500, min(500, z))))
+
+    for table in (docs, edges):
+        got = sorted(((r["doc_id"], r["score"]) for r in compression.score(table, model).collect()), key=repr)
+        want = sorted(((r["doc_id"], slow_score(r["text"])) for r in table.select("doc_id", "text").collect()), key=repr)
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-12)
+
+
+def test_dictionaries_see_whole_texts(spark):
+    """Pieces come from all over a long text; a short one is whole."""
+    long = "".join(chr(0x4E00 + i) for i in range(20000))
+    rows = [(i, long) for i in range(400)] + [(1000, "short"), (1001, None), (1002, "x" * 2000)]
+    got = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", compression._pieces(F.col("text"), F.col("doc_id")).alias("p")).collect()
+    pieces = {r["doc_id"]: r["p"] for r in got}
+    assert pieces[1000] == ["short"] and pieces[1001] == [""] and pieces[1002] == ["x" * 2000]
+    places = [long.index(p[:1]) for i in range(400) for p in pieces[i]]
+    assert all(len(p) == compression.PIECE_CHARS and p in long for i in range(400) for p in pieces[i])
+    assert len(places) == 3200 and min(places) < 200 and max(places) > 19500 and 8500 < np.median(places) < 11500

@@ -59,7 +59,8 @@ def test_candidates_hold_fakes_that_the_chain_skips():
     data = record + record
     places, following = warc.candidates(data, 0, len(data), 0, len(data))
     assert places.size == 4 and following[0] == len(record) and following[2] == len(data)
-    out = warc.exits(places, following, len(data), len(data))
+    out, records = warc.exits(places, following, len(data), len(data))
+    assert records[0] == 2
     assert out[0] == len(data) and out[1] != len(data) or np.isin(following[1], places)
 
 
@@ -76,3 +77,20 @@ def test_cut_file_ends_its_chain(spark, folder):
 def test_empty_table(spark, folder):
     files = warc.write_archives(pages_of(spark, ROWS).limit(0), folder)
     assert files.count() == 0 and warc.read_archives(files, f"{folder}/read").count() == 0
+
+
+@pytest.mark.parametrize("block", [1 << 16, 1 << 20])
+def test_headers_of_any_length(spark, folder, monkeypatch, block):
+    """A data: url longer than what is read ahead at first, near a block's end and in its middle."""
+    monkeypatch.setattr(warc, "AHEAD_BYTES", 1 << 10)
+    rows = [(i, "data:" + "u" * 3_000_000 if i == 20 else "data:" + "WARC/1.1" * 40_000 if i % 13 == 5 else "http://x", f"<p>{i}</p>" * 900) for i in range(60)]
+    files = warc.write_archives(pages_of(spark, rows).coalesce(1), folder)
+    back = warc.read_archives(files, f"{folder}/read", block).collect()
+    assert {r["record_id"]: (r["uri"], bytes(r["payload"]).decode(), r["intact"]) for r in back} == {str(i): (u, h, True) for i, u, h in rows}
+
+
+def test_other_number_of_records_is_an_error(spark, folder):
+    files = warc.write_archives(pages_of(spark, ROWS).coalesce(1), folder)
+    warc.read_archives(files, f"{folder}/right")
+    with pytest.raises(ValueError, match="records"):
+        warc.read_archives(files.withColumn("n_records", files["n_records"] + 1), f"{folder}/wrong")
