@@ -1,39 +1,57 @@
-"""Exact k nearest neighbours over a grid of query groups and donor groups.
-
-Queries and donors are dealt by hash into groups of bounded size; every query group meets every
-donor group in a task of its own, which sends back at most k donors per query.  A vector
-is copied as often as the other side has groups, and no row holds a pair of vectors.  Boxes or
-balls around donors prune nothing in dozens of dimensions, so the work is quadratic: exact search
-compares all queries with all donors.
+"""Exact k nearest neighbours in two passes over balls of donors.
+
+Donors drawn by hash are pivots; every donor lies in the ball of its nearest pivot, and a ball is cut
+into blocks of about GROUP_ROWS donors.  First a query meets one block of its nearest ball: the
+k-th distance found there bounds the true one.  Then it visits the balls that the triangle
+inequality allows, those with d(query, pivot) - radius within the bound, and no others.  A
+query is copied once for each block it visits, a donor once for each QUERY_ROWS queries of its
+block; no row holds a pair of vectors.  In clustered data most balls are passed over; where
+nothing can be told apart, in many dimensions, all are visited and the search is still exact.
+
+Pivots, and the size and radius of every ball, are the only things that go to all tasks: at most
+MAX_PIVOTS vectors and MAX_BALLS rows.
 """
 
 from __future__ import annotations
 
-from typing import Iterator, Sequence
+from typing import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from surveyloom.functions.draws import uniform
-from surveyloom.session import attach_measured, cut_lineage, spread
+from surveyloom.session import attach, attach_measured, cut_lineage, spread
 
-GROUP_ROWS = 8192  # vectors of one side in a task, about
+GROUP_ROWS = 8192  # donors of a block, about
+QUERY_ROWS = 2048  # queries that meet a block in one task, about
+PIVOT_ROWS = 4096  # donors of a ball, about, while there are fewer than MAX_PIVOTS
+MAX_PIVOTS = 512
+MAX_BALLS = 100_000
 _ROUND = 8  # squared distances are compared to this many decimals
+_SLACK = 1e-6  # of a bound: more than rounding and summation can move a distance
+
+
+def _matrix(column, dims: int) -> np.ndarray:
+    return np.array(column.tolist(), dtype=float).reshape(len(column), dims)
+
+
+def _squared(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows over the coordinates a row of ``q`` has."""
+    seen = ~np.isnan(q)
+    q, m = np.where(seen, q, 0.0), seen.astype(float)
+    return np.maximum((q * q).sum(1)[:, None] - 2.0 * (q @ d.T) + m @ (d * d).T, 0.0)
 
 
-def _block_nearest(queries: pd.DataFrame, donors: pd.DataFrame, ident: str, k: int, keep_self: bool, carry: Sequence[str]) -> pd.DataFrame:
+def _block_nearest(queries: pd.DataFrame, donors: pd.DataFrame, ident: str, k: int, keep_self: bool, carry: Sequence[str], dims: int) -> pd.DataFrame:
     donors = donors.sort_values(ident, kind="stable").reset_index(drop=True)
-    d = np.array(donors["_v"].tolist(), dtype=float)
+    d = _matrix(donors["_v"], dims)
     ids = donors[ident].to_numpy()
     found = []
     chunk = max(1, 8_000_000 // max(1, len(d)))
     for start in range(0, len(queries), chunk):
         part = queries.iloc[start : start + chunk]
-        q = np.array(part["_v"].tolist(), dtype=float)
-        seen = ~np.isnan(q)
-        q, m = np.where(seen, q, 0.0), seen.astype(float)
-        d2 = np.round(np.maximum((q * q).sum(1)[:, None] - 2.0 * (q @ d.T) + m @ (d * d).T, 0.0), _ROUND)
+        d2 = np.round(_squared(_matrix(part["_v"], dims), d), _ROUND)
         if not keep_self:
             d2[part[ident].to_numpy()[:, None] == ids[None, :]] = np.inf
         if d2.shape[1] > k:
@@ -52,11 +70,109 @@ def _block_nearest(queries: pd.DataFrame, donors: pd.DataFrame, ident: str, k: i
     return pd.concat(found, ignore_index=True)
 
 
-def _dealt(rows: DataFrame, by: list[str], ident: str, out: str) -> DataFrame:
-    """``rows`` with a hashed group number within ``by`` and the number of groups, ``<out>_of``."""
-    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_ROWS)).cast("int").alias(f"{out}_of"))
-    rows = attach_measured(rows, sizes, by) if by else rows.withColumn(f"{out}_of", sizes.scalar())
-    return rows.withColumn(out, F.floor(uniform("group", ident) * F.col(f"{out}_of")).cast("int"))
+class Balls:
+    """Pivots of the donors, and per key of ``by`` the balls with their blocks and radii."""
+
+    def __init__(self, donors: DataFrame, by: list[str], ident: str, dims: int):
+        self.by, self.ident, self.dims = by, ident, dims
+        n = donors.count()
+        keys = donors.select(*by).distinct().count() if by else 1
+        wanted = max(1, min(MAX_PIVOTS, n // PIVOT_ROWS, MAX_BALLS // max(1, keys)))
+        drawn = donors.select(uniform("pivot", ident).alias("u"), ident, "_v").orderBy("u", ident).limit(wanted).collect()  # pivots
+        self.pivots = np.unique(np.array([r["_v"] for r in drawn], float).reshape(len(drawn), dims), axis=0)
+        # With more keys than balls may be sent out, a key's donors are one ball, and its queries visit it.
+        self.known = keys <= MAX_BALLS
+        pivots = self.pivots
+
+        def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    d = _squared(_matrix(batch["_v"], dims), pivots)
+                    yield batch.assign(_g=d.argmin(axis=1).astype(np.int32), _r=np.sqrt(d.min(axis=1)))
+
+        schema = T.StructType([*donors.schema.fields, T.StructField("_g", T.IntegerType()), T.StructField("_r", T.DoubleType())])
+        placed = cut_lineage(donors.mapInPandas(home, schema)) if wanted > 1 else donors.withColumn("_g", F.lit(0)).withColumn("_r", F.lit(float("inf")))
+        blocks = F.ceil(F.count(F.lit(1)) / F.lit(GROUP_ROWS)).cast("int")
+        sizes = placed.groupBy(*by, "_g").agg(blocks.alias("_blocks"), F.max("_r").alias("_radius"))
+        self.table: dict[tuple, list] = {}
+        if self.known:
+            sizes = cut_lineage(sizes)
+            for r in sizes.collect():  # at most MAX_BALLS rows
+                self.table.setdefault(tuple(r[c] for c in by), []).append((r["_g"], r["_blocks"], r["_radius"]))
+        self.donors = attach(placed, sizes.drop("_radius"), [*by, "_g"], MAX_BALLS if self.known else None)
+        self.donors = self.donors.withColumn("_sub", F.floor(uniform("group", ident) * F.col("_blocks")).cast("int")).drop("_r", "_blocks")
+        self.many = not self.known or any(len(b) > 1 or b[0][1] > 1 for b in self.table.values())
+
+    def visits(self, queries: DataFrame, bound: Column | None, scale: float = 1.0) -> DataFrame:
+        """``queries`` once for each block to meet (_g, _sub): without a bound one block of the nearest ball;
+        with one, all others that may hold a donor within it.  ``scale`` times a distance is the least it can be measured as."""
+        by, dims, pivots, table = self.by, self.dims, self.pivots, {}
+        for key, rows in self.table.items():
+            rows.sort()
+            table[key] = tuple(np.array(c) for c in zip(*rows))
+        given = queries.withColumn("_bound", F.lit(None).cast("double") if bound is None else bound)
+        first = bound is None
+
+        def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                away = np.sqrt(_squared(_matrix(batch["_v"], dims), pivots)) if len(pivots) else np.zeros((len(batch), 1))
+                limit = batch["_bound"].to_numpy(dtype=float)
+                limit = np.where(np.isnan(limit), np.inf, limit)
+                limit = limit + _SLACK * (1 + limit)
+                names = list(zip(*(batch[c] for c in by))) if by else [()] * len(batch)
+                row, ball, sub = [], [], []
+                for key in set(names):
+                    if key not in table:
+                        continue
+                    own = np.flatnonzero([name == key for name in names]) if by else np.arange(len(batch))
+                    g, blocks, radius = table[key]
+                    d = away[np.ix_(own, g)]
+                    near = d.argmin(axis=1)
+                    if first:
+                        row.append(own), ball.append(g[near]), sub.append(np.zeros(own.size, int))
+                        continue
+                    at, to = np.nonzero(scale * (d - radius[None, :]) <= limit[own][:, None])
+                    n = blocks[to]
+                    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    at, to = np.repeat(at, n), np.repeat(to, n)
+                    other = (to != near[at]) | (nth > 0)
+                    row.append(own[at[other]]), ball.append(g[to[other]]), sub.append(nth[other])
+                if row:
+                    out = batch.iloc[np.concatenate(row)]
+                    yield out.assign(_g=np.concatenate(ball).astype(np.int32), _sub=np.concatenate(sub).astype(np.int32))
+
+        schema = T.StructType([*given.schema.fields, T.StructField("_g", T.IntegerType()), T.StructField("_sub", T.IntegerType())])
+        if self.known:
+            return given.mapInPandas(choose, schema)
+        # One ball for each key: its first block, or all others.
+        counts = self.donors.groupBy(*by).agg((F.max("_sub") + 1).alias("_n"))
+        blocks = F.lit(0) if first else F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+        out = given.join(counts, by).withColumn("_g", F.lit(0)).withColumn("_sub", blocks).drop("_n")
+        return out if first else out.where("_sub > 0")
+
+    def meet(self, visits: DataFrame, scan: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], fields: list[T.StructField]) -> DataFrame:
+        """What ``scan(queries, donors)`` returns for each block and each QUERY_ROWS of its queries, with the columns of ``by``."""
+        keys = [*self.by, "_g", "_sub"]
+        visits = cut_lineage(visits)
+        chunks = visits.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_ROWS)).cast("int").alias("_chunks"))
+        chunks = cut_lineage(chunks)
+        rows = chunks.count()
+        left = attach(visits, chunks, keys, rows).withColumn("_chunk", F.floor(uniform("chunk", self.ident) * F.col("_chunks")).cast("int")).drop("_chunks")
+        right = attach(self.donors, chunks, keys, rows, "inner").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
+        keys, by = [*keys, "_chunk"], self.by
+        schema = T.StructType([*[visits.schema[c] for c in by], *fields])
+
+        def here(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame(columns=schema.names)
+            out = scan(left, right)
+            for name, value in zip(by, key):
+                out[name] = value
+            return out[schema.names]
+
+        return spread(left, *keys).groupBy(*keys).cogroup(spread(right, *keys).groupBy(*keys)).applyInPandas(here, schema)
 
 
 def nearest(queries: DataFrame, donors: DataFrame, k: int, dims: int, ident: str = "id", vector: str = "v", by: Sequence[str] = (), keep_self: bool = True, carry: Sequence[str] = ()) -> DataFrame:
@@ -68,37 +184,27 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, dims: int, ident: str
     """
     by, carry = list(by), list(carry)
     values = F.transform(vector, lambda x: x.cast("double"))
-    q = _dealt(cut_lineage(queries.select(*by, ident, values.alias("_v"))), by, ident, "_q")
+    q = cut_lineage(queries.select(*by, ident, values.alias("_v")))
     names = [*by, ident, *carry]
     # Renamed onto themselves: donors may share their columns' origin with the queries.
-    given = cut_lineage(donors.select(*names, values.alias("_v"))).toDF(*names, "_v")
-    d = _dealt(given, by, ident, "_d")
-    fields = [q.schema[name] for name in by] + [
-        T.StructField(ident, q.schema[ident].dataType),
-        T.StructField("donor", q.schema[ident].dataType),
-        T.StructField("d2", T.DoubleType()),
-    ] + [T.StructField(f"donor_{c}", d.schema[c].dataType) for c in carry]
-    schema = T.StructType(fields)
-
-    def copies(rows: DataFrame, other: DataFrame, number: str) -> DataFrame:
-        """Each row once per group of the other side."""
-        most = other.groupBy(*by).agg(F.max(f"{number}_of").alias("_copies"))
-        rows = attach_measured(rows, most, by, how="inner") if by else rows.withColumn("_copies", F.coalesce(most.scalar(), F.lit(0)))
-        return rows.where("_copies > 0").withColumn(number, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
-
-    left = copies(q.drop("_q_of"), d, "_d")
-    right = copies(d.drop("_d_of"), q, "_q")
-    keys = [*by, "_q", "_d"]
-
-    def nearest_here(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=schema.names)
-        out = _block_nearest(left, right, ident, k, keep_self, carry)
-        for name, value in zip(by, key):
-            out[name] = value
-        return out[schema.names]
-
-    hits = spread(left, *keys).groupBy(*keys).cogroup(spread(right, *keys).groupBy(*keys)).applyInPandas(nearest_here, schema)
+    given = cut_lineage(donors.select(*names, values.alias("_v")).dropna(subset=by) if by else donors.select(*names, values.alias("_v")))
+    balls = Balls(given.toDF(*names, "_v"), by, ident, dims)
+    fields = [q.schema[ident], T.StructField("donor", q.schema[ident].dataType), T.StructField("d2", T.DoubleType())]
+    fields += [T.StructField(f"donor_{c}", given.schema[c].dataType) for c in carry]
+
+    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = _block_nearest(left, right, ident, k, keep_self, carry, dims)
+        if left["_bound"].notna().any():  # nothing beyond the first pass's k-th distance is sent back
+            limit = left.drop_duplicates(ident).set_index(ident)["_bound"].reindex(out[ident]).to_numpy(dtype=float)
+            out = out[~(out["d2"].to_numpy() > limit * limit + _SLACK)]
+        return out
+
+    hits = balls.meet(balls.visits(q, None), scan, fields)
+    if balls.many:
+        hits = cut_lineage(hits)
+        far = hits.groupBy(*by, ident).agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).alias("_kth"))
+        again = balls.visits(q.join(far, [*by, ident], "left").select(*q.columns, F.col("_kth")), F.col("_kth"))
+        hits = hits.unionByName(balls.meet(again, scan, fields))
     window = Window.partitionBy(*by, ident).orderBy("d2", "donor")
     return hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
@@ -158,63 +264,107 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int, dims: int, ident: st
     return test.select(ident, label).join(vote(hits, [ident]), ident)
 
 
-# Labelled rows a repeated cross-validation trains on; more are drawn down to about as many by hash.
-CV_TRAIN_ROWS = 200_000
+def _fold_weights(rows: DataFrame, scale: np.ndarray, folds: int, repeats: int) -> np.ndarray:
+    """(repeat, fold, coordinate): what a standardised difference is multiplied by in the scale of the other folds' rows."""
+    dims = scale.size
+    each = rows.select("_v", F.posexplode("own").alias("repeat", "fold"))
+    sums = each.groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("_v")[i]) for i in range(dims)]).alias("s"), F.array(*[F.sum(F.col("_v")[i] * F.col("_v")[i]) for i in range(dims)]).alias("q"))
+    n, total, square = np.zeros((repeats, folds)), np.zeros((repeats, folds, dims)), np.zeros((repeats, folds, dims))
+    for r in sums.collect():  # a row per repeat and fold
+        n[r["repeat"], r["fold"]] = r["n"]
+        total[r["repeat"], r["fold"]], square[r["repeat"], r["fold"]] = r["s"], r["q"]
+    n, total, square = (x.sum(axis=1, keepdims=True) - x for x in (n, total, square))
+    n = n[:, :, None]
+    var = (square - total * total / np.maximum(n, 1)) / np.maximum(n - 1, 1)
+    sd = np.where(n > 1, np.sqrt(np.maximum(var, 0)), 0) * scale
+    return np.where(sd > 1e-12, scale / np.where(sd > 1e-12, sd, 1), scale)
 
 
-def repeated_cv(rows: DataFrame, dims: int, ks: Sequence[int], folds: int, repeats: int, seed: int, ident: str = "id", label: str = "label", train_rows: int = CV_TRAIN_ROWS) -> DataFrame:
+def repeated_cv(rows: DataFrame, dims: int, ks: Sequence[int], folds: int, repeats: int, seed: int, ident: str = "id", label: str = "label") -> DataFrame:
     """Accuracy of every k over repeated cross-validation.
 
-    Each row is tested once per repeat against the training rows of the other folds, scaled by
-    those rows' moments.  The training matrix, at most about ``train_rows`` rows, goes to every
-    task once, and folds are told apart inside it: no vector is copied per fold or shuffled.
-    Neighbours are ranked once, to the largest k, and every smaller k reads a prefix.
+    Each row is tested once per repeat against all rows of the other folds, scaled by those rows'
+    moments.  All repeats share one search: a row meets a block once and is compared in the scale
+    of its fold of each repeat.  Balls are those of the common scale; a fold's distance is at least
+    the smallest of its weights times the common one.  Neighbours are ranked once, to the
+    largest k, and every smaller k reads a prefix.  Ties of the vote go to the smallest label.
     """
     ks = sorted(ks)
-    base = cut_lineage(rows.select(ident, F.col(label).alias("label"), F.transform("v", lambda x: x.cast("double")).alias("v")))
+    most = ks[-1]
     own = F.array(*[F.floor(uniform(seed, F.lit(r), ident) * folds).cast("int") for r in range(1, repeats + 1)])
-    dealt = base.withColumn("own", own)
-    total = base.count()
-    drawn = dealt if total <= train_rows else dealt.where(uniform(seed, F.lit("train"), ident) < F.lit(train_rows / total))
-    train = drawn.orderBy(ident).limit(2 * train_rows).toPandas()
-    x = np.array(train["v"].tolist(), dtype=float).reshape(len(train), dims)
-    labels, votes = np.unique(train["label"].to_numpy(), return_inverse=True)
-    folds_of = np.array(train["own"].tolist(), dtype=int).reshape(len(train), repeats)
-    moments = {}
-    for r in range(repeats):
-        for fold in range(folds):
-            part = x[folds_of[:, r] != fold]
-            if len(part):
-                mean, sd = part.mean(axis=0), part.std(axis=0, ddof=1) if len(part) > 1 else np.zeros(dims)
-                moments[r, fold] = mean, np.where(sd > 1e-12, sd, 1.0)
+    base = cut_lineage(rows.select(ident, F.col(label).alias("label"), F.transform("v", lambda x: x.cast("double")).alias("_v"), own.alias("own")))
+    coord = [F.col("_v")[i] for i in range(dims)]
+    moments = base.agg(F.array(*[F.avg(c) for c in coord]).alias("m"), F.array(*[F.coalesce(F.stddev_samp(c), F.lit(0.0)) for c in coord]).alias("s")).first()
+    mean = np.array(moments["m"], float) if moments["m"][0] is not None else np.zeros(dims)
+    scale = np.where(np.array(moments["s"], float) > 1e-12, np.array(moments["s"], float), 1.0)
+    common = F.array(*[(c - F.lit(float(m))) / F.lit(float(v)) for c, m, v in zip(coord, mean, scale)])
+    dealt = cut_lineage(base.withColumn("_v", common))
+    weights = _fold_weights(dealt, scale, folds, repeats)
+    labels = sorted(r[0] for r in base.select("label").distinct().collect())  # classes
+    codes = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")).cast("int") - 1 if labels else F.lit(0)
+    dealt = cut_lineage(dealt.withColumn("code", codes).drop("label"))
+    balls = Balls(dealt, [], ident, dims)
+    fields = [dealt.schema[ident], T.StructField("repeat", T.IntegerType()), T.StructField("donor", dealt.schema[ident].dataType), T.StructField("d2", T.DoubleType()), T.StructField("vote", T.IntegerType())]
+
+    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(ident, kind="stable").reset_index(drop=True)
+        mine, theirs = (np.array(x["own"].tolist(), int).reshape(len(x), repeats) for x in (left, right))
+        given, known = _matrix(left["_v"], dims), _matrix(right["_v"], dims)
+        limit, ids, donors, votes = left["_bound"].to_numpy(dtype=float), left[ident].to_numpy(), right[ident].to_numpy(), right["code"].to_numpy()
+        found = []
+        for r in range(repeats):
+            for fold in np.unique(mine[:, r]):
+                rows_here, others = np.flatnonzero(mine[:, r] == fold), np.flatnonzero(theirs[:, r] != fold)
+                if not others.size:
+                    continue
+                w = weights[r, fold]
+                d = known[others] * w
+                chunk = max(1, 4_000_000 // others.size)
+                for start in range(0, rows_here.size, chunk):
+                    part = rows_here[start : start + chunk]
+                    d2 = np.round(_squared(given[part] * w, d), _ROUND)
+                    if others.size > most:
+                        near = d2 <= np.partition(d2, most - 1, axis=1)[:, most - 1 : most]
+                    else:
+                        near = np.ones_like(d2, bool)
+                    near &= ~(d2 > (limit[part] ** 2 + _SLACK)[:, None])
+                    at, to = np.nonzero(near)
+                    order = np.lexsort((to, d2[at, to], at))
+                    at, to = at[order], to[order]
+                    place = np.arange(at.size) - np.searchsorted(at, at, side="left")
+                    at, to = at[place < most], to[place < most]
+                    found.append(pd.DataFrame({ident: ids[part[at]], "repeat": np.int32(r), "donor": donors[others[to]], "d2": d2[at, to], "vote": votes[others[to]]}))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=[f.name for f in fields])
+
+    hits = balls.meet(balls.visits(dealt, None), scan, fields)
+    if balls.many:
+        hits = cut_lineage(hits)
+        kth = hits.groupBy(ident, "repeat").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("far"))
+        far = kth.groupBy(ident).agg(F.when((F.min("n") >= most) & (F.count(F.lit(1)) == repeats), F.sqrt(F.max("far"))).alias("_kth"))
+        again = balls.visits(dealt.join(far, ident, "left").select(*dealt.columns, "_kth"), F.col("_kth"), float(weights.min()))
+        hits = hits.unionByName(balls.meet(again, scan, fields))
+    window = Window.partitionBy(ident, "repeat").orderBy("d2", "donor")
+    ranked = hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= most)
+    # At most ``most`` votes for a row and repeat.
+    votes = ranked.groupBy(ident, "repeat").agg(F.array_sort(F.collect_list(F.struct("rank", "vote"))).alias("votes"))
+    told = votes.select(ident, F.transform("votes", lambda x: x["vote"]).alias("votes")).join(dealt.select(ident, "code"), ident)
+    classes = len(labels)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         right, seen = np.zeros(len(ks), np.int64), np.zeros(len(ks), np.int64)
         for batch in batches:
             if not len(batch):
                 continue
-            given = np.array(batch["v"].tolist(), dtype=float)
-            told = np.searchsorted(labels, batch["label"].to_numpy())
-            known = labels[np.minimum(told, len(labels) - 1)] == batch["label"].to_numpy()
-            home = np.array(batch["own"].tolist(), dtype=int)
-            for (r, fold), (mean, sd) in moments.items():
-                mine = np.flatnonzero(home[:, r] == fold)
-                others = np.flatnonzero(folds_of[:, r] != fold)
-                d = (x[others] - mean) / sd
-                square = (d * d).sum(1)
-                for start in range(0, len(mine), max(1, 4_000_000 // max(1, len(others)))):
-                    part = mine[start : start + max(1, 4_000_000 // max(1, len(others)))]
-                    q = (given[part] - mean) / sd
-                    d2 = np.round(np.maximum((q * q).sum(1)[:, None] - 2.0 * (q @ d.T) + square[None, :], 0.0), _ROUND)
-                    near = np.argsort(d2, axis=1, kind="stable")[:, : ks[-1]]  # training rows lie in order of id
-                    voted = votes[others][near]
-                    for i, k in enumerate(ks):
-                        tally = np.stack([(voted[:, :k] == c).sum(axis=1) for c in range(len(labels))], axis=1)
-                        right[i] += int(((tally.argmax(axis=1) == told[part]) & known[part]).sum())
-                        seen[i] += len(part)
+            cast = np.full((len(batch), most), classes)
+            for i, v in enumerate(batch["votes"]):
+                cast[i, : len(v)] = v
+            upto = np.stack([np.cumsum(cast == c, axis=1) for c in range(classes)], axis=2)
+            for i, k in enumerate(ks):
+                right[i] += int((upto[:, k - 1].argmax(axis=1) == batch["code"].to_numpy()).sum())
+                seen[i] += len(batch)
         yield pd.DataFrame({"k": np.array(ks, np.int32), "right": right, "n": seen})
 
-    counts = spread(dealt, ident).mapInPandas(judge, "k int, right long, n long").groupBy("k").agg(F.sum("right").alias("right"), F.sum("n").alias("n"))
+    counts = told.select("votes", "code").mapInPandas(judge, "k int, right long, n long").groupBy("k").agg(F.sum("right").alias("right"), F.sum("n").alias("n"))
     return counts.select("k", (F.col("right") / F.col("n")).alias("accuracy"), "n")
 
 

@@ -8,7 +8,8 @@ from surveyloom.operators import neighbors as nb
 
 @pytest.fixture
 def small_blocks(monkeypatch):
-    monkeypatch.setattr(nb, "GROUP_ROWS", 150)
+    for name, value in (("GROUP_ROWS", 150), ("QUERY_ROWS", 40), ("PIVOT_ROWS", 60)):
+        monkeypatch.setattr(nb, name, value)
 
 
 @pytest.mark.parametrize("by, d", [([], 4), (["g"], 4), ([], 64)])
@@ -33,6 +34,32 @@ def test_nearest_is_exact(spark, small_blocks, by, d):
         assert got[got["id"] == i].sort_values("rank")["donor"].tolist() == want
 
 
+def test_many_keys_are_one_ball_each(spark, small_blocks, monkeypatch):
+    monkeypatch.setattr(nb, "MAX_BALLS", 2)
+    rows = spark.createDataFrame([(i, [float(i % 50)], i % 3) for i in range(900)], "id long, v array<double>, g int")
+    got = nb.nearest(rows, rows, 4, 1, by=["g"], keep_self=False).toPandas()
+    for i in (0, 1, 2, 500, 899):
+        want = sorted((abs(i % 50 - j % 50) ** 2, j) for j in range(900) if j % 3 == i % 3 and j != i)[:4]
+        assert got[got["id"] == i].sort_values("rank")["donor"].tolist() == [j for _, j in want]
+
+
+def test_clustered_queries_visit_few_blocks(spark, small_blocks):
+    """Forty clusters far apart: a query meets its own ball's blocks and hardly another."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 8)) + rng.integers(0, 40, 4000)[:, None] * 100.0
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(4000)], "id long, v array<double>")
+    donors = rows.withColumnRenamed("v", "_v")
+    balls = nb.Balls(donors, [], "id", 8)
+    blocks = sum(n for _, n, _ in balls.table[()])
+    assert blocks >= 60
+    assert balls.visits(donors, None).count() == 4000
+    hits = nb.nearest(rows, rows, 5, 8)
+    far = {r["id"]: r["d2"] ** 0.5 for r in hits.where("rank = 5").collect()}
+    bound = spark.createDataFrame([(i, far[i]) for i in far], "id long, kth double")
+    visits = balls.visits(donors.join(bound, "id"), nb.F.col("kth")).count()
+    assert visits < 4000 * 6 < 4000 * blocks / 10
+
+
 def test_self_is_left_out_and_few_donors_are_enough(spark):
     rows = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [5.0])], "id long, v array<double>")
     got = {(r["id"], r["rank"]): r["donor"] for r in nb.nearest(rows, rows, 5, 1, keep_self=False).collect()}
@@ -70,3 +97,29 @@ def test_repeated_cv_matches_fold_by_fold(spark):
         right += np.bincount(y[near], minlength=3).argmax() == y[i]
     got = nb.repeated_cv(rows, 3, [5], folds=4, repeats=1, seed=3).first()
     assert got["n"] == 90 and got["accuracy"] == pytest.approx(right / 90)
+
+
+@pytest.mark.parametrize("groups", [(8192, 2048, 4096), (30, 16, 20)])
+def test_repeated_cv_over_all_rows_in_any_blocks(spark, monkeypatch, groups):
+    """Whatever the blocks: every row votes among all rows of the other folds, in their scale."""
+    from surveyloom.functions.draws import uniform
+    from pyspark.sql import functions as F
+
+    for name, value in zip(("GROUP_ROWS", "QUERY_ROWS", "PIVOT_ROWS"), groups):
+        monkeypatch.setattr(nb, name, value)
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(240, 3)) * [1, 50, 0.01], rng.integers(0, 3, 240)
+    x[:, 0] += 6 * (np.arange(240) % 4)
+    x[:80] = x[0]
+    rows = spark.createDataFrame([(i, "abc"[y[i]], x[i].tolist()) for i in range(240)], "id long, label string, v array<double>")
+    fold = np.array([r["own"] for r in rows.orderBy("id").select(F.array(*[F.floor(uniform(3, F.lit(r), "id") * 4) for r in (1, 2)]).alias("own")).collect()])
+    right = {1: 0, 5: 0, 9: 0}
+    for r in range(2):
+        for i in range(240):
+            others = np.flatnonzero(fold[:, r] != fold[i, r])
+            d2 = np.round((((x[others] - x[i]) / x[others].std(axis=0, ddof=1)) ** 2).sum(axis=1), 8)
+            near = others[np.lexsort((others, d2))]
+            for k in right:
+                right[k] += np.bincount(y[near[:k]], minlength=3).argmax() == y[i]
+    got = {r["k"]: (r["accuracy"], r["n"]) for r in nb.repeated_cv(rows, 3, [9, 1, 5], folds=4, repeats=2, seed=3).collect()}
+    assert got == {k: (pytest.approx(v / 480), 480) for k, v in right.items()}
