@@ -29,6 +29,7 @@ HEADLINE = [
     "inf2_welch_t_by",
     "inf6_bootstrap_diff",
     "inf6_bootstrap_diff_poisson",
+    "inf6_bootstrap_diff_buckets",
     "inf8_permute_null",
     "inf9_p_value",
     "inf12_cor_pairwise",

@@ -5,16 +5,22 @@ Every trait is handled in the same job: traits are keys, replicates are rows.
 
 from __future__ import annotations
 
+import hashlib
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from surveyloom.functions.draws import poisson_one, uniform
 from surveyloom.functions.numeric import safe_divide
 from surveyloom.functions.tdist import t_two_sided
 from surveyloom.operators.groups import histogram, value_range
 from surveyloom.operators.selection import cut_bin, hash_index
-from surveyloom.session import attach, cut_lineage, spread
+from surveyloom.session import attach, attach_measured, cut_lineage, spread
+
+BUCKET_ROWS = 4096  # rows of a bootstrap bucket, about
+MAX_BUCKETS = 1 << 16  # of a key; beyond, buckets grow
 
 
 def _welch(pairs: DataFrame, with_p: bool) -> DataFrame:
@@ -107,7 +113,8 @@ def _resample(df: DataFrame, keys: list[str], ident: str, reps: int, seed: int,
     """Rows with ``rep`` and ``weight``: how often the row is drawn in the replicate.
 
     ``rows`` draws n rows with replacement for each replicate; its draws, n x reps
-    of them, are counted per row before they meet the data.  ``poisson`` gives
+    of them, are counted per row before they meet the data; ``buckets`` (see ``_bucketed``) draws
+    as many without shuffling any.  ``poisson`` gives
     every row an independent Poisson(1) count in place, so nothing but the
     sums per replicate is shuffled; use it beyond study-sized data.
     """
@@ -124,9 +131,81 @@ def _resample(df: DataFrame, keys: list[str], ident: str, reps: int, seed: int,
     return placed.join(counts, [*keys, "_idx"])
 
 
+def _seeded(*labels) -> np.random.Generator:
+    """A generator that depends on its labels only."""
+    return np.random.Generator(np.random.Philox(int.from_bytes(hashlib.md5("-".join(map(str, labels)).encode()).digest(), "little")))
+
+
+def bucket_draws(sizes: np.ndarray, bucket: int, rep: int, *labels) -> int:
+    """How many of the n draws of a replicate fall in ``bucket``; over all buckets they are n, the sum of ``sizes``.
+
+    The draws of a range of buckets are split between its halves by a binomial count, whose
+    generator is named after the replicate and the range: every task that walks from all buckets
+    to its own meets the same counts, and none has to hear of another.
+    """
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    lo, hi, draws = 0, sizes.size, int(upto[-1])
+    while hi - lo > 1 and draws:
+        mid = (lo + hi) // 2
+        share = (upto[mid] - upto[lo]) / (upto[hi] - upto[lo])
+        left = int(_seeded(*labels, rep, lo, hi).binomial(draws, share))
+        lo, hi, draws = (lo, mid, left) if bucket < mid else (mid, hi, draws - left)
+    return draws
+
+
+def _bucketed(df: DataFrame, keys: list[str], ident: str, value: str, group: str | None, sides: Sequence[str], reps: int, seed: int) -> DataFrame:
+    """(keys, rep, weight_i, total_i): draws and drawn sums of each side, n draws per replicate with replacement.
+
+    Rows lie in hashed buckets of bounded size.  A bucket's task takes the draws that fall to it
+    and returns sums per replicate, so no draw is ever shuffled: buckets x reps rows are.
+    """
+    rows = df.select(*keys, ident, value, *([group] if group else []))
+    sizes = rows.groupBy(*keys).agg(F.least(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET_ROWS)), F.lit(MAX_BUCKETS)).cast("int").alias("_of"))
+    rows = attach_measured(rows, sizes, keys) if keys else rows.withColumn("_of", F.coalesce(sizes.scalar(), F.lit(1)))
+    rows = cut_lineage(rows.withColumn("_bucket", F.floor(uniform("bucket", ident) * F.col("_of")).cast("int")).drop("_of"))
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # In order of bucket; at most MAX_BUCKETS numbers for a key.
+    listed = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_bucket", "_n"))).alias("_sizes"))
+    work = attach_measured(counts.drop("_n"), listed, keys) if keys else counts.drop("_n").withColumn("_sizes", listed.scalar())
+    # Renamed onto themselves: both sides of the cogroup come from the same rows.
+    work = work.select(*keys, "_bucket", "_sizes").toDF(*keys, "_bucket", "_sizes")
+    names = [f"{kind}_{i}" for i in range(len(sides)) for kind in ("weight", "total")]
+    kinds = [T.LongType(), T.DoubleType()] * len(sides)
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("rep", T.IntegerType()), *[T.StructField(n, k) for n, k in zip(names, kinds)]])
+
+    def draw(key: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame(columns=schema.names)
+        own = own.sort_values(ident, kind="stable")
+        x = own[value].to_numpy(dtype=float)
+        side = np.stack([np.ones(len(own)) if group is None else (own[group] == s).to_numpy(float) for s in sides], axis=1)
+        listed = told["_sizes"].iloc[0]
+        order, sizes = np.array([b["_bucket"] for b in listed]), np.array([b["_n"] for b in listed])
+        place, labels = int(np.searchsorted(order, key[-1])), [seed, *key[:-1]]
+        out = np.zeros((reps, 2 * len(sides)))
+        for rep in range(1, reps + 1):
+            n = bucket_draws(sizes, place, rep, *labels)
+            weight = np.bincount(_seeded(*labels, rep, "rows", place).integers(len(x), size=n), minlength=len(x))
+            out[rep - 1, 0::2] = weight @ side
+            out[rep - 1, 1::2] = (weight * x) @ side
+        frame = pd.DataFrame({"rep": np.arange(1, reps + 1, dtype=np.int32)})
+        for k, v in zip(keys, key):
+            frame[k] = v
+        for i, n in enumerate(names):
+            frame[n] = out[:, i].astype(np.int64) if i % 2 == 0 else out[:, i]
+        return frame[schema.names]
+
+    by = [*keys, "_bucket"]
+    found = spread(rows, *by).groupBy(*by).cogroup(spread(work, *by).groupBy(*by)).applyInPandas(draw, schema)
+    return found.groupBy(*keys, "rep").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def bootstrap_mean(df: DataFrame, ident: str, value: str, reps: int, seed: int, keys: Sequence[str] = (), method: str = "rows") -> DataFrame:
     """Mean of each bootstrap replicate."""
     usable = df.where(F.col(value).isNotNull()).select(*keys, ident, value)
+    if method == "buckets":
+        sums = _bucketed(usable, list(keys), ident, value, None, [""], reps, seed)
+        return sums.select(*keys, "rep", safe_divide(F.col("total_0"), F.col("weight_0")).alias("stat"), F.col("weight_0").alias("n_draws"))
     drawn = _resample(usable, list(keys), ident, reps, seed, method)
     mean = safe_divide(F.sum(F.col("weight") * F.col(value)), F.sum("weight"))
     return drawn.groupBy(*keys, "rep").agg(mean.alias("stat"))
@@ -135,6 +214,10 @@ def bootstrap_mean(df: DataFrame, ident: str, value: str, reps: int, seed: int,
 def bootstrap_diff(df: DataFrame, ident: str, group: str, value: str, a: str, b: str, reps: int, seed: int, keys: Sequence[str] = (), method: str = "rows") -> DataFrame:
     """Difference in means of each replicate, both groups resampled jointly."""
     usable = df.where(F.col(value).isNotNull() & F.col(group).isin(a, b))
+    if method == "buckets":
+        sums = _bucketed(usable, list(keys), ident, value, group, [a, b], reps, seed)
+        side = lambda i: safe_divide(F.col(f"total_{i}"), F.col(f"weight_{i}"))
+        return sums.select(*keys, "rep", (side(0) - side(1)).alias("stat"), (F.col("weight_0") + F.col("weight_1")).alias("n_draws"))
     drawn = _resample(usable.select(*keys, ident, group, value), list(keys), ident, reps, seed, method)
     return drawn.groupBy(*keys, "rep").agg(_gap(group, value, a, b, F.col("weight")).alias("stat"))
 

@@ -10,6 +10,7 @@ from surveyloom.operators import crossproducts, inference, reshape, screening
 from surveyloom.plans import tables as t
 from surveyloom.plans.registry import query
 from surveyloom.plans.summaries import ROLE_SCALE, role_scale_scores, settled_scores
+from surveyloom.session import cut_lineage, with_values
 
 REPS = 1000
 
@@ -107,6 +108,36 @@ def bootstrap_diff(spark, d):
     return _rounded(out, "stat")
 
 
+# Draws by numpy generators are beyond SQL; it checks that every replicate has n draws, and that their mean is the
+# table's within six standard errors.
+@query(
+    "inf5_bootstrap_buckets",
+    f"""WITH {t.TWO_GROUPS}, s AS (SELECT count(*) AS n, avg(value) AS m, stddev_pop(value) AS sd FROM two WHERE grp = 'good')
+        SELECT rep::INT AS rep, n AS n_draws, round(m, 6) AS centre, true AS near FROM s, range(1, {REPS + 1}) r(rep)""",
+)
+def bootstrap_buckets(spark, d):
+    good = cut_lineage(t.two_groups(spark, d).where("grp = 'good'"))
+    stats = inference.bootstrap_mean(good, "id", "value", REPS, 42, method="buckets")
+    truth = good.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n"))
+    near = F.abs(F.col("stat") - F.col("m")) <= 6 * F.col("sd") / F.sqrt("n")
+    return _rounded(with_values(stats, truth).select("rep", "n_draws", F.col("m").alias("centre"), near.alias("near")), "centre")
+
+
+@query(
+    "inf6_bootstrap_diff_buckets",
+    f"""WITH {ROLE_SCALE}, s AS (SELECT scale, role, count(*) AS n, avg(score) AS m, var_pop(score) AS v FROM rs WHERE role IN ('BUILDING', 'MACHINERY') GROUP BY ALL)
+        SELECT a.scale, (a.n + b.n)::BIGINT AS least_draws, (a.n + b.n)::BIGINT AS most_draws, {REPS}::BIGINT AS n_reps, round(a.m - b.m, 6) AS diff, true AS covered
+        FROM s a JOIN s b USING (scale) WHERE a.role = 'BUILDING' AND b.role = 'MACHINERY'""",
+)
+def bootstrap_diff_buckets(spark, d):
+    scores = settled_scores(spark, d)
+    stats = inference.bootstrap_diff(scores, "id", "role", "score", "BUILDING", "MACHINERY", REPS, 42, ["scale"], method="buckets")
+    spans = stats.groupBy("scale").agg(F.min("n_draws").alias("least_draws"), F.max("n_draws").alias("most_draws"), F.count("stat").alias("n_reps"), F.min("stat").alias("lo"), F.max("stat").alias("hi"))
+    seen = inference.observed_diff(scores, "role", "score", "BUILDING", "MACHINERY", ["scale"])
+    out = spans.join(seen, "scale").withColumn("covered", F.col("diff").between(F.col("lo"), F.col("hi")))
+    return _rounded(out.select("scale", "least_draws", "most_draws", "n_reps", "diff", "covered"), "diff")
+
+
 _POISSON = " + ".join(f"(u >= {bound!r})::INT" for bound in POISSON_CDF)
 
 

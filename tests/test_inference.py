@@ -43,7 +43,7 @@ def test_holm_is_monotone_and_capped(spark):
     assert got == {"a": pytest.approx(0.04), "c": pytest.approx(0.09), "b": pytest.approx(0.09), "d": pytest.approx(0.9)}
 
 
-@pytest.mark.parametrize("method", ["rows", "poisson"])
+@pytest.mark.parametrize("method", ["rows", "poisson", "buckets"])
 def test_bootstrap_centres_on_the_observed_difference(spark, method):
     frame, rows = groups_frame(spark)
     a, b = (np.array([x for _, g, x in rows if g == s]) for s in "ab")
@@ -89,3 +89,28 @@ def test_pairwise_correlation_with_gaps_and_constant(spark):
     assert got["v0", "v1"]["n"] == both.sum()
     assert got["v0", "v1"]["r"] == pytest.approx(np.corrcoef(x[both, 0], x[both, 1])[0, 1])
     assert got["v0", "v3"]["r"] is None
+
+
+def test_bucket_draws_are_n_and_of_the_right_shape():
+    sizes = np.array([5, 1, 700, 30, 264])
+    counts = np.array([[inference.bucket_draws(sizes, b, rep, "x") for b in range(5)] for rep in range(400)])
+    assert (counts.sum(axis=1) == 1000).all()
+    assert counts.mean(axis=0) == pytest.approx(sizes, abs=4)
+    assert counts.var(axis=0) == pytest.approx(sizes * (1 - sizes / 1000), rel=0.3)
+    assert inference.bucket_draws(np.array([7]), 0, 1) == 7
+
+
+def test_bootstrap_in_buckets_does_not_depend_on_partitions(spark, partitions, monkeypatch):
+    monkeypatch.setattr(inference, "BUCKET_ROWS", 30)
+    frame, rows = groups_frame(spark)
+    frame = frame.withColumn("trait", F.lit("t")).union(frame.withColumn("trait", F.lit("u")).where("id < 100"))
+    found = []
+    for parts in (2, 16):
+        partitions(parts)
+        stats = inference.bootstrap_diff(frame.repartition(parts), "id", "g", "x", "a", "b", 50, 1, ["trait"], method="buckets").toPandas()
+        assert len(stats) == 100 and set(zip(stats["trait"], stats["n_draws"])) == {("t", 400), ("u", 100)}
+        found.append(stats.sort_values(["trait", "rep"])["stat"].to_numpy())
+    assert found[0] == pytest.approx(found[1])
+    assert len(np.unique(found[0].round(12))) == 100
+    empty = inference.bootstrap_mean(frame.where("id < 0"), "id", "x", 5, 1, method="buckets")
+    assert empty.count() == 0
