@@ -26,6 +26,8 @@ two linked sets have one of their first n // 10 + 1 in common: the prefix.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -37,11 +39,12 @@ from surveyloom.llm.segments import parts, text_bytes
 
 SHINGLE = 3
 SHARE = (9, 10)  # 0.9, as a fraction; the prefix of n // 10 + 1 shingles belongs to it
-COUNTERS = 1 << 21  # cells of the counts that order shingles
+COUNTERS = 1 << 24  # cells of the counts that order shingles, a byte each in the tasks
 SLICES = 16  # rows in which a task hands its counts on
 BINS = 128  # of a set's shingles by hash, for the suffix filter
 TILE = 4096  # sets of a bucket in one tile
 SEND = 8  # pairs that a set sends on from a tile in the first round
+SMALL = 64  # sets of a bucket whose pairs are looked at where the bucket is formed
 HOT_ROWS = 1 << 16  # sets that one bucket gathers in a task; shingles with more get several hubs
 WORDS_OF_BITMAP = 1 << 18  # 64 bits each
 SEEN = 1 << 20  # sets a task remembers
@@ -89,38 +92,47 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
 
 
 def _count(batches):
-    total = np.zeros(COUNTERS, np.int64)
+    total = np.zeros(COUNTERS, np.uint32)
     for batch in batches:
         for part in parts(batch, 0):
-            total += np.bincount(_cells(sets_of(part.column(0))[0]), minlength=COUNTERS)
-    pack = zstandard.ZstdCompressor(level=1)
-    blobs = [pack.compress(s.tobytes()) for s in np.split(total, SLICES)]
+            cells, n = np.unique(_cells(sets_of(part.column(0))[0]), return_counts=True)
+            total[cells] += n.astype(np.uint32)
+    pack, blobs = zstandard.ZstdCompressor(level=1), []
+    for own in np.split(total, SLICES):
+        most = own.max()
+        blobs.append(pack.compress(own.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()))
     yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "counts"])
 
 
+def ranks_of(counts: np.ndarray) -> np.ndarray:
+    """The order of the cells in a byte each: logarithms of their counts."""
+    return np.minimum(np.log2(counts + 1.0) * 8, 255).astype(np.uint8)
+
+
 def _add(batches):
     """Slices of one number, one after another, are added; nothing but the sums is held."""
-    sums: dict[int, np.ndarray] = {}
+    size, sums = COUNTERS // SLICES, {}
     for batch in batches:
         for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-            counts = np.frombuffer(zstandard.decompress(blob.as_py()), np.int64)
-            sums[number] = sums[number] + counts if number in sums else counts
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["slice", "counts"])
-
-
-def shingle_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """How many shingles of all documents fall in each cell: an array of fixed size."""
-    kind = "slice int, counts binary"
-    sums = docs.select(text_col).mapInArrow(_count, kind).repartition(SLICES, "slice").mapInArrow(_add, kind).collect()  # SLICES rows
-    total = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
-    for r in sums:
-        total[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    return total.ravel()
-
-
-def ranks_of(counts: np.ndarray) -> np.ndarray:
-    """The order of the cells in two bytes each: logarithms of their counts."""
-    return (np.log2(counts + 1.0) * 64).astype(np.uint16)
+            raw = zstandard.decompress(blob.as_py())
+            own = sums.setdefault(number, np.zeros(size, np.int64))
+            own += np.frombuffer(raw, {size: "u1", 2 * size: "<u2", 4 * size: "<u4"}[len(raw)])
+    for number, own in sums.items():
+        hot = np.argsort(-own)[: size // 8]  # the fullest, at most an eighth of the cells
+        hot = hot[own[hot] > HOT_ROWS]
+        columns = [pa.array([number], pa.int32()), pa.array([ranks_of(own).tobytes()], pa.binary()), pa.array([(hot + number * size).tolist()], pa.list_(pa.int64())), pa.array([own[hot].tolist()], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["slice", "ranks", "hot", "sizes"])
+
+
+def shingle_ranks(docs: DataFrame, text_col: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The rank of each cell by how many shingles of all documents fall in it, and the cells with over HOT_ROWS of them."""
+    parts_of = docs.select(text_col).mapInArrow(_count, "slice int, counts binary").repartition(SLICES, "slice")
+    ranks, hot = np.zeros(COUNTERS, np.uint8), []
+    for r in parts_of.mapInArrow(_add, "slice int, ranks binary, hot array<long>, sizes array<long>").collect():  # SLICES rows
+        at = r["slice"] * (COUNTERS // SLICES)
+        ranks[at : at + COUNTERS // SLICES] = np.frombuffer(r["ranks"], np.uint8)
+        hot += zip(r["hot"], r["sizes"])
+    return ranks, hot
 
 
 def prefixes(hashes: np.ndarray, row: np.ndarray, sizes: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,47 +186,75 @@ def marks(docs: DataFrame, ranks: np.ndarray, id_col: str, text_col: str) -> Dat
 # ---- buckets and hubs ----
 
 
+def fits(size, place, other_size, other_place):
+    """Whether sets with a shingle at these places of theirs can be linked, if it is the first that they share."""
+    needed = least_shared(size, other_size)
+    close = np.minimum(size, other_size) * SHARE[1] >= np.maximum(size, other_size) * SHARE[0]
+    return close & (np.minimum(size - place, other_size - other_place) >= needed)
+
+
+def _with_partner(run: np.ndarray, size: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
+    """Rows that some other row of their run, of at most ``most`` rows, fits."""
+    found = np.zeros(run.size, bool)
+    for lag in range(1, min(most, run.size)):
+        same = np.flatnonzero(run[lag:] == run[:-lag])
+        if not same.size:
+            break
+        hit = same[fits(size[same], place[same], size[same + lag], place[same + lag])]
+        found[hit] = found[hit + lag] = True
+    return found
+
+
 def _buckets(batches):
     """Members of buckets of several sets, with the hub of each: rows sorted by bucket, place and set.
 
-    Only the hub of the bucket at hand is held.  Rows of a shingle with several hubs are all sent on.
+    Of buckets of up to SMALL sets only those leave that another one fits.  Of a larger bucket at
+    hand only the hub is held.  Rows of a shingle with several hubs are all sent on.
     A set that several tasks marked comes once, or twice where batches end: that changes no pair.
     """
     held, sent = np.zeros((0, 5), np.int64), False
-    for batch in batches:
-        if not batch.num_rows:
+    for batch in chain(batches, [None]):
+        rows = held
+        if batch is not None:
+            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)])
+        if not len(rows):  # shingle, salt, place, node, size
             continue
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)
-        rows = np.concatenate([held, rows])  # shingle, salt, place, node, size
         start = np.ones(len(rows), bool)
         start[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
         same = ~start
         same[1:] &= rows[1:, 3] == rows[:-1, 3]
-        first = np.zeros(len(rows), bool)
-        first[0] = bool(len(held)) and sent  # the hub that was sent on before
-        rows, start, first = rows[~same], start[~same], first[~same]
-        heads = np.flatnonzero(start)
-        run = np.cumsum(start) - 1
-        several = np.diff(np.append(heads, len(rows))) > 1
-        hub = rows[heads[run]]
-        out = (several[run] | (rows[:, 1] >= 0)) & ~first
+        rows, start = rows[~same], start[~same]
+        heads, run = np.flatnonzero(start), np.cumsum(start) - 1
+        large = np.diff(np.append(heads, len(rows))) > SMALL
+        large[0] |= sent
+        out = large[run] | (rows[:, 1] >= 0)
+        small = np.flatnonzero(~out)
+        out[small] = _with_partner(run[small], rows[small, 4], rows[small, 2], SMALL)
+        out[0] &= not sent
+        last = heads[-1]
+        if batch is not None and not large[-1]:
+            out[last:] = False  # more of this bucket may come
+            held, sent = rows[last:], False
+        else:
+            held, sent = rows[last : last + 1], True
+        # The hub is the first that leaves, or has left.
+        hub = np.full(heads.size, -1)
+        at = np.flatnonzero(out)[::-1]
+        hub[run[at]] = at
+        hub[large] = heads[large]
+        hub = rows[hub[run]]
         columns = [rows[out, 0], rows[out, 3], *(x[out, k].astype(np.int32) for x, k in ((rows, 4), (rows, 2))), hub[out, 3], *(hub[out, k].astype(np.int32) for k in (4, 2)), rows[out, 1] >= 0]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "node", "size", "place", "hub", "hub_size", "hub_place", "salted"])
-        last = heads[-1]
-        sent = bool(out[last] or first[last])
-        held = rows[last : last + 1]
 
 
-def bucket_members(marked: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(shingle, node, size, place, hub, hub_size, hub_place, salted) of all buckets with several sets."""
+def bucket_members(marked: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
+    """(shingle, node, size, place, hub, hub_size, hub_place, salted) of the sets that meet one they can be linked with; ``hot`` has the fullest cells."""
     spark = marked.sparkSession
     rows = marked.where(F.size("prefix") > 0).select("node", "size", F.posexplode("prefix").alias("place", "shingle"))
     salt = F.lit(-1)
-    if counts.max(initial=0) > HOT_ROWS:
-        # Cells with so many shingles may hold one that would gather too many sets in a task.
-        cells = np.flatnonzero(counts > HOT_ROWS)
-        order = np.argsort(-counts[cells])[: COUNTERS // 8]
-        spread = spark.createDataFrame([(int(c), int(-(-counts[c] // HOT_ROWS))) for c in cells[order]], "cell long, hubs long")  # at most an eighth of the cells
+    if hot:
+        # Such a cell may hold a shingle that would gather too many sets in a task.
+        spread = spark.createDataFrame([(c, -(-n // HOT_ROWS)) for c, n in hot], "cell long, hubs long")  # at most an eighth of the cells
         cell = F.shiftrightunsigned("shingle", 65 - COUNTERS.bit_length())
         rows = rows.withColumn("cell", cell).join(F.broadcast(spread), "cell", "left")
         salt = F.coalesce(F.pmod(F.xxhash64("node"), F.col("hubs")), F.lit(-1))
@@ -291,10 +331,7 @@ def possible_pairs(left: dict, right: dict | None, send: int):
         size, place = left["size"][i], left["place"][i]
         sizes, places = other["size"][lo:], other["place"][lo:]
         needed = least_shared(size, sizes)
-        fits = other["root"][lo:] != left["root"][i]
-        fits &= np.minimum(size, sizes) * SHARE[1] >= np.maximum(size, sizes) * SHARE[0]
-        fits &= np.minimum(size - place, sizes - places) >= needed
-        hit = np.flatnonzero(fits)
+        hit = np.flatnonzero((other["root"][lo:] != left["root"][i]) & fits(size, place, sizes, places))
         if not hit.size:
             continue
         differ = np.abs(other["bins"][lo:][hit] - left["bins"][i]).sum(axis=1)
@@ -443,10 +480,10 @@ def verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, folder: str
 # ---- the whole job ----
 
 
-def linked(docs: DataFrame, marked: DataFrame, distinct: DataFrame, counts: np.ndarray, folder: str, id_col: str, text_col: str) -> DataFrame:
+def linked(docs: DataFrame, marked: DataFrame, distinct: DataFrame, hot: list[tuple[int, int]], folder: str, id_col: str, text_col: str) -> DataFrame:
     """(node, root) of the sets that are linked with any."""
     rows = docs.select(text_col, F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("row_key"))
-    members = settle(bucket_members(marked, counts), folder, "members")
+    members = settle(bucket_members(marked, hot), folder, "members")
     tested = settle(hub_pairs(members, marked, folder), folder, "hub-pairs")
     near = verified(tested, rows, distinct, folder, "hub")
     send, turn = SEND, 0
@@ -466,12 +503,12 @@ def linked(docs: DataFrame, marked: DataFrame, distinct: DataFrame, counts: np.n
 
 def join(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; a component is named by its smallest id."""
-    counts = shingle_counts(docs, text_col)
-    marked = settle(marks(docs, ranks_of(counts), id_col, text_col), folder, "marks")
+    ranks, hot = shingle_ranks(docs, text_col)
+    marked = settle(marks(docs, ranks, id_col, text_col), folder, "marks")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     distinct = marked.where("size > 0").groupBy("node").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("n"))
     distinct = settle(distinct.withColumn("row_key", F.xxhash64("least.doc_id", "least.text_hash")), folder, "distinct")
-    roots = linked(docs, marked, distinct, counts, folder, id_col, text_col)
+    roots = linked(docs, marked, distinct, hot, folder, id_col, text_col)
     named = settle(distinct.join(roots.hint("merge"), "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root")), folder, "rooted")
     least = settle(named.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("k")), folder, "least")
     found = attach_counted(named, least, ["root"], "k", spread_by=["node"])

@@ -92,7 +92,7 @@ def test_pairs_stay_in_proportion_to_a_family(spark, folder):
 
 def test_prefixes_of_similar_sets_meet():
     draw = np.random.default_rng(3)
-    ranks = draw.integers(0, 3, ngram_join.COUNTERS).astype(np.uint16)
+    ranks = draw.integers(0, 3, ngram_join.COUNTERS).astype(np.uint8)
 
     def prefix(own):
         return ngram_join.prefixes(own, np.zeros(own.size, np.int64), np.array([own.size]), ranks)[0]
@@ -107,12 +107,31 @@ def test_prefixes_of_similar_sets_meet():
                 assert np.intersect1d(prefix(a), prefix(b)).size
 
 
-def test_counts_of_all_documents(spark):
+def test_ranks_count_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 100)
     texts = [t for _, t in corpus()]
     hashes, _, _ = ngram_join.sets_of(pa.array(texts))
-    counts = ngram_join.shingle_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), "text")
+    ranks, hot = ngram_join.shingle_ranks(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), "text")
+    counts = np.bincount(ngram_join._cells(hashes), minlength=ngram_join.COUNTERS)
     assert counts.sum() == hashes.size == sum(len(slow_set(t)) for t in texts)
-    assert (counts == np.bincount(ngram_join._cells(hashes), minlength=ngram_join.COUNTERS)).all()
+    assert (ranks == ngram_join.ranks_of(counts)).all()
+    assert sorted(hot) == [(c, counts[c]) for c in np.flatnonzero(counts > 100)] and hot
+
+
+def test_buckets_in_any_batches():
+    """Small buckets lose only sets that no other fits; large ones keep all, wherever batches end."""
+    draw = np.random.default_rng(6)
+    rows = np.array(sorted({(s, -1, int(draw.integers(0, 6)), n, int(30 + n % 40)) for s in range(60) for n in draw.integers(0, 500, 3 if s % 3 else 150).tolist()}))
+    names = ["shingle", "salt", "place", "node", "size"]
+    want = set()
+    for s in range(60):
+        own = rows[rows[:, 0] == s]
+        want |= {(s, r[3]) for r in own if len({tuple(x) for x in own[:, 2:4]}) > ngram_join.SMALL or any(ngram_join.fits(r[4], r[2], x[4], x[2]) for x in own if x[3] != r[3])}
+    for step in (1, 7, 64, 5000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[i : i + step].T], names) for i in range(0, len(rows), step)]
+        out = pa.Table.from_batches(list(ngram_join._buckets(batches))).to_pylist()
+        assert {(r["shingle"], r["node"]) for r in out} == want
+        assert all(len({r["hub"] for r in out if r["shingle"] == s}) <= 1 for s in range(60))
 
 
 def test_edge_rows(spark, edges, nothing, folder):
