@@ -32,6 +32,7 @@ HEADLINE = [
     "inf6_bootstrap_diff_buckets",
     "inf8_permute_null",
     "inf9_p_value",
+    "inf9_p_value_buckets",
     "inf12_cor_pairwise",
     "rel2_cronbach_alpha",
     "ras2_item_difficulty",

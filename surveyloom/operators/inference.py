@@ -136,25 +136,31 @@ def _seeded(*labels) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(int.from_bytes(hashlib.md5("-".join(map(str, labels)).encode()).digest(), "little")))
 
 
-def bucket_draws(sizes: np.ndarray, bucket: int, rep: int, *labels) -> int:
-    """How many of the n draws of a replicate fall in ``bucket``; over all buckets they are n, the sum of ``sizes``.
+def bucket_draws(sizes: np.ndarray, bucket: int, rep: int, *labels, draws: int | None = None) -> int:
+    """How many of a replicate's draws fall in ``bucket``: over all buckets n of them, the sum of ``sizes``, with
+    replacement, or ``draws`` of them without.
 
-    The draws of a range of buckets are split between its halves by a binomial count, whose
-    generator is named after the replicate and the range: every task that walks from all buckets
-    to its own meets the same counts, and none has to hear of another.
+    The draws of a range of buckets are split between its halves by a binomial or a hypergeometric
+    count, whose generator is named after the replicate and the range: every task that walks from all
+    buckets to its own meets the same counts, and none has to hear of another.
     """
     upto = np.concatenate([[0], np.cumsum(sizes)])
-    lo, hi, draws = 0, sizes.size, int(upto[-1])
+    lo, hi, again = 0, sizes.size, draws is None
+    draws = int(upto[-1]) if again else draws
     while hi - lo > 1 and draws:
         mid = (lo + hi) // 2
-        share = (upto[mid] - upto[lo]) / (upto[hi] - upto[lo])
-        left = int(_seeded(*labels, rep, lo, hi).binomial(draws, share))
+        below, above = int(upto[mid] - upto[lo]), int(upto[hi] - upto[mid])
+        split = _seeded(*labels, rep, lo, hi)
+        left = int(split.binomial(draws, below / (below + above)) if again else split.hypergeometric(below, above, draws))
         lo, hi, draws = (lo, mid, left) if bucket < mid else (mid, hi, draws - left)
     return draws
 
 
-def _bucketed(df: DataFrame, keys: list[str], ident: str, value: str, group: str | None, sides: Sequence[str], reps: int, seed: int) -> DataFrame:
-    """(keys, rep, weight_i, total_i): draws and drawn sums of each side, n draws per replicate with replacement.
+def _bucketed(df: DataFrame, keys: list[str], ident: str, value: str, group: str | None, sides: Sequence[str], reps: int, seed: int, labels_of: str | None = None) -> DataFrame:
+    """(keys, rep, weight_i, total_i): rows and sums of each side, n draws per replicate with replacement.
+
+    With ``labels_of`` the two sides are instead as many rows as ``group`` has of that name, drawn
+    without replacement, and the rest: shuffled labels.
 
     Rows lie in hashed buckets of bounded size.  A bucket's task takes the draws that fall to it
     and returns sums per replicate, so no draw is ever shuffled: buckets x reps rows are.
@@ -163,10 +169,12 @@ def _bucketed(df: DataFrame, keys: list[str], ident: str, value: str, group: str
     sizes = rows.groupBy(*keys).agg(F.least(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET_ROWS)), F.lit(MAX_BUCKETS)).cast("int").alias("_of"))
     rows = attach_measured(rows, sizes, keys) if keys else rows.withColumn("_of", F.coalesce(sizes.scalar(), F.lit(1)))
     rows = cut_lineage(rows.withColumn("_bucket", F.floor(uniform("bucket", ident) * F.col("_of")).cast("int")).drop("_of"))
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    labelled = F.lit(0) if labels_of is None else F.count_if(F.col(group) == labels_of)
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"), labelled.alias("_labelled"))
     # In order of bucket; at most MAX_BUCKETS numbers for a key.
-    listed = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_bucket", "_n"))).alias("_sizes"))
-    work = attach_measured(counts.drop("_n"), listed, keys) if keys else counts.drop("_n").withColumn("_sizes", listed.scalar())
+    listed = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_bucket", "_n", "_labelled"))).alias("_sizes"))
+    work = counts.drop("_n", "_labelled")
+    work = attach_measured(work, listed, keys) if keys else work.withColumn("_sizes", listed.scalar())
     # Renamed onto themselves: both sides of the cogroup come from the same rows.
     work = work.select(*keys, "_bucket", "_sizes").toDF(*keys, "_bucket", "_sizes")
     names = [f"{kind}_{i}" for i in range(len(sides)) for kind in ("weight", "total")]
@@ -181,13 +189,19 @@ def _bucketed(df: DataFrame, keys: list[str], ident: str, value: str, group: str
         side = np.stack([np.ones(len(own)) if group is None else (own[group] == s).to_numpy(float) for s in sides], axis=1)
         listed = told["_sizes"].iloc[0]
         order, sizes = np.array([b["_bucket"] for b in listed]), np.array([b["_n"] for b in listed])
-        place, labels = int(np.searchsorted(order, key[-1])), [seed, *key[:-1]]
+        take = None if labels_of is None else sum(b["_labelled"] for b in listed)
+        place, labels, whole = int(np.searchsorted(order, key[-1])), [seed, *key[:-1]], x.sum()
         out = np.zeros((reps, 2 * len(sides)))
         for rep in range(1, reps + 1):
-            n = bucket_draws(sizes, place, rep, *labels)
-            weight = np.bincount(_seeded(*labels, rep, "rows", place).integers(len(x), size=n), minlength=len(x))
-            out[rep - 1, 0::2] = weight @ side
-            out[rep - 1, 1::2] = (weight * x) @ side
+            n = bucket_draws(sizes, place, rep, *labels, draws=take)
+            rng = _seeded(*labels, rep, "rows", place)
+            if take is None:
+                weight = np.bincount(rng.integers(len(x), size=n), minlength=len(x))
+                out[rep - 1, 0::2] = weight @ side
+                out[rep - 1, 1::2] = (weight * x) @ side
+            else:
+                got = x[rng.choice(len(x), n, replace=False, shuffle=False)].sum()
+                out[rep - 1] = n, got, len(x) - n, whole - got
         frame = pd.DataFrame({"rep": np.arange(1, reps + 1, dtype=np.int32)})
         for k, v in zip(keys, key):
             frame[k] = v
@@ -238,15 +252,23 @@ def resampling_chart(stats: DataFrame, level: float, bins: int = 30, value: str
     return counts.select("bin", x.alias("x"), "n", "_i.lower_ci", "_i.upper_ci")
 
 
-def permute_null(df: DataFrame, ident: str, group: str, value: str, a: str, b: str, reps: int, seed: int, keys: Sequence[str] = (), key_rows: int | None = None) -> DataFrame:
+def permute_null(df: DataFrame, ident: str, group: str, value: str, a: str, b: str, reps: int, seed: int, keys: Sequence[str] = (), key_rows: int | None = None, method: str = "bins") -> DataFrame:
     """Difference in means after shuffling labels within each replicate.
 
-    A shuffled label goes to the ``n_a`` rows with the smallest hash.  Where that cut
+    ``bins``: a shuffled label goes to the ``n_a`` rows with the smallest hash.  Where that cut
     lies is found from bin counts, so neither labels nor rows are shuffled:
     only counts and sums per bin, and the rows of one narrow bin per replicate.
     ``key_rows`` bounds the number of keys (traits).
+
+    ``buckets``: rows stay in hashed buckets, where each replicate draws the labels that fall to the bucket,
+    how many in each being split by hypergeometric counts; no row is copied per replicate.  The two
+    halves of a key may have up to 10^9 rows each.
     """
     rows, keys = _settled(df, ident, group, value, a, b, keys)
+    if method == "buckets":
+        return _null_of_buckets(rows, ident, group, value, a, reps, seed, keys).drop("_one")
+    if method != "bins":
+        raise ValueError(f"unknown permutation method {method}")
     return _null(rows, ident, group, value, a, reps, seed, keys, 1 if keys == ["_one"] else key_rows).drop("_one")
 
 
@@ -259,6 +281,12 @@ def _settled(df: DataFrame, ident: str, group: str, value: str, a: str, b: str,
     return cut_lineage(usable.select(*keys, ident, group, value)), keys
 
 
+def _null_of_buckets(usable: DataFrame, ident: str, group: str, value: str, a: str, reps: int, seed: int, keys: list[str]) -> DataFrame:
+    sums = _bucketed(usable, keys, ident, value, group, ["", ""], reps, seed, labels_of=a)
+    side = lambda i: safe_divide(F.col(f"total_{i}"), F.col(f"weight_{i}"))
+    return sums.select(*keys, "rep", (side(0) - side(1)).alias("stat"), F.col("weight_0").alias("n_labels"))
+
+
 def _null(usable: DataFrame, ident: str, group: str, value: str, a: str, reps: int, seed: int, keys: list[str], key_rows: int | None) -> DataFrame:
     by = [*keys, "rep"]
     sizes = usable.groupBy(*keys).agg(
@@ -288,7 +316,7 @@ def _null(usable: DataFrame, ident: str, group: str, value: str, a: str, reps: i
     return taken.select(*by, (F.col("_got") / F.col("_take") - rest).alias("stat"))
 
 
-def p_value(df: DataFrame, ident: str, group: str, value: str, a: str, b: str, reps: int, seed: int, keys: Sequence[str] = (), key_rows: int | None = None) -> DataFrame:
+def p_value(df: DataFrame, ident: str, group: str, value: str, a: str, b: str, reps: int, seed: int, keys: Sequence[str] = (), key_rows: int | None = None, method: str = "bins") -> DataFrame:
     """One-sided permutation p-value on the side of the observed difference.
 
     Differences are compared to nine decimals, so replicates that equal the
@@ -296,7 +324,12 @@ def p_value(df: DataFrame, ident: str, group: str, value: str, a: str, b: str, r
     """
     rows, keys = _settled(df, ident, group, value, a, b, keys)
     seen = observed_diff(rows, group, value, a, b, keys)
-    null = _null(rows, ident, group, value, a, reps, seed, keys, 1 if keys == ["_one"] else key_rows)
+    if method == "buckets":
+        null = _null_of_buckets(rows, ident, group, value, a, reps, seed, keys)
+    elif method == "bins":
+        null = _null(rows, ident, group, value, a, reps, seed, keys, 1 if keys == ["_one"] else key_rows)
+    else:
+        raise ValueError(f"unknown permutation method {method}")
     stat, diff = F.round("stat", 9), F.round("diff", 9)
     side = F.when(F.col("diff") > 0, stat >= diff).otherwise(stat <= diff)
     out = null.join(seen, keys).groupBy(*keys, "diff").agg(F.avg(side.cast("int")).alias("p_value"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions.draws import POISSON_CDF
 from surveyloom.functions.numeric import tidy
+from surveyloom.functions.tdist import t_two_sided
 from surveyloom.operators import crossproducts, inference, reshape, screening
 from surveyloom.plans import tables as t
 from surveyloom.plans.registry import query
@@ -206,6 +207,40 @@ def p_value(spark, d):
     return _rounded(out, "diff", "p_value")
 
 
+# Labels drawn by numpy generators are beyond SQL; it checks how many each replicate gives, the spread that
+# shuffling must have, and, for p-values, the observed difference and the normal tail within six standard errors.
+@query(
+    "inf8_permute_buckets",
+    f"""WITH {t.TWO_GROUPS}, s AS (SELECT count(*) FILTER (WHERE grp = 'good') AS a, count(*) FILTER (WHERE grp = 'poor') AS b, stddev_samp(value) AS sd FROM two WHERE value IS NOT NULL AND grp IN ('good', 'poor'))
+        SELECT rep::INT AS rep, a AS n_labels, round(sd * sqrt(1.0::DOUBLE / a + 1.0::DOUBLE / b), 6) AS se, true AS near FROM s, range(1, {REPS + 1}) r(rep)""",
+)
+def permute_buckets(spark, d):
+    two = cut_lineage(t.two_groups(spark, d))
+    null = inference.permute_null(two, "id", "grp", "value", "good", "poor", REPS, 7, method="buckets")
+    out = with_values(null, two.agg(_shuffled_se("grp", "value", "good", "poor").alias("se")))
+    return _rounded(out.select("rep", "n_labels", "se", (F.abs("stat") <= 6 * F.col("se")).alias("near")), "se")
+
+
+def _shuffled_se(group: str, value: str, a: str, b: str):
+    """Standard error of a difference in means over shuffled labels."""
+    size = lambda name: F.count(F.when(F.col(group) == name, F.col(value)))
+    return F.stddev_samp(F.when(F.col(group).isin(a, b), F.col(value))) * F.sqrt(F.lit(1.0) / size(a) + F.lit(1.0) / size(b))
+
+
+@query(
+    "inf9_p_value_buckets",
+    f"""WITH {ROLE_SCALE}, o AS (SELECT scale, avg(score) FILTER (WHERE role = 'BUILDING') - avg(score) FILTER (WHERE role = 'MACHINERY') AS diff FROM rs GROUP BY scale)
+        SELECT scale, round(diff, 6) AS diff, CASE WHEN diff > 0 THEN 'right' ELSE 'left' END AS side, true AS agrees FROM o WHERE diff IS NOT NULL""",
+)
+def p_value_buckets(spark, d):
+    scores = settled_scores(spark, d)
+    got = inference.p_value(scores, "id", "role", "score", "BUILDING", "MACHINERY", REPS, 7, ["scale"], method="buckets")
+    se = scores.groupBy("scale").agg(_shuffled_se("role", "score", "BUILDING", "MACHINERY").alias("se"))
+    tail = got.join(se, "scale").withColumn("tail", t_two_sided(F.abs("diff") / F.col("se"), F.lit(1e7)) / 2)
+    room = 6 * F.sqrt(F.col("tail") * (1 - F.col("tail")) / REPS) + 0.02
+    return _rounded(tail.select("scale", "diff", "side", (F.abs(F.col("p_value") - F.col("tail")) <= room).alias("agrees")), "diff")
+
+
 @query(
     "inf10_confidence_interval",
     _poisson_sql(f"WITH {ROLE_SCALE}", "scale,", "role", "score", "BUILDING", "MACHINERY", "rs")

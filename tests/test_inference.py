@@ -114,3 +114,42 @@ def test_bootstrap_in_buckets_does_not_depend_on_partitions(spark, partitions, m
     assert len(np.unique(found[0].round(12))) == 100
     empty = inference.bootstrap_mean(frame.where("id < 0"), "id", "x", 5, 1, method="buckets")
     assert empty.count() == 0
+
+
+def test_label_draws_are_all_labels_and_hypergeometric():
+    sizes = np.array([5, 1, 700, 30, 264])
+    counts = np.array([[inference.bucket_draws(sizes, b, rep, "y", draws=300) for b in range(5)] for rep in range(400)])
+    assert (counts.sum(axis=1) == 300).all() and (counts <= sizes).all()
+    assert counts.mean(axis=0) == pytest.approx(sizes * 0.3, abs=2)
+    assert counts.var(axis=0) == pytest.approx(sizes * (1 - sizes / 1000) * 0.21 * 1000 / 999, rel=0.35)
+
+
+def test_permutation_in_buckets(spark, partitions, monkeypatch):
+    """As many labels as there were, in the spread that shuffling has, whatever the partitions."""
+    monkeypatch.setattr(inference, "BUCKET_ROWS", 30)
+    frame, rows = groups_frame(spark)
+    frame = frame.withColumn("trait", F.lit("t")).union(frame.withColumn("trait", F.lit("u")).where("id < 100"))
+    found = []
+    for parts in (2, 16):
+        partitions(parts)
+        null = inference.permute_null(frame.repartition(parts), "id", "g", "x", "a", "b", 300, 9, ["trait"], method="buckets").toPandas()
+        assert len(null) == 600 and set(zip(null["trait"], null["n_labels"])) == {("t", 320), ("u", 80)}
+        found.append(null.sort_values(["trait", "rep"])["stat"].to_numpy())
+    assert found[0] == pytest.approx(found[1])
+    for own, n in ((found[0][:300], 400), (found[0][300:], 100)):
+        x = np.array([r[2] for r in rows[:n]])
+        se = x.std(ddof=1) * np.sqrt(1 / (0.8 * n) + 1 / (0.2 * n))
+        assert own.mean() == pytest.approx(0, abs=4 * se / np.sqrt(300)) and own.std() == pytest.approx(se, rel=0.15)
+    p = {m: {r["trait"]: (r["diff"], r["side"], r["p_value"]) for r in inference.p_value(frame, "id", "g", "x", "a", "b", 300, 9, ["trait"], 2, method=m).collect()} for m in ("bins", "buckets")}
+    for trait in "tu":
+        assert p["buckets"][trait][:2] == p["bins"][trait][:2]
+        assert p["buckets"][trait][2] == pytest.approx(p["bins"][trait][2], abs=0.12)
+
+
+def test_permutation_in_buckets_of_few_rows(spark):
+    rows = [(i, "a" if i % 2 else "b", float(i % 2)) for i in range(4)] + [(9, None, 1.0), (10, "a", None)]
+    frame = spark.createDataFrame(rows, "id long, g string, x double")
+    stats = inference.permute_null(frame, "id", "g", "x", "a", "b", 60, 1, method="buckets").toPandas()
+    assert set(stats["stat"].round(9)) <= {-1.0, 0.0, 1.0} and set(stats["n_labels"]) == {2}
+    assert inference.permute_null(frame.where("g = 'a'"), "id", "g", "x", "a", "b", 3, 1, method="buckets").where("stat IS NOT NULL").count() == 0
+    assert inference.permute_null(frame.where("id < 0"), "id", "g", "x", "a", "b", 3, 1, method="buckets").count() == 0
