@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from surveyloom.functions.draws import POISSON_CDF
 from surveyloom.functions.numeric import tidy
 from surveyloom.operators import models, neighbors, sampling
 from surveyloom.plans import tables as t
@@ -141,6 +142,38 @@ def permutation_importance(spark, d):
     return models.permutation_importance(model, test, [f"v{i:02d}" for i in range(DIMS)], seed=9)
 
 
+OOB_TREES = 24
+
+
+def _oob_forest(spark, d):
+    rows = cut_lineage(_binary(spark, d))
+    return rows, models.bagged_forest(rows, OOB_TREES, mtry=12, seed=102, depth=12)
+
+
+# Bags are hashed Poisson counts, so SQL knows which trees did not see a row.
+_BAGS = f"""WITH {_EMB}, s AS (SELECT (label <> 0)::INT AS label, id FROM emb), b AS (SELECT id, label, tree,
+        {t.uniform_sql(102, "'bag'", "tree", "id")} < {POISSON_CDF[0]!r}::DOUBLE AS unseen FROM s, range({OOB_TREES}) r(tree))"""
+
+
+@query("mlc2_oob_votes", f"{_BAGS} SELECT id, label, count(*) FILTER (WHERE unseen)::INT AS n_votes, count(*) FILTER (WHERE unseen) > 0 AS called FROM b GROUP BY id, label")
+def oob_votes(spark, d):
+    rows, forest = _oob_forest(spark, d)
+    return models.oob_votes(forest, rows, 2).select("id", "label", "n_votes", F.col("predicted").isNotNull().alias("called"))
+
+
+@query("mlc3_oob_error")
+def oob_error(spark, d):
+    rows, forest = _oob_forest(spark, d)
+    called = models.oob_votes(forest, rows, 2).where("predicted IS NOT NULL")
+    return models.kappa(cut_lineage(called)).withColumn("error", 1 - F.col("accuracy"))
+
+
+@query("mlc4_oob_importance")
+def oob_importance(spark, d):
+    rows, forest = _oob_forest(spark, d)
+    return models.oob_importance(forest, rows, [f"v{i:02d}" for i in range(DIMS)], seed=9)
+
+
 @query(
     "mlc5_knn_classify",
     f"""WITH {_SPLIT}, mom AS (SELECT i, avg(v) AS m, stddev_samp(v) AS s FROM long JOIN u USING (id) WHERE train GROUP BY i),
@@ -193,6 +226,16 @@ def tuned_accuracy(spark, d):
     return _rounded(models.accuracy(_tuned(spark, d)[1]), "accuracy")
 
 
+@query(
+    "mlc5_tuned_kappa",
+    f"""WITH {_TUNED}, c AS (SELECT label AS c, count(*) AS n FROM t GROUP BY 1), p AS (SELECT predicted AS c, count(*) AS n FROM t GROUP BY 1),
+        o AS (SELECT avg((predicted = label)::INT) AS seen, count(*) AS n FROM t), e AS (SELECT coalesce(sum(c.n * p.n), 0)::DOUBLE AS chance FROM c JOIN p USING (c))
+        SELECT round((seen - chance / n / n) / (1 - chance / n / n), 6) AS kappa, round(seen, 6) AS accuracy, n FROM o, e""",
+)
+def tuned_kappa(spark, d):
+    return _rounded(models.kappa(cut_lineage(_tuned(spark, d)[1])), "kappa", "accuracy")
+
+
 @query(
     "mlc6_repeated_cv",
     f"""WITH {_EMB}, f AS (SELECT id, label, repeat, floor({t.uniform_sql(400, "repeat", "id")} * 10)::INT AS own FROM emb, range(1, 4) r(repeat)),
