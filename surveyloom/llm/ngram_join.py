@@ -14,7 +14,8 @@ two linked sets have one of their first n // 10 + 1 in common: the prefix.
   position (shingles before the first shared one are not shared) and by suffix (counts of shingles
   between fixed pivots differ by no more than the sets do).  A set sends on its best SEND pairs;
   where more are possible, components are formed anew and the next round sends four times as many,
-  until none is held back.  No pair is verified twice.
+  until none is held back.  Only tiles that held pairs back come to the next round, as all pairs of the
+  others were sent.  No pair is verified twice.
 * A pair is verified on whole sets.  Those are made again from the texts, only for the sets that a
   bitmap of fixed size admits, so that sets of all texts are never written.
 
@@ -320,12 +321,12 @@ def _bins(blobs) -> np.ndarray:
 
 
 def possible_pairs(left: dict, right: dict | None, send: int):
-    """(a, b, more) of one pair of tiles, or of one tile with itself: the best ``send`` for each set of ``left``.
+    """(pairs (a, b), held) of one pair of tiles, or of one tile with itself: the best ``send`` for each set of ``left``.
 
-    Tiles have node, root, size, place and bins.  ``more`` tells that a set had more of them.
+    Tiles have node, root, size, place and bins.  ``held`` tells that a set had more of them.
     """
     other = left if right is None else right
-    out = []
+    out, held = [], False
     for i in range(left["node"].size - (right is None)):
         lo = i + 1 if right is None else 0
         size, place = left["size"][i], left["place"][i]
@@ -340,8 +341,8 @@ def possible_pairs(left: dict, right: dict | None, send: int):
         hit, slack = hit[ok], (room - differ)[ok]
         if not hit.size:
             continue
-        more = hit.size > send
-        if more:  # another component first, then by room left
+        if hit.size > send:  # another component first, then by room left
+            held = True
             root = other["root"][lo:][hit]
             by = np.lexsort((other["node"][lo:][hit], -slack, root))
             again = np.concatenate([[0], (root[by][1:] == root[by][:-1]).astype(np.int64)])
@@ -349,51 +350,57 @@ def possible_pairs(left: dict, right: dict | None, send: int):
             best = by[np.lexsort((-slack[by], nth))[:send]]
             hit = hit[best]
         node, found = left["node"][i], other["node"][lo:][hit]
-        out.append((np.minimum(node, found), np.maximum(node, found), np.full(hit.size, more)))
-    return out
+        out.append((np.minimum(node, found), np.maximum(node, found)))
+    return out, held
 
 
 def _tiles(send: int):
-    """Work items arrive whole, sorted by shingle and pair of tiles (i, j)."""
+    """Work items arrive whole, sorted by shingle and pair of tiles (i, j).
+
+    Rows out are pairs (a, b), or members (shingle, node, size, place) of the items that held pairs back.
+    """
 
     def compute(batches):
-        held, ready, count = [], [], 0
+        rows, pairs, kept, count = [], [], [], 0
 
-        def tile(rows, number):
+        def tile(number):
             own = [r for r in rows if r[1] == number]
             columns = {name: np.array([r[k] for r in own], np.int64) for k, name in ((2, "node"), (3, "root"), (4, "size"), (5, "place"))}
             return columns | {"bins": _bins([r[6] for r in own])}
 
-        def work(rows):
-            _, i, j = rows[0][0]
-            return possible_pairs(tile(rows, i), None if i == j else tile(rows, j), send)
+        def work():
+            shingle, i, j = rows[0][0]
+            found, held = possible_pairs(tile(i), None if i == j else tile(j), send)
+            pairs.extend(found)
+            kept.extend((shingle, r[2], r[4], r[5]) for r in rows if held)
+            return sum(f[0].size for f in found) + held * len(rows)
 
         def out():
-            a, b, more = (np.concatenate(x) for x in zip(*ready))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], ["a", "b", "more"])
+            a, b = np.unique(np.concatenate([np.stack(p) for p in pairs] or [np.zeros((2, 0), np.int64)], axis=1), axis=1)
+            more = np.array(kept, np.int64).reshape(-1, 4).T
+            columns = [pa.concat_arrays([pa.array(x), pa.nulls(len(kept), pa.int64())]) for x in (a, b)]
+            columns += [pa.concat_arrays([pa.nulls(a.size, kind), pa.array(x, kind)]) for x, kind in zip(more, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "shingle", "node", "size", "place"])
 
         for batch in batches:
             c = batch.to_pydict()
             for row in zip(zip(c["shingle"], c["i"], c["j"]), c["tile"], c["node"], c["root"], c["size"], c["place"], c["bins"]):
-                if held and held[0][0] != row[0]:
-                    found = work(held)
-                    ready += found
-                    count += sum(f[0].size for f in found)
-                    held = []
+                if rows and rows[0][0] != row[0]:
+                    count += work()
+                    rows = []
                     if count > 1 << 18:
                         yield out()
-                        ready, count = [], 0
-                held.append(row)
-        if held:
-            ready += work(held)
-        if ready:
+                        pairs, kept, count = [], [], 0
+                rows.append(row)
+        if rows:
+            work()
             yield out()
 
     return compute
 
 
-def cross_pairs(members: DataFrame, marked: DataFrame, roots: DataFrame, send: int, folder: str, name: str) -> DataFrame:
-    """(a, b, more) across the components of each bucket; ``roots`` has node and root."""
+def cross_pairs(members: DataFrame, marked: DataFrame, roots: DataFrame, send: int, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(a, b) across the components of each bucket, and the members between which pairs were held back; ``roots`` has node and root."""
     spark = members.sparkSession
     rooted = members.select("shingle", "node", "size", "place").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = settle(rooted, folder, f"{name}-rooted")
@@ -420,7 +427,9 @@ def cross_pairs(members: DataFrame, marked: DataFrame, roots: DataFrame, send: i
     n = max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
     keys = ["shingle", "i", "j"]
     work = work.select(*keys, "tile", "node", "root", "size", "place", "bins").repartition(n, *keys).sortWithinPartitions(*keys)
-    return work.mapInArrow(_tiles(send), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    found = settle(work.mapInArrow(_tiles(send), "a long, b long, shingle long, node long, size int, place int"), folder, f"{name}-found")
+    held = found.where(F.col("shingle").isNotNull()).select("shingle", "node", "size", "place").distinct()
+    return found.where(F.col("a").isNotNull()).select("a", "b").distinct(), settle(held, folder, f"{name}-held")
 
 
 # ---- verification ----
@@ -486,18 +495,18 @@ def linked(docs: DataFrame, marked: DataFrame, distinct: DataFrame, hot: list[tu
     members = settle(bucket_members(marked, hot), folder, "members")
     tested = settle(hub_pairs(members, marked, folder), folder, "hub-pairs")
     near = verified(tested, rows, distinct, folder, "hub")
+    roots = settle(components(near, f"{folder}/components"), folder, "roots")
     send, turn = SEND, 0
     while True:
         turn += 1
-        roots = settle(components(near, f"{folder}/components-{turn}"), folder, f"roots-{turn}")
-        across = cross_pairs(members, marked, roots, send, folder, f"cross-{turn}")
+        across, members = cross_pairs(members, marked, roots, send, folder, f"cross-{turn}")
         across = settle(across.join(tested.hint("merge"), ["a", "b"], "left_anti"), folder, f"across-{turn}")
-        if across.isEmpty():
+        if not across.isEmpty():
+            near = settle(near.unionByName(verified(across, rows, distinct, folder, f"pairs-{turn}")), folder, f"near-{turn}")
+            roots = settle(components(near, f"{folder}/components-{turn}"), folder, f"roots-{turn}")
+        if members.isEmpty():
             return roots
-        near = settle(near.unionByName(verified(across, rows, distinct, folder, f"pairs-{turn}")), folder, f"near-{turn}")
-        if across.where("more").isEmpty():
-            return components(near, f"{folder}/components")
-        tested = settle(tested.unionByName(across.select("a", "b")), folder, f"tested-{turn}")
+        tested = settle(tested.unionByName(across), folder, f"tested-{turn}")
         send *= 4
 
 

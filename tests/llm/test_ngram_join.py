@@ -90,6 +90,50 @@ def test_pairs_stay_in_proportion_to_a_family(spark, folder):
     assert candidates(spark, folder) < 4000
 
 
+def hidden_pairs(n):
+    """Texts x, y and four z, n times, each time in one set of buckets: x and y are linked, a z with none, but by bins it looks nearer to both.
+
+    Behind them come texts that make the shingles in which those differ common, so that no prefix has them.
+    """
+    texts, phrases = [], []
+    for seed in range(n):
+        base = [f"v{seed}x{i}" for i in range(100)]
+        own = [base[58:60] + [f"e{seed}x{j}x{k}" for k in range(3)] + base[63:65] for j in range(20000)]
+        end = [[f"a{seed}x{j}", f"b{seed}x{j}"] if j >= 10 else [] for j in range(len(own))]
+        each = [" ".join(base[:58] + p + base[65:] + e) for p, e in zip(own, end)]
+        hashes, row, sizes = ngram_join.sets_of(pa.array(each))
+        bins = ngram_join._bins(ngram_join.bins_of(hashes, row, len(each)))
+        differ = abs(bins - bins[0]).sum(axis=1)
+        y = 1 + np.flatnonzero(differ[1:10] == 10)[0]
+        near = np.flatnonzero((differ < 10) & (abs(bins - bins[y]).sum(axis=1) < 10))
+        chosen = [0, y, *near[near >= 10][:4].tolist()]
+        assert len(chosen) == 6
+        texts += [each[j] for j in chosen]
+        phrases += [p for j in chosen for p in (own[j], base[98:] + end[j])]
+    return texts + [" ".join([*(w for i, p in enumerate(phrases) for w in [*p, f"f{k}x{i}"]), *(f"g{k}x{i}" for i in range(3000))]) for k in range(10)]
+
+
+def test_rounds_take_up_only_tiles_that_held_pairs_back(spark, folder, monkeypatch):
+    """A round after the first must not join the members of all buckets again."""
+    texts = hidden_pairs(1)
+    for s in range(60):
+        base = [f"p{s}x{i}" for i in range(200)]
+        texts += [" ".join(base), " ".join([*base[:198], "other", "end"])]
+    monkeypatch.setattr(ngram_join, "SEND", 1)
+    monkeypatch.setattr(ngram_join, "hub_pairs", lambda *_: spark.createDataFrame([], "a long, b long"))
+    taken, attach = [], ngram_join.attach_counted
+
+    def counting(df, stats, keys, *args, **more):
+        if keys == ["shingle"] and "main" not in stats.columns:
+            taken.append(df.count())
+        return attach(df, stats, keys, *args, **more)
+
+    monkeypatch.setattr(ngram_join, "attach_counted", counting)
+    got = ngram_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), folder)
+    assert got.select("component_id").distinct().count() == len(texts) - 61
+    assert len(taken) > 1 and sum(taken) < 1.5 * taken[0]
+
+
 def test_prefixes_of_similar_sets_meet():
     draw = np.random.default_rng(3)
     ranks = draw.integers(0, 3, ngram_join.COUNTERS).astype(np.uint8)
