@@ -6,16 +6,19 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from surveyloom.functions.draws import poisson_one, uniform
 from surveyloom.functions.numeric import safe_divide
 from surveyloom.functions.scores import encode_levels, encode_yes_no, row_total
 from surveyloom.operators.groups import impute_median
 from surveyloom.operators.selection import hash_index, value_counts
+from surveyloom.operators.trees import Forest, grow_forest, score
 from surveyloom.session import cut_lineage, spread
 
 
@@ -32,16 +35,17 @@ def model_frame(people: DataFrame, role: str, roles: Sequence[str], flags: Seque
     return impute_median(coded, role, [*flags, *levels, total]).select(ident, role, *flags, *levels, total)
 
 
-def random_forest(rows: DataFrame, trees: int, mtry: int, seed: int, vector: str = "v", label: str = "label", depth: int = 30) -> RandomForestClassificationModel:
-    """Forest over numeric labels 0..c-1 with ``mtry`` features tried per split; 30 is the deepest tree Spark grows."""
-    ready = rows.select(array_to_vector(vector).alias("features"), F.col(label).cast("double").alias("label"))
-    forest = RandomForestClassifier(numTrees=trees, featureSubsetStrategy=str(mtry), seed=seed, maxDepth=depth, minInstancesPerNode=1)
-    return forest.fit(ready)
+def random_forest(rows: DataFrame, trees: int, mtry: int, seed: int, vector: str = "v", label: str = "label", depth: int = 30) -> Forest:
+    """Forest over numeric labels 0..c-1 with ``mtry`` features tried per split; its trees stay in a table."""
+    return grow_forest(rows, trees, mtry, seed, vector, label, depth)
 
 
-def predict(model, rows: DataFrame, vector: str = "v") -> DataFrame:
-    scored = model.transform(rows.withColumn("features", array_to_vector(vector)))
-    return scored.withColumn("predicted", F.col("prediction").cast("int")).drop("features", "rawPrediction", "probability", "prediction")
+def predict(model: Forest, rows: DataFrame, vector: str = "v") -> DataFrame:
+    """``rows`` with the class of most votes, the smallest of equals."""
+    fields = T.StructType([*rows.schema.fields, T.StructField("predicted", T.IntegerType())])
+    kept = rows.columns
+    judge = lambda table, votes, _: table.select(kept).append_column("predicted", pa.array(votes.argmax(axis=1), pa.int32()))
+    return score(model, rows, vector, judge, fields)
 
 
 def confusion(predicted: DataFrame, label: str = "label") -> DataFrame:
@@ -67,32 +71,54 @@ def kappa(predicted: DataFrame, label: str = "label") -> DataFrame:
     return sums.where("n > 0").select(safe_divide(seen - chance, 1 - chance).alias("kappa"), seen.alias("accuracy"), "n")
 
 
-def _shuffled_copies(rows: DataFrame, seed: int, ident: str) -> DataFrame:
-    """``rows`` with ``feature``: each row as it is (feature -1) and once per feature with another row's value of it in ``v``."""
-    others = [c for c in rows.columns if c != "v"]
+def _swapped_cells(rows: DataFrame, seed: int, ident: str) -> DataFrame:
+    """(ident, _cells): for every feature another row's value of it, by feature."""
     cells = rows.select(ident, F.posexplode("v").alias("feature", "_given"))
     taker = hash_index(cells.select(ident, "feature"), ["feature"], uniform(seed, F.lit("to"), "feature", ident), ident, "_idx").drop("_idx_of")
     giver = hash_index(cells, ["feature"], uniform(seed, F.lit("from"), "feature", ident), ident, "_idx").select("feature", "_idx", "_given")
-    gathered = taker.join(giver, ["feature", "_idx"]).groupBy(ident).agg(F.sort_array(F.collect_list(F.struct("feature", "_given"))).alias("_cells"))
+    return taker.join(giver, ["feature", "_idx"]).groupBy(ident).agg(F.sort_array(F.collect_list(F.struct("feature", "_given"))).alias("_cells"))
+
+
+def _shuffled_copies(rows: DataFrame, seed: int, ident: str) -> DataFrame:
+    """``rows`` with ``feature``: each row as it is (feature -1) and once per feature with another row's value of it in ``v``."""
+    others = [c for c in rows.columns if c != "v"]
+    gathered = _swapped_cells(rows, seed, ident)
     swap = lambda c: F.struct(c["feature"].alias("feature"), F.transform("v", lambda x, i: F.when(i == c["feature"], c["_given"]).otherwise(x)).alias("v"))
     intact = F.array(F.struct(F.lit(-1).alias("feature"), F.col("v").alias("v")))
     return spread(rows.join(gathered, ident), ident).select(*others, F.inline(F.concat(intact, F.transform("_cells", swap))))
 
 
-def permutation_importance(model, rows: DataFrame, names: Sequence[str], seed: int, ident: str = "id", vector: str = "v", label: str = "label") -> DataFrame:
+def permutation_importance(model: Forest, rows: DataFrame, names: Sequence[str], seed: int, ident: str = "id", vector: str = "v", label: str = "label") -> DataFrame:
     """Accuracy lost when one feature is shuffled, absolute and relative to the largest.
 
-    All shuffled copies are scored by one ``transform``.  A shuffle gives the
-    row at one hashed position the value of the row at another.  Single values are
-    exchanged and gathered per row; the copies of a vector are made where it is scored.
+    A shuffle gives the row at one hashed position the value of the row at another.  Single values are
+    exchanged and gathered per row; all its shuffled copies are scored with the row, and only
+    sums per feature are shuffled.
     """
     rows = cut_lineage(rows.select(ident, F.col(vector).alias("v"), F.col(label).alias("label")))
-    copies = _shuffled_copies(rows, seed, ident)
-    scored = predict(model, copies)
-    by_feature = cut_lineage(accuracy(scored, keys=["feature"]))
+    dims = len(model.cuts)
+    joined = rows.join(_swapped_cells(rows, seed, ident), ident)
+    # An id that comes several times has as many values of a feature: each of its rows takes them all, and counts once as it is.
+    times = F.floor(F.size("_cells") / dims).cast("int")
+    turns = F.sequence(F.lit(0), times - 1)
+    joined = joined.withColumn("_turn", F.explode(turns)).withColumn("_times", times)
+    other = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.col("_cells")[i * F.col("_times") + F.col("_turn")]["_given"])
+    given = joined.select("v", other.alias("other"), F.col("label").cast("int").alias("label"), "_turn")
+
+    def judge(table: pa.Table, votes: np.ndarray, swapped: np.ndarray) -> pa.Table:
+        label = table["label"].to_numpy()
+        known = ~np.isnan(label.astype(float))
+        once = known & (table["_turn"].to_numpy() == 0)
+        right = [int((votes.argmax(axis=1) == label)[once].sum()), *(swapped.argmax(axis=2) == label[:, None])[known].sum(axis=0).tolist()]
+        seen = [int(once.sum()), *[int(known.sum())] * dims]
+        return pa.table({"feature": pa.array(range(-1, dims), pa.int32()), "right": pa.array(right, pa.int64()), "n": pa.array(seen, pa.int64())})
+
+    fields = T.StructType.fromDDL("feature int, right bigint, n bigint")
+    sums = score(model, given, "v", judge, fields, "other").groupBy("feature").agg(F.sum("right").alias("right"), F.sum("n").alias("n"))
+    by_feature = cut_lineage(sums.select("feature", safe_divide(F.col("right"), F.col("n")).alias("accuracy")))
     base = by_feature.where(F.col("feature") == -1).select("accuracy").scalar()
     lost = by_feature.where(F.col("feature") >= 0).withColumn("importance", base - F.col("accuracy"))
-    gini = model.featureImportances.toArray()
+    gini = model.importances()
     table = rows.sparkSession.createDataFrame([(i, n, float(gini[i])) for i, n in enumerate(names)], "feature int, name string, gini double")
     top = lost.agg(F.max("importance")).scalar()
     out = lost.join(F.broadcast(table), "feature").withColumn("_top", top)
