@@ -123,3 +123,46 @@ def test_repeated_cv_over_all_rows_in_any_blocks(spark, monkeypatch, groups):
                 right[k] += np.bincount(y[near[:k]], minlength=3).argmax() == y[i]
     got = {r["k"]: (r["accuracy"], r["n"]) for r in nb.repeated_cv(rows, 3, [9, 1, 5], folds=4, repeats=2, seed=3).collect()}
     assert got == {k: (pytest.approx(v / 480), 480) for k, v in right.items()}
+
+
+@pytest.mark.parametrize("kind", ["int", "text"])
+def test_the_best_are_kept_in_order_of_distance_and_donor(kind):
+    """However they come and are settled: NULL donors first, equal ones by id."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    best = nb.Best(np.full(40, np.inf), 5, "id")
+    row, d2 = rng.integers(0, 40, 3000), rng.integers(0, 6, 3000).astype(float)
+    ids = [None if i % 97 == 0 else int(i) for i in rng.permutation(3000)]
+    donors = pa.table({"id": pa.array(ids if kind == "int" else [None if i is None else f"{i:05d}" for i in ids])})
+    for s in range(0, 3000, 250):
+        best.add(row[s : s + 250], d2[s : s + 250], donors.slice(s, 250), np.arange(250))
+        if s % 500:
+            best.settle()
+    got_row, place, got, kept = best.settle()
+    kept = [i if i is None else int(i) for i in kept["id"].to_pylist()]
+    for r in range(40):
+        want = sorted((d2[i], ids[i] is not None, ids[i] or 0) for i in np.flatnonzero(row == r))[:5]
+        mine = got_row == r
+        assert [(a, b is not None, b or 0) for a, b in zip(got[mine], np.array(kept, object)[mine])] == want
+        assert place[mine].tolist() == [0, 1, 2, 3, 4] and best.kth[r] == want[-1][0]
+
+
+@pytest.mark.parametrize("rows", [7, 32_768])
+def test_sweep_copies_donors_by_groups_of_queries(spark, small_blocks, monkeypatch, rows):
+    """Every ball is near every query: no query is copied, a donor at most once for a group; ids may come twice."""
+    monkeypatch.setattr(nb, "SWEEP_ROWS", rows)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(700, 12)).round(1)
+    x[-9:] = x[:9]
+    ids = [*range(691), *range(9)]
+    frame = spark.createDataFrame([(ids[i], x[i].tolist()) for i in range(700)], "id long, v array<double>")
+    met = []
+    monkeypatch.setattr(nb, "attach_measured", lambda *a, f=nb.attach_measured: met.append(f(*a)) or met[-1])
+    got = nb.nearest(frame, frame, 4, 12, keep_self=False).toPandas()
+    assert met[0].groupBy("_group", "_g", "_sub").count().where("count > 1").count() == 0
+    for i in (0, 5, 8, 100, 690):
+        own = [j for j in range(700) if ids[j] == i]
+        want = sorted((round(((x[j] - x[o]) ** 2).sum(), 8), ids[j]) for o in own for j in range(700) if ids[j] != i)[:4]
+        mine = got[got["id"] == i].sort_values("rank")
+        assert mine["donor"].tolist() == [j for _, j in want] and np.allclose(mine["d2"], [d for d, _ in want])
