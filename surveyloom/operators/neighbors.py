@@ -411,18 +411,31 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, dims: int, ident: str
             out = out[~(out["d2"].to_numpy() > limit * limit + _SLACK)]
         return out
 
+    def bounds(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, theirs, given, known = left[ident].to_numpy(), right[ident].to_numpy(), _matrix(left["_v"], dims), _matrix(right["_v"], dims)
+        n, chunk, found = min(k, len(known)), max(1, _CELLS // len(known)), []
+        for start in range(0, len(given), chunk):
+            d2 = _squared(given[start : start + chunk], known)
+            if not keep_self:
+                d2[ids[start : start + chunk, None] == theirs[None, :]] = np.inf
+            found.append(np.round(np.partition(d2, n - 1, axis=1)[:, n - 1], _ROUND))
+        far = np.concatenate(found)
+        return pd.DataFrame({ident: ids, "n": np.where(np.isfinite(far), n, 0), "far": far})
+
     first = cut_lineage(balls.visits(q, None))
-    hits = balls.meet(first, scan, fields)
-    if balls.many or not by:
-        hits = cut_lineage(hits) if by else hits
-        far = hits.groupBy(*by, ident).agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).alias("_kth"))
-    if not by:
-        asked = first.drop("_bound").join(far, ident, "left").select(ident, "_v", "_g", F.col("_kth").alias("_bound"))
+    if by or not balls.many:
+        hits = balls.meet(first, scan, fields)  # without keys all there is
+        if balls.many:
+            hits = cut_lineage(hits)
+            far = hits.groupBy(*by, ident).agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).alias("_kth"))
+            again = cut_lineage(balls.visits(q.join(far, [*by, ident], "left").select(*q.columns, F.col("_kth")), F.col("_kth")))
+            hits = hits.unionByName(balls.meet(again, scan, fields))
+    else:
+        kth = balls.meet(first, bounds, [q.schema[ident], *T.StructType.fromDDL("n int, far double").fields])
+        far = kth.groupBy(ident).agg(F.when(F.min("n") >= k, F.sqrt(F.max("far"))).alias("_bound"))
+        asked = first.drop("_bound").join(far, ident, "left").select(ident, "_v", "_g", "_bound")
         begin = lambda asked: Nearest(asked, ident, k, keep_self, carry)
         hits = sweep(balls, asked, begin, T.StructType(fields), k)
-    elif balls.many:
-        again = cut_lineage(balls.visits(q.join(far, [*by, ident], "left").select(*q.columns, F.col("_kth")), F.col("_kth")))
-        hits = hits.unionByName(balls.meet(again, scan, fields))
     window = Window.partitionBy(*by, ident).orderBy("d2", "donor")
     return hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
